@@ -1,0 +1 @@
+"""Empty on purpose: every report is a full batch recompute, nothing streams."""
