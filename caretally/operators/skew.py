@@ -1,8 +1,9 @@
 """Joins and numbering that hold when one key owns a large part of the rows.
 
-Sizes are always looked up first, by one aggregate that combines on the map
-side. Data without hot keys takes Spark's plain join or window; only data with
-a key too big for one task takes the longer way. Both ways return the same rows.
+Sizes are looked up first: a row count, and for frames too big for one task a
+frequent-items sketch, which needs no shuffle. Data without hot keys takes Spark's
+plain join or window; only data with a key too big for one task takes the longer
+way. Both ways return the same rows.
 """
 
 from __future__ import annotations
@@ -21,14 +22,11 @@ from caretally.session import stage
 
 # Rows of one key that a single task may handle.
 HOT_ROWS = 1_000_000
-# Longest list of hot keys brought to the driver. A key left out of it holds
-# less than 1/HOT_KEYS of the rows.
-HOT_KEYS = 256
+# Smallest share of the rows a key is looked for at. It bounds the list of hot
+# keys that comes to the driver (at most 1/HOT_SHARE entries).
+HOT_SHARE = 1e-4
 # Most pieces one key (or one numbering) is cut in; beyond it pieces grow.
 MAX_PIECES = 20_000
-# Largest table a broadcast may carry.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
 
 OrderBy = Sequence[str | Column]
 
@@ -41,36 +39,18 @@ def sort_columns(order_by: OrderBy) -> list[Column]:
     return [F.col(c).asc() if isinstance(c, str) else c for c in order_by]
 
 
-# --- broadcast, size checked -------------------------------------------------
+# --- dimension join ----------------------------------------------------------
 
 
-def fits_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> bool:
-    """Measure rows and bytes. Frames with nested columns never qualify."""
-    text = [f.name for f in df.schema if isinstance(f.dataType, (T.StringType, T.BinaryType))]
-    if any(isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)) for f in df.schema):
-        return False
-    text_bytes = reduce(
-        lambda a, b: a + b, [F.coalesce(F.octet_length(F.col(f"`{c}`")), F.lit(0)) for c in text], F.lit(0)
-    )
-    row = df.agg(F.count("*").alias("n"), F.sum(text_bytes.cast("long")).alias("b")).first()
-    size = (row["b"] or 0) + row["n"] * 16 * len(df.columns)
-    return row["n"] <= max_rows and size <= max_bytes
-
+def lookup_join(left: DataFrame, dimension: DataFrame, on: str | Sequence[str]) -> DataFrame:
+    """Left join to a dimension.
 
-def lookup_join(
-    left: DataFrame,
-    right: DataFrame,
-    on: str | Sequence[str],
-    how: str = "left",
-    *,
-    max_rows: int = BROADCAST_ROWS,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Join a table to a dimension: broadcast if measured small, else salted."""
-    on = [on] if isinstance(on, str) else list(on)
-    if fits_broadcast(right, max_rows):
-        return left.join(F.broadcast(right), on, how)
-    return salted_join(left, right, on, how, hot_rows=hot_rows)
+    Nothing is forced to broadcast. Spark broadcasts a dimension whose size, from
+    file statistics or measured at run time, is below
+    ``spark.sql.autoBroadcastJoinThreshold``; a larger one is sort-merge joined
+    and AQE splits the fact's hot keys.
+    """
+    return left.join(dimension, on, "left")
 
 
 # --- salted join -------------------------------------------------------------
@@ -90,21 +70,25 @@ class HotKeys:
         return F.xxhash64(*on).isin(list(self.hashes))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, max_keys: int = HOT_KEYS) -> HotKeys:
-    """Keys with more than ``hot_rows`` rows, the biggest ``max_keys`` of them."""
-    top = (
-        df.groupBy(*on)
-        .count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"))
-        .limit(max_keys)
-        .select(F.xxhash64(*on).alias("h"), F.col("count").alias("n"))
-        .collect()
-    )
-    if not top:
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
+    """Keys with more than ``hot_rows`` rows.
+
+    A frame of no more rows than that has none. Otherwise a sketch names every
+    key that may be that frequent, and a second pass counts just those. Keys are
+    told apart by hash; a collision only salts a key that did not need it.
+    """
+    n = df.count()
+    if n <= hot_rows:
+        return HotKeys((), 1)
+    hashed = df.select(F.xxhash64(*on).alias("h"))
+    frequent = hashed.freqItems(["h"], max(HOT_SHARE, min(1.0, hot_rows / n))).first()[0] or []
+    if not frequent:
+        return HotKeys((), 1)
+    hot = hashed.where(F.col("h").isin(list(frequent))).groupBy("h").count().where(F.col("count") > hot_rows).collect()
+    if not hot:
         return HotKeys((), 1)
-    pieces = ceil(max(r["n"] for r in top) / hot_rows)
-    return HotKeys(tuple(r["h"] for r in top), min(MAX_PIECES, max(2, pieces)))
+    pieces = ceil(max(r["count"] for r in hot) / hot_rows)
+    return HotKeys(tuple(r["h"] for r in hot), min(MAX_PIECES, max(2, pieces)))
 
 
 def _row_salt(df: DataFrame, hot: HotKeys, on: Sequence[str]) -> Column:
@@ -195,17 +179,16 @@ def number_rows(
     pieces before it. ``order_by`` must end in a unique tie-break.
     """
     keys, order, running = list(keys), sort_columns(order_by), running or {}
-    sizes = df.groupBy(*keys).count().agg(F.max("count").alias("top"), F.sum("count").alias("n")).first()
     up_to_here = (W.unboundedPreceding, W.currentRow)
 
-    if (sizes["top"] or 0) <= group_rows:
+    if not hot_keys(df, keys, group_rows):
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns(
             {name: F.row_number().over(w).cast("long")}
             | {c: F.sum(v).over(w.rowsBetween(*up_to_here)) for c, v in running.items()}
         )
 
-    pieces = min(MAX_PIECES, max(2, ceil(sizes["n"] / group_rows)))
+    pieces = min(MAX_PIECES, max(2, ceil(df.count() / group_rows)))
     measures = {f"_m{i}": v for i, v in enumerate(running.values())}
     cut = stage(
         df.withColumns(measures)
