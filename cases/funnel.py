@@ -1 +1,395 @@
-QUERIES, ORACLE = {}, {}
+"""Booking log, invoices, visit sequences, cohorts and billing."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from caretally.functions.text import new_values
+from caretally.operators.aggs import run_metrics
+from caretally.operators.dedup import claim_map
+from caretally.operators.lists import ordered_list
+from caretally.operators.sequence import ordinal_mix
+from caretally.plans import funnel
+from cases import tables as t
+
+DONE = "purchase"
+SITES = ("signup", "purchase", "view")
+
+
+# --- log ---------------------------------------------------------------------
+
+
+def _envelope(spark, d):
+    """Change log as JSON text built from each event: a text value, a number, a
+    null, a field that is no object, and for errors a text cut short."""
+    kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
+    body = F.concat(
+        F.lit('{"FacilityName":{"OldValue":"","NewValue":"'), kind, F.lit('"},"VisitType":{"NewValue":'), k,
+        F.lit('},"Reason":{"NewValue":null},"Notes":"plain","ProviderName":{"OldValue":"x"}}'),
+    )
+    cut = F.when(kind == "error", F.lit('{"FacilityName":{"NewV')).otherwise(body)
+    return t.table(spark, d, "events").select("event_id", cut.alias("log_details"), "props")
+
+
+def _json_fields(spark, d):
+    fields = ("FacilityName", "VisitType", "Reason", "Notes", "ProviderName")
+    rows = funnel.log_with_fields(_envelope(spark, d), fields)
+    return rows.select("event_id", F.get_json_object("props", "$.k").alias("k"), *fields)
+
+
+def _log_sites(spark, d):
+    rows = funnel.site_log(t.log(spark, d), SITES)
+    return rows.select("patient_id", "encounter_id", "FacilityName", "dob")
+
+
+def _joined(spark, d):
+    """Log with its encounters; label = encounter, good quality = checked out."""
+    encounters = t.table(spark, d, "labels").select(
+        F.col("doc_id").alias("encounter_id"),
+        F.when(F.col("quality") == 1, funnel.CHECKED_OUT).otherwise("open").alias("visit_status"),
+        F.lit(None).cast("date").alias("appointment_date"),
+        F.col("toxic").cast("string").alias("appointment_provider_name"),
+    )
+    return funnel.log_encounters(t.log(spark, d), encounters)
+
+
+JOINED_COLUMNS = ("patient_id", "encounter_id", "Reason", "matched_encounter_id", "visit_status", "appointment_provider_name")
+
+
+# --- invoices ----------------------------------------------------------------
+
+
+def _raw_invoices(spark, d):
+    """Event = invoice; its time is written in three ways and not at all."""
+    ts, kind = F.col("ts"), F.col("event_type")
+    text = (
+        F.when(kind == "view", F.date_format(ts, "M/d/yyyy h:mm a"))
+        .when(kind == "click", F.date_format(ts, "MM/dd/yyyy HH:mm"))
+        .when(kind == "error", F.lit("13/45/2024"))
+        .otherwise(F.date_format(ts, "MM/dd/yyyy"))
+    )
+    return t.table(spark, d, "events").select(
+        "event_id",
+        text.alias("BookingTime"),
+        F.date_format(ts, "M/d/yyyy h:mm a").alias("AppointmentTime"),
+        F.lit("").alias("PatientDateOfBirth"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("@example.com")).alias("PatientEmail"),
+        kind.alias("PatientFirstName"),
+        F.nullif(F.get_json_object("props", "$.k"), F.lit("7")).alias("PatientLastName"),
+        F.when(F.col("value") > 50, "Yes").otherwise("No").alias("Premium"),
+    )
+
+
+def _invoices(spark, d, cutoff="01/20/2024", mode="date"):
+    return funnel.invoices_until(funnel.standard_invoices(_raw_invoices(spark, d)), cutoff, mode)
+
+
+def _cutoff(mode):
+    def run(spark, d):
+        orders = t.table(spark, d, "orders").select(
+            "o_orderkey", F.date_format("o_orderdate", "MM/dd/yyyy").alias("BookingTime")
+        )
+        kept = funnel.invoices_until(orders, "06/15/1998", mode)
+        return kept.groupBy("month", "week").agg(F.count("*").alias("bookings"), F.min("day").alias("first_day"))
+
+    return run
+
+
+def _billed_users(spark, d):
+    return funnel.billed_users(_invoices(spark, d), ["event_id"], show=["event_id", "BookingTime", "week"])
+
+
+# --- sequences ---------------------------------------------------------------
+
+
+def _visits_joined(spark, d):
+    return t.visits(spark, d).withColumn("matched_encounter_id", F.col("encounter_id"))
+
+
+def _sequence(spark, d):
+    return funnel.sequence(_visits_joined(spark, d), DONE)
+
+
+def _masked(spark, d):
+    return funnel.conversions(_sequence(spark, d))
+
+
+SEQUENCE_COLUMNS = ("patient_id", "dob", "encounter_id", "visit_status", "rn", "is_converted", "converted_rn", "conversions_so_far")
+MASKED_COLUMNS = ("patient_id", "encounter_id", "rn", "converted_rn", "conversions_so_far")
+
+
+def _signups(spark, d):
+    """The channel's log: entries for signups only."""
+    return t.log(spark, d).where(F.col("FacilityName") == "signup")
+
+
+def _first_users(spark, d):
+    converted = funnel.one_per_patient(_masked(spark, d)).select("patient_id", "converted_rn")
+    return funnel.with_first_seen(converted, _signups(spark, d))
+
+
+def _since(spark, d):
+    visits = t.plain_visits(spark, d).select(
+        "patient_id", "encounter_id", "appointment_date", "visit_status", "visit_type", "np_flag"
+    )
+    return funnel.visits_since_first(visits, _first_users(spark, d), DONE)
+
+
+def _validator(spark, d):
+    return funnel.cohort_validator(_since(spark, d))
+
+
+def _claim_map(spark, d):
+    """Order = encounter, order = claim."""
+    pairs = t.table(spark, d, "orders").select(
+        F.col("o_orderkey").alias("claim_no"), F.col("o_orderkey").alias("encounter_id"), F.col("o_custkey").alias("patient_id")
+    )
+    return claim_map(pairs)
+
+
+def _billing(spark, d):
+    """Charges are the order's lines, taken as served on the shipping day in 2024."""
+    charges = t.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("claim_no"),
+        F.make_date(F.lit(2024), F.lit(1), F.dayofmonth("l_shipdate")).alias("service_date"),
+        F.col("l_extendedprice").cast("decimal(18,2)").alias("payment"),
+        F.col("l_quantity").alias("billed_charge"),
+    )
+    return funnel.billing_since_first(_since(spark, d), _claim_map(spark, d), charges)
+
+
+BILLING_COLUMNS = ("patient_id", "encounter_id", "claim_no", "payment", "billed_charge")
+
+
+def _billing_out(frame):
+    return frame.select(*BILLING_COLUMNS).withColumn("payment", F.col("payment").cast("double"))
+
+
+def _members(spark, d, which, rule="one"):
+    return funnel.cohort(_validator(spark, d), which, rule)
+
+
+def _last_new(spark, d):
+    return funnel.cohort_last_entries(_members(spark, d, "new", "nonzero"), t.log(spark, d))
+
+
+def _metrics(spark, d):
+    return run_metrics(
+        [
+            ("log", t.log(spark, d), {"rows": F.count("*"), "patients": F.countDistinct("patient_id"), "reasons": F.count("Reason")}),
+            ("conversions", _masked(spark, d), {"rows": F.count("*"), "patients": F.countDistinct("patient_id")}),
+            ("invoices", funnel.standard_invoices(_raw_invoices(spark, d)),
+             {"rows": F.count("*"), "bad_dates": F.count_if(F.col("BookingTime").isNull())}),
+        ]
+    )
+
+
+def _since_first_lines(spark, d):
+    """Lines of each customer's later orders: order date on or after the first."""
+    orders = t.table(spark, d, "orders").select(
+        F.col("o_custkey").alias("patient_id"), F.col("o_orderkey").alias("encounter_id"),
+        F.to_date("o_orderdate").alias("appointment_date"), F.col("o_orderstatus").alias("visit_status"),
+    )
+    firsts = funnel.first_seen(orders.where(F.col("visit_status") == "F"))
+    return funnel.visits_since_first(orders, firsts, "O")
+
+
+QUERIES = {
+    "json_fields": _json_fields,
+    "log_sites": _log_sites,
+    "log_last": lambda s, d: funnel.last_entries(t.log(s, d)),
+    "log_first": lambda s, d: funnel.first_seen(t.log(s, d)),
+    "log_summary": lambda s, d: funnel.log_summary(t.log(s, d)),
+    "log_summary_paged": lambda s, d: ordered_list(
+        t.log(s, d), ["patient_id"], {"reasons": F.col("Reason")}, funnel.LOG_ORDER, page_rows=25
+    ),
+    "date_standardise": lambda s, d: funnel.standard_invoices(_raw_invoices(s, d)).select(
+        "event_id", *funnel.INVOICE_DATES
+    ),
+    "week_bucket": lambda s, d: _invoices(s, d).groupBy("month", "week").agg(F.count("*").alias("invoices")),
+    "cutoff_text": _cutoff("text"),
+    "cutoff_date": _cutoff("date"),
+    "billed_users": _billed_users,
+    "billed_by_week": lambda s, d: funnel.users_by_week(_billed_users(s, d)),
+    "log_encounter_join": lambda s, d: _joined(s, d).select(*JOINED_COLUMNS),
+    "converted_users": lambda s, d: funnel.converted_users(_joined(s, d), show=["encounter_id", "Reason"]),
+    "visit_sequence": lambda s, d: _sequence(s, d).select(*SEQUENCE_COLUMNS),
+    "conversion_masked": lambda s, d: _masked(s, d).select(*MASKED_COLUMNS),
+    "conversion_first": lambda s, d: funnel.one_per_patient(_masked(s, d)).select(*MASKED_COLUMNS),
+    "ordinal_mix": lambda s, d: ordinal_mix(_masked(s, d)),
+    "unique_converted": lambda s, d: funnel.converted_encounters(_masked(s, d)),
+    "first_seen": lambda s, d: funnel.with_first_seen(
+        t.plain_visits(s, d).select("patient_id", "encounter_id", "visit_status"), _signups(s, d)
+    ),
+    "visits_since_first": lambda s, d: _since(s, d),
+    "orders_since_first": _since_first_lines,
+    "cohort_validator": _validator,
+    "cohort_new_visits": lambda s, d: funnel.cohort_visits(_since(s, d), _members(s, d, "new")),
+    "cohort_established_visits": lambda s, d: funnel.cohort_visits(_since(s, d), _members(s, d, "established")),
+    "billing_since_first": lambda s, d: _billing_out(_billing(s, d)),
+    "cohort_billing": lambda s, d: _billing_out(funnel.cohort_billing(_billing(s, d), _members(s, d, "new"))),
+    "billing_totals": lambda s, d: funnel.billing_totals(_billing(s, d), _validator(s, d)),
+    "cohort_last_log": _last_new,
+    "reason_share": lambda s, d: funnel.reason_share(funnel.last_entries(t.log(s, d)), _last_new(s, d)),
+    "run_metrics": _metrics,
+}
+
+# --- oracle ------------------------------------------------------------------
+
+LAST = f"""
+SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY modify_date DESC, encounter_id DESC) AS r
+FROM ({t.LOG_SQL})) WHERE r = 1
+"""
+INVOICES = """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN CAST(ts AS DATE) END AS booked, ts,
+       'u' || user_id || '@example.com' AS PatientEmail,
+       event_type || ' ' || nullif(json_extract_string(props, '$.k'), '7') AS name,
+       CASE WHEN value > 50 THEN 'Yes' ELSE 'No' END AS Premium
+FROM events
+"""
+WEEK = "CASE WHEN {0} <= 7 THEN 'S1' WHEN {0} <= 15 THEN 'S2' WHEN {0} <= 23 THEN 'S3' ELSE 'S4' END"
+KEPT = f"SELECT *, {WEEK.format('day(booked)')} AS week FROM ({INVOICES}) WHERE booked <= DATE '2024-01-20'"
+BILLED = f"""
+SELECT PatientEmail, CAST(0 AS BIGINT) AS page, arg_min(event_id, event_id) AS event_id,
+       arg_min(strftime(booked, '%m/%d/%Y'), event_id) AS "BookingTime", arg_min(week, event_id) AS week,
+       count(*) AS n, string_agg(name, ',' ORDER BY event_id) AS names
+FROM ({KEPT}) WHERE Premium = 'Yes' GROUP BY 1
+"""
+
+
+def _cutoff_sql(where):
+    return f"""
+SELECT CAST(month(o_orderdate) AS INTEGER) AS month, {WEEK.format('day(o_orderdate)')} AS week, count(*) AS bookings,
+       CAST(min(day(o_orderdate)) AS INTEGER) AS first_day FROM orders WHERE {where} GROUP BY 1, 2"""
+
+
+JOINED = f"""
+SELECT l.patient_id, l.encounter_id, l.appointment_date, l.Reason, b.doc_id AS matched_encounter_id,
+       CASE WHEN b.doc_id IS NULL THEN NULL WHEN b.quality = 1 THEN 'CHK : Check Out' ELSE 'open' END AS visit_status,
+       CAST(b.toxic AS VARCHAR) AS appointment_provider_name
+FROM ({t.LOG_SQL}) l LEFT JOIN labels b ON b.doc_id = l.encounter_id
+"""
+SEQUENCE = f"""
+SELECT patient_id, dob, encounter_id, appointment_date, visit_status, rn, is_converted,
+       CASE WHEN is_converted = 1 THEN rn END AS converted_rn,
+       CAST(sum(is_converted) OVER (PARTITION BY patient_id, dob ORDER BY rn) AS BIGINT) AS conversions_so_far
+FROM (SELECT *, row_number() OVER (PARTITION BY patient_id, dob ORDER BY appointment_date, encounter_id) AS rn,
+             CASE WHEN visit_status = 'purchase' THEN 1 ELSE 0 END AS is_converted FROM ({t.VISITS_SQL}))
+"""
+MASKED = f"""
+SELECT patient_id, encounter_id, appointment_date, rn,
+       CASE WHEN row_number() OVER (PARTITION BY patient_id ORDER BY appointment_date, encounter_id) = 1 THEN converted_rn END
+           AS converted_rn,
+       CASE WHEN row_number() OVER (PARTITION BY patient_id ORDER BY appointment_date DESC, encounter_id DESC) = 1
+            THEN conversions_so_far END AS conversions_so_far
+FROM ({SEQUENCE}) WHERE is_converted = 1
+"""
+FIRSTS = "SELECT user_id AS patient_id, min(CAST(ts AS DATE)) AS first_seen FROM events WHERE event_type = 'signup' GROUP BY 1"
+SINCE = f"""
+SELECT v.patient_id, v.encounter_id, v.appointment_date, v.visit_status, v.visit_type, v.np_flag, m.converted_rn, f.first_seen
+FROM ({t.VISITS_SQL}) v JOIN (SELECT patient_id, max(converted_rn) AS converted_rn FROM ({MASKED}) GROUP BY 1) m
+  ON m.patient_id = v.patient_id
+JOIN ({FIRSTS}) f ON f.patient_id = v.patient_id
+WHERE v.visit_status = 'purchase' AND v.appointment_date >= f.first_seen
+"""
+VALIDATOR = f"""
+SELECT patient_id, CAST(sum(np_flag) AS BIGINT) AS validator, min(first_seen) AS first_seen,
+       string_agg(DISTINCT visit_type, ',' ORDER BY visit_type) AS visit_types FROM ({SINCE}) GROUP BY 1
+"""
+BILLING = f"""
+SELECT DISTINCT s.*, l.l_orderkey AS claim_no, CAST(l.l_extendedprice AS DECIMAL(18,2)) AS payment, l.l_quantity AS billed_charge
+FROM ({SINCE}) s JOIN orders o ON o.o_orderkey = s.encounter_id JOIN lineitem l ON l.l_orderkey = o.o_orderkey
+WHERE make_date(2024, 1, CAST(day(l.l_shipdate) AS INTEGER)) >= s.first_seen
+"""
+BILLING_OUT = "SELECT patient_id, encounter_id, claim_no, CAST(payment AS DOUBLE) AS payment, billed_charge"
+LAST_NEW = f"""
+SELECT v.patient_id, l.* EXCLUDE (patient_id) FROM ({VALIDATOR}) v LEFT JOIN ({LAST}) l ON l.patient_id = v.patient_id
+WHERE v.validator <> 0
+"""
+
+
+def _cohort_visits_sql(flag):
+    return f"""
+SELECT c.patient_id, c.validator, c.first_seen, c.visit_types, s.first_seen AS start_date
+FROM ({SINCE}) s JOIN ({VALIDATOR}) c ON c.patient_id = s.patient_id WHERE c.validator = {flag}"""
+
+
+ORACLE = {
+    "json_fields": """
+SELECT event_id, json_extract_string(props, '$.k') AS k,
+       CASE WHEN event_type <> 'error' THEN event_type END AS "FacilityName",
+       CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS "VisitType",
+       CAST(NULL AS VARCHAR) AS "Reason", CAST(NULL AS VARCHAR) AS "Notes", CAST(NULL AS VARCHAR) AS "ProviderName" FROM events""",
+    "log_sites": f"""
+SELECT patient_id, encounter_id, FacilityName, CAST(NULL AS VARCHAR) AS dob FROM ({t.LOG_SQL}) WHERE FacilityName IN {SITES}""",
+    "log_last": LAST,
+    "log_first": f"SELECT patient_id, min(appointment_date) AS first_seen FROM ({t.LOG_SQL}) GROUP BY 1",
+    "log_summary": f"""
+SELECT patient_id, CAST(0 AS BIGINT) AS page, count(patient_id) AS billed_times,
+       string_agg(Reason || '// ', ',' ORDER BY modify_date, encounter_id) AS reasons,
+       string_agg(VisitStatus || '// ', ',' ORDER BY modify_date, encounter_id) AS visit_statuses
+FROM ({t.LOG_SQL}) GROUP BY 1""",
+    "log_summary_paged": f"""
+SELECT patient_id, (rn - 1) // 25 AS page, count(*) AS n, string_agg(Reason, ',' ORDER BY rn) AS reasons
+FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY modify_date, encounter_id) AS rn FROM ({t.LOG_SQL}))
+GROUP BY 1, 2""",
+    "date_standardise": """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%m/%d/%Y') END AS "BookingTime",
+       strftime(ts, '%m/%d/%Y') AS "AppointmentTime", CAST(NULL AS VARCHAR) AS "PatientDateOfBirth" FROM events""",
+    "week_bucket": f"SELECT CAST(month(booked) AS INTEGER) AS month, week, count(*) AS invoices FROM ({KEPT}) GROUP BY 1, 2",
+    "cutoff_text": _cutoff_sql("strftime(o_orderdate, '%m/%d/%Y') <= '06/15/1998'"),
+    "cutoff_date": _cutoff_sql("o_orderdate <= TIMESTAMP '1998-06-15'"),
+    "billed_users": BILLED,
+    "billed_by_week": f"SELECT week, count(week) AS times FROM ({BILLED}) GROUP BY 1",
+    "log_encounter_join": f"SELECT {', '.join(JOINED_COLUMNS)} FROM ({JOINED})",
+    "converted_users": f"""
+SELECT patient_id, CAST(0 AS BIGINT) AS page, arg_min(encounter_id, (appointment_date, encounter_id)) AS encounter_id,
+       (array_agg(Reason ORDER BY appointment_date, encounter_id))[1] AS "Reason", count(*) AS n,
+       string_agg(CAST(patient_id AS VARCHAR), ',') AS patient_ids
+FROM ({JOINED}) WHERE visit_status = 'CHK : Check Out' GROUP BY 1""",
+    "visit_sequence": f"SELECT {', '.join(SEQUENCE_COLUMNS)} FROM ({SEQUENCE})",
+    "conversion_masked": f"SELECT {', '.join(MASKED_COLUMNS)} FROM ({MASKED})",
+    "conversion_first": f"""
+SELECT {', '.join(MASKED_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY patient_id
+ORDER BY appointment_date, encounter_id) AS r FROM ({MASKED})) WHERE r = 1""",
+    "ordinal_mix": f"""
+SELECT count(*) FILTER (WHERE converted_rn = 1) AS ord_1, count(*) FILTER (WHERE converted_rn = 2) AS ord_2,
+       count(*) FILTER (WHERE converted_rn = 3) AS ord_3, count(*) FILTER (WHERE converted_rn = 4) AS ord_4,
+       count(*) FILTER (WHERE converted_rn BETWEEN 2 AND 4) AS later, count(*) FILTER (WHERE converted_rn >= 5) AS ord_5_plus,
+       count(DISTINCT CASE WHEN converted_rn = 1 THEN patient_id END) AS first_visit_users, avg(converted_rn) AS mean_ordinal
+FROM ({MASKED})""",
+    "unique_converted": f"""
+SELECT patient_id, CAST(0 AS BIGINT) AS page, string_agg(DISTINCT CAST(encounter_id AS VARCHAR), ','
+       ORDER BY CAST(encounter_id AS VARCHAR)) AS encounter_ids FROM ({MASKED}) GROUP BY 1""",
+    "first_seen": f"""
+SELECT e.user_id AS patient_id, e.event_id AS encounter_id, e.event_type AS visit_status, f.first_seen
+FROM events e LEFT JOIN ({FIRSTS}) f ON f.patient_id = e.user_id""",
+    "visits_since_first": SINCE,
+    "orders_since_first": """
+SELECT o.o_custkey AS patient_id, o.o_orderkey AS encounter_id, CAST(o.o_orderdate AS DATE) AS appointment_date,
+       o.o_orderstatus AS visit_status, CAST(f.first_seen AS DATE) AS first_seen
+FROM orders o JOIN (SELECT o_custkey, min(o_orderdate) AS first_seen FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f
+  ON f.o_custkey = o.o_custkey WHERE o.o_orderstatus = 'O' AND o.o_orderdate >= f.first_seen""",
+    "cohort_validator": VALIDATOR,
+    "cohort_new_visits": _cohort_visits_sql(1),
+    "cohort_established_visits": _cohort_visits_sql(0),
+    "billing_since_first": f"{BILLING_OUT} FROM ({BILLING})",
+    "cohort_billing": f"{BILLING_OUT} FROM ({BILLING}) WHERE patient_id IN (SELECT patient_id FROM ({VALIDATOR}) WHERE validator = 1)",
+    "billing_totals": f"""
+SELECT CAST(sum(b.payment) AS DOUBLE) AS total_payment,
+       CAST(sum(CASE WHEN v.validator = 1 THEN b.payment END) AS DOUBLE) AS new_payment,
+       CAST(sum(CASE WHEN v.validator = 0 THEN b.payment END) AS DOUBLE) AS established_payment
+FROM ({BILLING}) b LEFT JOIN ({VALIDATOR}) v ON v.patient_id = b.patient_id""",
+    "cohort_last_log": LAST_NEW,
+    "reason_share": f"""
+SELECT a."Reason", a.booked, coalesce(n.new_patients, 0) AS new_patients
+FROM (SELECT Reason, count(Reason) AS booked FROM ({LAST}) GROUP BY 1) a
+LEFT JOIN (SELECT Reason, count(*) AS new_patients FROM ({LAST_NEW}) GROUP BY 1) n ON n.Reason = a.Reason""",
+    "run_metrics": f"""
+SELECT 'log' AS stage, m.metric, m.value FROM (SELECT CAST(count(*) AS DOUBLE) AS rows, CAST(count(DISTINCT user_id) AS DOUBLE) AS patients,
+    CAST(count(nullif(event_type, 'error')) AS DOUBLE) AS reasons FROM events) UNPIVOT (value FOR metric IN (rows, patients, reasons)) m
+UNION ALL SELECT 'conversions', m.metric, m.value FROM (SELECT CAST(count(*) AS DOUBLE) AS rows,
+    CAST(count(DISTINCT patient_id) AS DOUBLE) AS patients FROM ({MASKED})) UNPIVOT (value FOR metric IN (rows, patients)) m
+UNION ALL SELECT 'invoices', m.metric, m.value FROM (SELECT CAST(count(*) AS DOUBLE) AS rows,
+    CAST(count(*) FILTER (WHERE event_type = 'error') AS DOUBLE) AS bad_dates FROM events) UNPIVOT (value FOR metric IN (rows, bad_dates)) m""",
+}
