@@ -58,10 +58,12 @@ def lookup_join(left: DataFrame, dimension: DataFrame, on: str | Sequence[str])
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the keys above the limit, and pieces to cut each of them in."""
+    """Hashes of the keys above the limit, pieces to cut each of them in, and the
+    number of rows looked at."""
 
-    hashes: tuple[int, ...]
-    pieces: int
+    hashes: tuple[int, ...] = ()
+    pieces: int = 1
+    rows: int = 0
 
     def __bool__(self) -> bool:
         return bool(self.hashes)
@@ -79,16 +81,16 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotK
     """
     n = df.count()
     if n <= hot_rows:
-        return HotKeys((), 1)
+        return HotKeys(rows=n)
     hashed = df.select(F.xxhash64(*on).alias("h"))
     frequent = hashed.freqItems(["h"], max(HOT_SHARE, min(1.0, hot_rows / n))).first()[0] or []
     if not frequent:
-        return HotKeys((), 1)
+        return HotKeys(rows=n)
     hot = hashed.where(F.col("h").isin(list(frequent))).groupBy("h").count().where(F.col("count") > hot_rows).collect()
     if not hot:
-        return HotKeys((), 1)
+        return HotKeys(rows=n)
     pieces = ceil(max(r["count"] for r in hot) / hot_rows)
-    return HotKeys(tuple(r["h"] for r in hot), min(MAX_PIECES, max(2, pieces)))
+    return HotKeys(tuple(r["h"] for r in hot), min(MAX_PIECES, max(2, pieces)), n)
 
 
 def _row_salt(df: DataFrame, hot: HotKeys, on: Sequence[str]) -> Column:
@@ -149,12 +151,12 @@ def salted_join(
         right, unique_right = right.select(*on).distinct(), True
 
     hot_l = hot_keys(left, on, hot_rows)
-    hot_r = HotKeys((), 1) if unique_right else hot_keys(right, on, hot_rows)
+    hot_r = HotKeys() if unique_right else hot_keys(right, on, hot_rows)
     if not hot_l and not hot_r:
         return left.join(right, on, how)
     if how == "left" and hot_r:
         matched = _split(left, right, on, "inner", hot_l, hot_r)
-        lonely = _split(left, right.select(*on).distinct(), on, "left_anti", hot_l, HotKeys((), 1))
+        lonely = _split(left, right.select(*on).distinct(), on, "left_anti", hot_l, HotKeys())
         return matched.unionByName(lonely, allowMissingColumns=True)
     return _split(left, right, on, how, hot_l, hot_r)
 
@@ -181,14 +183,15 @@ def number_rows(
     keys, order, running = list(keys), sort_columns(order_by), running or {}
     up_to_here = (W.unboundedPreceding, W.currentRow)
 
-    if not hot_keys(df, keys, group_rows):
+    hot = hot_keys(df, keys, group_rows)
+    if not hot:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns(
             {name: F.row_number().over(w).cast("long")}
             | {c: F.sum(v).over(w.rowsBetween(*up_to_here)) for c, v in running.items()}
         )
 
-    pieces = min(MAX_PIECES, max(2, ceil(df.count() / group_rows)))
+    pieces = min(MAX_PIECES, max(2, ceil(hot.rows / group_rows)))
     measures = {f"_m{i}": v for i, v in enumerate(running.values())}
     cut = stage(
         df.withColumns(measures)

@@ -12,7 +12,7 @@ from caretally.functions.text import split_two
 from caretally.operators.aggs import count_if
 from caretally.operators.dedup import keep_first
 from caretally.operators.filters import label_in
-from caretally.operators.skew import OrderBy, salted_join
+from caretally.operators.skew import OrderBy
 
 
 def typed_documents(raw: DataFrame) -> DataFrame:
@@ -63,7 +63,7 @@ def review_lags(assigned: DataFrame, report: DataFrame, tie_break: OrderBy, limi
     before the join, so that the join adds no rows.
     """
     listed = keep_first(report.where(F.col("doc_id").isNotNull()), "doc_id", tie_break)
-    joined = salted_join(assigned, listed, "doc_id", "left", unique_right=True)
+    joined = assigned.join(listed, "doc_id", "left")
     days = calendar_days("scan_date", "reviewed_date")
     return joined.withColumn("review_days", days).withColumn("in_time", within("review_days", limit))
 
