@@ -57,7 +57,7 @@ class Csv:
     """
 
     path: str
-    schema: T.StructType | None = None
+    schema: T.StructType | str | None = None
     encoding: str = "UTF-8"
 
     def read(self, spark: SparkSession) -> DataFrame:
