@@ -8,7 +8,17 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretally.functions.dates import elapsed_days, happened, in_month, lag, lag_bucket, parse_stamp
+from caretally.functions.dates import (
+    NO_RESULT,
+    NO_REVIEW,
+    elapsed_days,
+    happened,
+    in_month,
+    lag,
+    lag_bucket,
+    lag_text,
+    parse_stamp,
+)
 from caretally.functions.text import is_zero
 from caretally.operators.aggs import bucket_pivot, count_if, lag_summary, mean_days
 from caretally.operators.filters import both, not_both
@@ -58,6 +68,17 @@ def with_lags(labs: DataFrame, in_house_ids: Sequence[int], run_time: datetime |
     return rows if run_time is None else rows.withColumn("run_time", F.lit(run_time).cast("timestamp_ntz"))
 
 
+def report_rows(labs: DataFrame) -> DataFrame:
+    """The labs with both lags as text, and the markers where nothing happened."""
+    never = ~happened("result_date"), ~happened("reviewed_date")
+    return labs.withColumns(
+        {
+            "result_lag": F.when(never[0], F.lit(NO_RESULT)).otherwise(lag_text(F.col("result_lag"))),
+            "review_lag": F.when(never[1], F.lit(NO_REVIEW)).otherwise(lag_text(F.col("review_lag"))),
+        }
+    )
+
+
 def outcome_counts(labs: DataFrame, answered: str = "answered_compat") -> DataFrame:
     """Labs and encounters in each of the four cells answered x in house."""
     return labs.groupBy(answered, "in_house").agg(

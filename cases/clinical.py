@@ -127,6 +127,9 @@ QUERIES = {
     "lab_outcomes": lambda s, d: labs.outcome_counts(_labs(s, d)),
     "lab_month_slice": lambda s, d: labs.month_of_results(t.labs(s, d), 1996, 11),
     "sentinel_lag": _sentinel,
+    "lab_report_rows": lambda s, d: labs.report_rows(_labs(s, d)).select(
+        "encounter_id", "item_id", "reviewed_by", "result_lag", "review_lag"
+    ),
     "same_day_complement": _same_day,
     "reviewer_summary": lambda s, d: labs.reviewer_summary(_answered(s, d)),
     "reviewer_buckets": lambda s, d: labs.reviewer_buckets(_answered(s, d)),
@@ -201,6 +204,12 @@ SELECT encounter_id, count(*) AS labs, round(avg(review_days), 2) AS avg_rev,
        count(*) FILTER (WHERE NOT reviewed) AS pending FROM ({source}) GROUP BY 1"""
 
 
+def _lag_text(interval):
+    s = f"epoch({interval})"
+    return (f"(CAST(floor({s} / 86400) AS BIGINT) || ' days ' || "
+            f"strftime(TIMESTAMP '2000-01-01' + to_seconds({s} - 86400 * floor({s} / 86400)), '%H:%M:%S'))")
+
+
 SAME_DAY = "result_days IS NOT NULL AND result_days = 0 AND reviewed"
 
 ORACLE = {
@@ -243,6 +252,11 @@ SELECT answered, answered_compat, reviewed, count(*) AS labs,
        CAST(sum(result_days) AS BIGINT) AS result_days,
        CAST(sum(CASE WHEN answered THEN review_days END) AS BIGINT) AS review_days
 FROM ({LABS}) GROUP BY 1, 2, 3""",
+    "lab_report_rows": f"""
+SELECT encounter_id, item_id, reviewed_by,
+       CASE WHEN NOT answered THEN 'Sin Resultados' ELSE {_lag_text('result_date - coll_date')} END AS result_lag,
+       CASE WHEN NOT reviewed THEN 'Sin revisión' ELSE {_lag_text('reviewed_date - result_date')} END AS review_lag
+FROM ({LABS})""",
     "same_day_complement": f"""
 SELECT orderer_id, count(*) AS labs, CASE WHEN {SAME_DAY} THEN 'same_day' ELSE 'other' END AS half
 FROM ({LABS}) GROUP BY 1, 3""",

@@ -10,11 +10,8 @@ from caretally.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    from pyspark.sql import SparkSession
-
     warehouse = str(tmp_path_factory.mktemp("warehouse"))
-    SparkSession.builder.config("spark.sql.warehouse.dir", warehouse)
-    session = local_session(4, shuffle_partitions=4, memory="4g")
+    session = local_session(4, shuffle_partitions=4, memory="4g", conf={"spark.sql.warehouse.dir": warehouse})
     yield session
     session.stop()
 
