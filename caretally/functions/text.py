@@ -12,6 +12,8 @@ DOB = r"DOB: (\d{2}/\d{2}/\d{4})"
 PHONE = r"\(\d{3}\)\s\d{3}-\d{4}"
 ID_8 = r"\d{8}"
 EMAIL = r"\S+@\S+"
+# Text that any match of a pattern holds.
+FIXED_PART = {DOB: "DOB: ", PHONE: "(", EMAIL: "@"}
 
 
 def booking_id(label: str) -> str:
@@ -27,22 +29,33 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def new_values(c: Column | str, fields: Sequence[str] = LOG_FIELDS) -> Column:
-    """Struct of each field's NewValue out of ``{field: {OldValue, NewValue}}``.
+def parsed_log(c: Column | str, fields: Sequence[str] = LOG_FIELDS) -> Column:
+    """``{field: {OldValue, NewValue}}`` text, parsed once for all the fields.
 
-    The text is parsed once for all fields. Missing fields, fields that are not
-    objects and malformed text give null.
+    Keep it as a column and take ``new_value`` of that column per field: spelled
+    out per field, Spark would parse the text again for each.
     """
-    schema = "struct<" + ",".join(f"`{f}`:struct<NewValue:string>" for f in fields) + ">"
-    parsed = F.from_json(_col(c), schema)
-    return F.struct(*[parsed[f]["NewValue"].alias(f) for f in fields])
+    return F.from_json(_col(c), "struct<" + ",".join(f"`{f}`:struct<NewValue:string>" for f in fields) + ">")
+
+
+def new_value(parsed: Column | str, field: str) -> Column:
+    """NewValue of a field; null if the field is missing or no object, or the
+    text was malformed."""
+    return _col(parsed)[field]["NewValue"]
 
 
 def first_match(c: Column | str, *patterns: str) -> Column:
     """What the first matching pattern captures (its group, or the whole match);
-    null for null, blank or unmatched text."""
-    found = [F.nullif(F.regexp_extract(_col(c), p, 1 if _has_group(p) else 0), F.lit("")) for p in patterns]
-    return F.when(F.trim(_col(c)) != "", F.coalesce(*found))
+    null for null, blank or unmatched text. Texts without the fixed part of a
+    pattern are passed over before the pattern is tried."""
+    text = _col(c)
+
+    def found(pattern: str) -> Column:
+        fixed = FIXED_PART.get(pattern)
+        test = text.rlike(pattern) if fixed is None else text.contains(fixed) & text.rlike(pattern)
+        return F.when(test, F.regexp_extract(text, pattern, 1 if _has_group(pattern) else 0))
+
+    return F.coalesce(*[found(p) for p in patterns])
 
 
 def _has_group(pattern: str) -> bool:

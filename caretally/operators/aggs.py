@@ -61,15 +61,29 @@ def mean_days(days: Column | str) -> Column:
     return F.round(F.avg(days), 2)
 
 
-def lag_summary(df: DataFrame, key: str, days: str, lists: dict[str, Column | str]) -> DataFrame:
-    """Per key: mean lag, rows, and a distinct list per entry of ``lists``."""
-    return df.groupBy(key).agg(
-        *[small_list(c).alias(n) for n, c in lists.items()],
-        mean_days(days).alias("avg_rev"),
-        F.count("*").alias("labs"),
+def _condensed(df: DataFrame, key: str, days: str, lists: dict[str, Column | str], also: dict[str, Column]) -> DataFrame:
+    """Rows, known lags and their sum per combination of key, list values and
+    ``also``. Staff and bucket combinations are few, so gathering the lists
+    afterwards costs next to nothing."""
+    values = {n: F.col(c) if isinstance(c, str) else c for n, c in lists.items()}
+    return df.groupBy(key, *[c.alias(n) for n, c in (values | also).items()]).agg(
+        F.count("*").alias("_rows"), F.count(days).alias("_known"), F.sum(days).alias("_days")
     )
 
 
+def _summary(lists: dict[str, Column | str]) -> list[Column]:
+    mean = F.sum("_days") / F.nullif(F.sum("_known"), F.lit(0))
+    return [*[small_list(n).alias(n) for n in lists], F.round(mean, 2).alias("avg_rev"), F.sum("_rows").alias("labs")]
+
+
+def lag_summary(
+    df: DataFrame, key: str, days: str, lists: dict[str, Column | str], by: dict[str, Column] | None = None
+) -> DataFrame:
+    """Per key (and ``by``): mean lag, rows, and a distinct list per entry of ``lists``."""
+    condensed = _condensed(df, key, days, lists, by or {})
+    return condensed.groupBy(key, *(by or {})).agg(*_summary(lists))
+
+
 def bucket_pivot(df: DataFrame, key: str, days: str, lists: dict[str, Column | str] | None = None) -> DataFrame:
     """``lag_summary`` plus a count per lag bucket and shares, in one pass.
 
@@ -77,16 +91,14 @@ def bucket_pivot(df: DataFrame, key: str, days: str, lists: dict[str, Column | s
     every bucket. ``share_b2`` is the second bucket's share; ``share_b1`` and
     ``share_le_5`` are those of the first and of the first two.
     """
-    buckets = range(1, len(LAG_BOUNDS) + 2)
-    counts = {f"b{b}": count_if(F.col("_bucket") == b) for b in buckets}
+    lists = lists or {}
+    buckets = {f"b{b}": F.col("_bucket") == b for b in range(1, len(LAG_BOUNDS) + 2)}
     grouped = (
-        df.withColumn("_bucket", lag_bucket(days))
+        _condensed(df, key, days, lists, {"_bucket": lag_bucket(days)})
         .groupBy(key)
         .agg(
-            *[small_list(c).alias(n) for n, c in (lists or {}).items()],
-            mean_days(days).alias("avg_rev"),
-            F.count("*").alias("labs"),
-            *[c.alias(n) for n, c in counts.items()],
+            *_summary(lists),
+            *[F.sum(F.when(test, F.col("_rows")).otherwise(0)).alias(n) for n, test in buckets.items()],
         )
     )
 
@@ -94,7 +106,7 @@ def bucket_pivot(df: DataFrame, key: str, days: str, lists: dict[str, Column | s
         part = reduce(lambda a, b: a + b, [F.col(p) for p in parts])
         return F.round(part.cast("double") / F.col("labs"), 2)
 
-    filled = {n: F.when(F.col(key).isNotNull(), F.nullif(F.col(n), F.lit(0))) for n in counts}
+    filled = {n: F.when(F.col(key).isNotNull(), F.nullif(F.col(n), F.lit(0))) for n in buckets}
     return grouped.withColumns({"share_b1": share("b1"), "share_le_5": share("b1", "b2")}).withColumns(
         filled | {"share_b2": F.round(filled["b2"].cast("double") / F.col("labs"), 2)}
     )

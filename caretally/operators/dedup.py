@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caretally.operators.skew import OrderBy, number_rows, sort_columns
+from caretally.operators.skew import HOT_ROWS, OrderBy, hot_keys, number_rows, sort_columns
 
 
 def keep_first(df: DataFrame, keys: str | Sequence[str], order_by: OrderBy) -> DataFrame:
@@ -24,13 +24,23 @@ def keep_last(df: DataFrame, keys: str | Sequence[str], order_by: Sequence[str])
     return keep_first(df, keys, [F.desc(c) for c in order_by])
 
 
-def keep_value_on_first(
-    df: DataFrame, keys: Sequence[str], order_by: Sequence[str], column: str, *, last: bool = False, **size
+def keep_values_on_edges(
+    df: DataFrame,
+    keys: Sequence[str],
+    order_by: Sequence[str],
+    *,
+    on_first: Sequence[str] = (),
+    on_last: Sequence[str] = (),
+    group_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Null ``column`` everywhere but on the first (or last) row of each key."""
-    order = [F.desc(c) for c in order_by] if last else list(order_by)
-    numbered = number_rows(df, keys, order, name="_rn", **size)
-    return numbered.withColumn(column, F.when(F.col("_rn") == 1, F.col(column))).drop("_rn")
+    """Null some columns everywhere but on the first, others everywhere but on
+    the last row of each key. No row is dropped."""
+    size = {"group_rows": group_rows, "hot": hot_keys(df, keys, group_rows)}
+    for columns, order in ((on_first, list(order_by)), (on_last, [F.desc(c) for c in order_by])):
+        if columns:
+            df = number_rows(df, keys, order, name="_rn", **size)
+            df = df.withColumns({c: F.when(F.col("_rn") == 1, F.col(c)) for c in columns}).drop("_rn")
+    return df
 
 
 def claim_map(claims: DataFrame, mode: str = "pairs") -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretally.operators.aggs import count_if
-from caretally.operators.dedup import keep_value_on_first
+from caretally.operators.dedup import keep_values_on_edges
 from caretally.operators.skew import number_rows
 
 
@@ -34,8 +34,9 @@ def masked_conversions(
     """The conversions; the ordinal only on a key's first one and the count so
     far only on its last one. The keys may be coarser than the sequence's."""
     rows = sequence.where(F.col("is_converted") == 1).drop("is_converted")
-    rows = keep_value_on_first(rows, keys, order_by, "conversions_so_far", last=True, **size)
-    return keep_value_on_first(rows, keys, order_by, "converted_rn", **size)
+    return keep_values_on_edges(
+        rows, keys, order_by, on_first=["converted_rn"], on_last=["conversions_so_far"], **size
+    )
 
 
 def ordinal_mix(masked: DataFrame) -> DataFrame:

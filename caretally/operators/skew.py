@@ -172,18 +172,20 @@ def number_rows(
     name: str = "rn",
     running: dict[str, Column] | None = None,
     group_rows: int = HOT_ROWS,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Row number per key in the given order, and running sums next to it.
 
     If every key fits one task this is a window per key. Otherwise the rows are
     range-partitioned on key *and* order, which cuts a big key into consecutive
     pieces; each piece is numbered alone and then shifted by the size of the
-    pieces before it. ``order_by`` must end in a unique tie-break.
+    pieces before it. ``order_by`` must end in a unique tie-break. ``hot`` hands
+    over what ``hot_keys`` found for the same rows and keys.
     """
     keys, order, running = list(keys), sort_columns(order_by), running or {}
     up_to_here = (W.unboundedPreceding, W.currentRow)
 
-    hot = hot_keys(df, keys, group_rows)
+    hot = hot_keys(df, keys, group_rows) if hot is None else hot
     if not hot:
         w = W.partitionBy(*keys).orderBy(*order)
         return df.withColumns(

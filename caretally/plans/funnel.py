@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretally.functions.dates import parse_month_first, standard_date, until, week_bucket
-from caretally.functions.text import DOB, LOG_FIELDS, first_match, new_values
+from caretally.functions.text import DOB, LOG_FIELDS, first_match, new_value, parsed_log
 from caretally.operators.aggs import money
 from caretally.operators.dedup import keep_first, keep_last
 from caretally.operators.filters import label_in
@@ -28,8 +28,8 @@ VISIT_ORDER = ("appointment_date", "encounter_id")
 
 def log_with_fields(log: DataFrame, fields: Sequence[str] = LOG_FIELDS) -> DataFrame:
     """The log with the new value of each field as a column."""
-    parsed = log.withColumn("_new", new_values("log_details", fields))
-    return parsed.select(*log.columns, *[F.col("_new")[f].alias(f) for f in fields])
+    parsed = log.withColumn("_parsed", parsed_log("log_details", fields))
+    return parsed.select(*log.columns, *[new_value("_parsed", f).alias(f) for f in fields])
 
 
 def site_log(log: DataFrame, sites: Sequence[str]) -> DataFrame:

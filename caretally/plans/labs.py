@@ -22,7 +22,6 @@ from caretally.functions.dates import (
 from caretally.functions.text import is_zero
 from caretally.operators.aggs import bucket_pivot, count_if, lag_summary, mean_days
 from caretally.operators.filters import both, not_both
-from caretally.operators.lists import small_list
 
 # Report list -> column it is made of.
 STAFF_LISTS = {"assigned_to": "assigned_to_id", "ordered_by": "orderer_id", "orderer_names": "orderer_name"}
@@ -122,16 +121,8 @@ def reviewer_buckets(labs: DataFrame, suffix: str = "//") -> DataFrame:
 
 def bucket_detail(labs: DataFrame) -> DataFrame:
     """Mean lag, labs and distinct lists per reviewer and bucket, all buckets at once."""
-    return (
-        labs.withColumn("bucket", lag_bucket("review_days"))
-        .where(F.col("bucket").isNotNull())
-        .groupBy("reviewed_by", "bucket")
-        .agg(
-            *[small_list(c).alias(n) for n, c in _staff_lists("").items()],
-            mean_days("review_days").alias("avg_rev"),
-            F.count("*").alias("labs"),
-        )
-    )
+    known = labs.where(F.col("review_days").isNotNull())
+    return lag_summary(known, "reviewed_by", "review_days", _staff_lists(""), {"bucket": lag_bucket("review_days")})
 
 
 def answered_unreviewed(labs: DataFrame) -> DataFrame:

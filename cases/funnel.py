@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from caretally.functions.text import new_values
 from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
 from caretally.operators.lists import ordered_list
 from caretally.operators.sequence import ordinal_mix
 from caretally.plans import funnel
+from caretally.session import stage
 from cases import tables as t
 
 DONE = "purchase"
@@ -111,7 +111,7 @@ def _sequence(spark, d):
 
 
 def _masked(spark, d):
-    return funnel.conversions(_sequence(spark, d))
+    return funnel.conversions(stage(_sequence(spark, d), "sequence"))
 
 
 SEQUENCE_COLUMNS = ("patient_id", "dob", "encounter_id", "visit_status", "rn", "is_converted", "converted_rn", "conversions_so_far")
@@ -129,14 +129,15 @@ def _first_users(spark, d):
 
 
 def _since(spark, d):
+    """Staged, as in the whole report: several results read it."""
     visits = t.plain_visits(spark, d).select(
         "patient_id", "encounter_id", "appointment_date", "visit_status", "visit_type", "np_flag"
     )
-    return funnel.visits_since_first(visits, _first_users(spark, d), DONE)
+    return stage(funnel.visits_since_first(visits, _first_users(spark, d), DONE), "since")
 
 
-def _validator(spark, d):
-    return funnel.cohort_validator(_since(spark, d))
+def _validator(spark, d, since=None):
+    return funnel.cohort_validator(since or _since(spark, d))
 
 
 def _claim_map(spark, d):
@@ -147,7 +148,7 @@ def _claim_map(spark, d):
     return claim_map(pairs)
 
 
-def _billing(spark, d):
+def _billing(spark, d, since=None):
     """Charges are the order's lines, taken as served on the shipping day in 2024."""
     charges = t.table(spark, d, "lineitem").select(
         F.col("l_orderkey").alias("claim_no"),
@@ -155,7 +156,7 @@ def _billing(spark, d):
         F.col("l_extendedprice").cast("decimal(18,2)").alias("payment"),
         F.col("l_quantity").alias("billed_charge"),
     )
-    return funnel.billing_since_first(_since(spark, d), _claim_map(spark, d), charges)
+    return funnel.billing_since_first(since or _since(spark, d), _claim_map(spark, d), charges)
 
 
 BILLING_COLUMNS = ("patient_id", "encounter_id", "claim_no", "payment", "billed_charge")
@@ -165,8 +166,26 @@ def _billing_out(frame):
     return frame.select(*BILLING_COLUMNS).withColumn("payment", F.col("payment").cast("double"))
 
 
-def _members(spark, d, which, rule="one"):
-    return funnel.cohort(_validator(spark, d), which, rule)
+def _members(spark, d, which, rule="one", since=None):
+    return funnel.cohort(_validator(spark, d, since), which, rule)
+
+
+def _cohort_visits(which):
+    def run(spark, d):
+        since = _since(spark, d)
+        return funnel.cohort_visits(since, _members(spark, d, which, since=since))
+
+    return run
+
+
+def _cohort_billing(spark, d):
+    since = _since(spark, d)
+    return _billing_out(funnel.cohort_billing(_billing(spark, d, since), _members(spark, d, "new", since=since)))
+
+
+def _billing_totals(spark, d):
+    since = _since(spark, d)
+    return funnel.billing_totals(_billing(spark, d, since), _validator(spark, d, since))
 
 
 def _last_new(spark, d):
@@ -224,11 +243,11 @@ QUERIES = {
     "visits_since_first": lambda s, d: _since(s, d),
     "orders_since_first": _since_first_lines,
     "cohort_validator": _validator,
-    "cohort_new_visits": lambda s, d: funnel.cohort_visits(_since(s, d), _members(s, d, "new")),
-    "cohort_established_visits": lambda s, d: funnel.cohort_visits(_since(s, d), _members(s, d, "established")),
+    "cohort_new_visits": _cohort_visits("new"),
+    "cohort_established_visits": _cohort_visits("established"),
     "billing_since_first": lambda s, d: _billing_out(_billing(s, d)),
-    "cohort_billing": lambda s, d: _billing_out(funnel.cohort_billing(_billing(s, d), _members(s, d, "new"))),
-    "billing_totals": lambda s, d: funnel.billing_totals(_billing(s, d), _validator(s, d)),
+    "cohort_billing": _cohort_billing,
+    "billing_totals": _billing_totals,
     "cohort_last_log": _last_new,
     "reason_share": lambda s, d: funnel.reason_share(funnel.last_entries(t.log(s, d)), _last_new(s, d)),
     "run_metrics": _metrics,

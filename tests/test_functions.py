@@ -98,10 +98,11 @@ def test_in_month_and_range_reach_the_scan(spark, tmp_path, capsys):
     assert values(df.where(dates.in_range("a", date(2023, 11, 30), date(2023, 12, 31))), "i") == [2]
 
 
-def test_new_values(spark):
+def test_new_value(spark):
     texts = ['{"A":{"OldValue":"x","NewValue":"y"},"B":{"NewValue":5}}', '{"B":{"OldValue":1}}', '{"A":{"NewValue":null}}',
              '{"A":"text","B":{"NewValue":"k"}}', '{"A":{"NewV', '{"A":{"NewValue":"k"}} junk', None]
-    got = column(spark, texts).select(text.new_values("c", ["A", "B"]).alias("n")).select("n.*").collect()
+    parsed = column(spark, texts).withColumn("p", text.parsed_log("c", ["A", "B"]))
+    got = parsed.select(text.new_value("p", "A"), text.new_value("p", "B")).collect()
     assert [tuple(r) for r in got] == [("y", "5"), (None, None), (None, None), (None, "k"), (None, None), ("k", None), (None, None)]
 
 

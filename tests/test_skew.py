@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from caretally.operators import skew
-from caretally.operators.dedup import claim_map, keep_first, keep_last, keep_value_on_first
+from caretally.operators.dedup import claim_map, keep_first, keep_last, keep_values_on_edges
 from caretally.operators.lists import distinct_list, ordered_list
 
 
@@ -143,14 +143,15 @@ def test_keep_first_limits_before_the_shuffle(frame, capsys):
     assert plan.index("Final") < plan.index("Exchange hashpartitioning") < plan.index("Partial")
 
 
-@pytest.mark.parametrize("last", [False, True])
-def test_keep_value_on_first(frame, data, last):
-    got = keep_value_on_first(frame.where("v is not null"), ["k"], ["day", "id"], "v", last=last, group_rows=50)
-    kept = {r["k"]: r["id"] for r in got.where("v is not null").collect()}
+@pytest.mark.parametrize("group_rows", [50, 100_000])
+def test_keep_values_on_edges(frame, data, group_rows):
+    known = frame.where("v is not null").withColumn("w", F.col("v"))
+    got = keep_values_on_edges(known, ["k"], ["day", "id"], on_first=["v"], on_last=["w"], group_rows=group_rows)
     rows = [r for r in data if r[3] is not None]
-    pick = max if last else min
-    assert kept == {k: pick((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))[2] for k in {r[0] for r in rows}}
-    assert got.count() == len(rows)
+    for column, pick in (("v", min), ("w", max)):
+        kept = {r["k"]: r["id"] for r in got.where(f"{column} is not null").collect()}
+        assert kept == {k: pick((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2]))[2] for k in {r[0] for r in rows}}
+    assert got.count() == len(rows) and got.columns == known.columns
 
 
 def test_claim_map(spark, as_rows):
