@@ -71,15 +71,16 @@ def fiscal_job(
     periods: Sequence[str],
     claim_order: Sequence[str],
 ) -> Tables:
-    revenue = stage(fiscal.in_periods(fiscal.with_period(applied_revenue, "service_date", calendar), periods), "revenue")
-    collections = stage(
-        fiscal.in_periods(fiscal.with_period(applied_revenue, "deposit_date", calendar), periods), "collections"
-    )
+    def kept(df: DataFrame, day: str) -> DataFrame:
+        return fiscal.within_periods(df, day, calendar, periods)
+
+    revenue = stage(kept(applied_revenue, "service_date"), "revenue")
+    collections = stage(kept(applied_revenue, "deposit_date"), "collections")
     single = stage(fiscal.one_per_claim(claims_with, claim_order), "single_claims")
-    counted = stage(fiscal.in_periods(fiscal.with_period(claims_with, "service_date", calendar), periods), "claims_with")
-    counted_without = fiscal.in_periods(fiscal.with_period(claims_without, "service_date", calendar), periods)
+    counted = stage(kept(claims_with, "service_date"), "claims_with")
+    counted_without = kept(claims_without, "service_date")
     money = {
-        f"{name}_by_{short}": fiscal.money_report(lines, claims, dim, periods)
+        f"{name}_by_{short}": fiscal.money_report(lines, claims, dim)
         for name, lines in (("revenue", revenue), ("collections", collections))
         for short, claims, dim in (
             ("payer", single, "payer_class"),

@@ -64,9 +64,13 @@ def mean_days(days: Column | str) -> Column:
 def _condensed(df: DataFrame, key: str, days: str, lists: dict[str, Column | str], also: dict[str, Column]) -> DataFrame:
     """Rows, known lags and their sum per combination of key, list values and
     ``also``. Staff and bucket combinations are few, so gathering the lists
-    afterwards costs next to nothing."""
+    afterwards costs next to nothing. Without lists the rows stay as they are."""
     values = {n: F.col(c) if isinstance(c, str) else c for n, c in lists.items()}
-    return df.groupBy(key, *[c.alias(n) for n, c in (values | also).items()]).agg(
+    groups = [F.col(key), *[c.alias(n) for n, c in (values | also).items()]]
+    if not lists:
+        known = F.when(F.col(days).isNotNull(), 1).otherwise(0)
+        return df.select(*groups, F.lit(1).alias("_rows"), known.alias("_known"), F.col(days).alias("_days"))
+    return df.groupBy(*groups).agg(
         F.count("*").alias("_rows"), F.count(days).alias("_known"), F.sum(days).alias("_days")
     )
 

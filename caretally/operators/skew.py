@@ -144,9 +144,10 @@ def salted_join(
         raise ValueError(f"unsupported join: {how}")
 
     # A null key never matches.
-    right = right.na.drop(subset=on)
+    known = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in on])
+    right = right.where(known)
     if how == "inner":
-        left = left.na.drop(subset=on)
+        left = left.where(known)
     if how in ("left_semi", "left_anti"):
         right, unique_right = right.select(*on).distinct(), True
 

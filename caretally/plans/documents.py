@@ -76,14 +76,17 @@ def reviewer_sla(lags: DataFrame, key: str = "reviewer_id", label: str = "review
     ``pct`` is the real percentage, over reviewed documents alone.
     """
     reviewed = F.col("review") == 1
-    grouped = lags.groupBy(key).agg(
-        F.max(label).alias(label),
-        F.count("*").alias("documents"),
-        count_if(reviewed).alias("reviewed"),
-        count_if(F.col("review") == 0).alias("unreviewed"),
-        count_if(F.col("in_time") == 1).alias("in_time"),
-        count_if(reviewed & (F.col("in_time") == 1)).alias("_in_time_reviewed"),
-    )
+    counts = {
+        "documents": F.count("*"),
+        "reviewed": count_if(reviewed),
+        "unreviewed": count_if(F.col("review") == 0),
+        "in_time": count_if(F.col("in_time") == 1),
+        "_in_time_reviewed": count_if(reviewed & (F.col("in_time") == 1)),
+    }
+    # By name first: counts alone are hashed, while the greatest name of the few
+    # rows left would have sorted all documents.
+    named = lags.groupBy(key, label).agg(*[c.alias(n) for n, c in counts.items()])
+    grouped = named.groupBy(key).agg(F.max(label).alias(label), *[F.sum(n).alias(n) for n in counts])
     return grouped.withColumns(
         {
             "pct_compat": F.expr("(in_time div nullif(reviewed, 0)) * 100"),

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caretally.functions.dates import in_range
 from caretally.functions.text import like_any_case
 from caretally.operators.aggs import distinct_by, money_by
 from caretally.operators.dedup import keep_first
@@ -34,6 +36,17 @@ def in_periods(df: DataFrame, periods: Sequence[str]) -> DataFrame:
     return label_in(df, "period", periods)
 
 
+def within_periods(df: DataFrame, date_column: str, calendar: DataFrame, periods: Sequence[str]) -> DataFrame:
+    """``with_period`` and ``in_periods`` in one. The first and last day of the
+    periods bound the dates first, so that the scan can skip other days."""
+    days = calendar.where(F.col("period").isin(list(periods)))
+    first, last = days.agg(F.min(F.to_date("dates")), F.max(F.to_date("dates"))).first()
+    if first is None:
+        return with_period(df, date_column, calendar).where(F.lit(False))
+    rows = df.where(in_range(date_column, first, last + timedelta(days=1)))
+    return in_periods(with_period(rows, date_column, calendar), periods)
+
+
 def claim_counts(claims: DataFrame, dim: str) -> DataFrame:
     """Claims by provider, period and one dimension."""
     return distinct_by(claims, [PROVIDER, "period", dim], "claim_no", "claims")
@@ -43,9 +56,10 @@ def one_per_claim(claims: DataFrame, order_by: OrderBy) -> DataFrame:
     return keep_first(claims, "claim_no", order_by)
 
 
-def money_report(lines: DataFrame, claims: DataFrame, dim: str, periods: Sequence[str]) -> DataFrame:
-    """Money by the claim's provider, the line's period and one dimension."""
-    return money_by(in_periods(lines, periods), claims, [PROVIDER, dim])
+def money_report(lines: DataFrame, claims: DataFrame, dim: str) -> DataFrame:
+    """Money by the claim's provider, the line's period and one dimension. The
+    lines carry their period, see ``within_periods``."""
+    return money_by(lines, claims, [PROVIDER, dim])
 
 
 def key_pairs(lines: DataFrame, claims: DataFrame) -> DataFrame:

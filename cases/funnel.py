@@ -111,7 +111,7 @@ def _sequence(spark, d):
 
 
 def _masked(spark, d):
-    return funnel.conversions(stage(_sequence(spark, d), "sequence"))
+    return funnel.conversions(_sequence(spark, d))
 
 
 SEQUENCE_COLUMNS = ("patient_id", "dob", "encounter_id", "visit_status", "rn", "is_converted", "converted_rn", "conversions_so_far")
@@ -129,11 +129,15 @@ def _first_users(spark, d):
 
 
 def _since(spark, d):
-    """Staged, as in the whole report: several results read it."""
     visits = t.plain_visits(spark, d).select(
         "patient_id", "encounter_id", "appointment_date", "visit_status", "visit_type", "np_flag"
     )
-    return stage(funnel.visits_since_first(visits, _first_users(spark, d), DONE), "since")
+    return funnel.visits_since_first(visits, _first_users(spark, d), DONE)
+
+
+def _since_staged(spark, d):
+    """For results that read it more than once."""
+    return stage(_since(spark, d), "since")
 
 
 def _validator(spark, d, since=None):
@@ -172,19 +176,19 @@ def _members(spark, d, which, rule="one", since=None):
 
 def _cohort_visits(which):
     def run(spark, d):
-        since = _since(spark, d)
+        since = _since_staged(spark, d)
         return funnel.cohort_visits(since, _members(spark, d, which, since=since))
 
     return run
 
 
 def _cohort_billing(spark, d):
-    since = _since(spark, d)
+    since = _since_staged(spark, d)
     return _billing_out(funnel.cohort_billing(_billing(spark, d, since), _members(spark, d, "new", since=since)))
 
 
 def _billing_totals(spark, d):
-    since = _since(spark, d)
+    since = _since_staged(spark, d)
     return funnel.billing_totals(_billing(spark, d, since), _validator(spark, d, since))
 
 

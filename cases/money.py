@@ -34,7 +34,7 @@ def _fanout(spark, d):
 
 
 def _period_claims(spark, d, claims):
-    return fiscal.in_periods(fiscal.with_period(claims, "service_date", t.calendar(spark, d)), t.PERIODS)
+    return fiscal.within_periods(claims, "service_date", t.calendar(spark, d), t.PERIODS)
 
 
 def _with(spark, d):
@@ -46,15 +46,15 @@ def _single(spark, d):
 
 
 def _revenue(spark, d):
-    return fiscal.with_period(t.applied_revenue(spark, d), "service_date", t.calendar(spark, d))
+    return fiscal.within_periods(t.applied_revenue(spark, d), "service_date", t.calendar(spark, d), t.PERIODS)
 
 
 def _collections(spark, d):
-    return fiscal.with_period(t.deposited_revenue(spark, d), "deposit_date", t.calendar(spark, d))
+    return fiscal.within_periods(t.deposited_revenue(spark, d), "deposit_date", t.calendar(spark, d), t.PERIODS)
 
 
 def _money(lines, claims, dim):
-    return lambda spark, d: fiscal.money_report(lines(spark, d), claims(spark, d), dim, t.PERIODS)
+    return lambda spark, d: fiscal.money_report(lines(spark, d), claims(spark, d), dim)
 
 
 def _calendar_enrich(spark, d):
@@ -71,7 +71,7 @@ def _checked_out(spark, d):
 
 
 def _key_agreement(spark, d):
-    return fiscal.key_pairs(fiscal.in_periods(_revenue(spark, d), t.PERIODS), _single(spark, d))
+    return fiscal.key_pairs(_revenue(spark, d), _single(spark, d))
 
 
 def _claims_star(spark, d):

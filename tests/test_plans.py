@@ -83,23 +83,23 @@ def books(spark):
 
 def test_money_counts_repeats_and_keeps_unmatched(books):
     calendar, lines, claims = books
-    rev = fiscal.with_period(lines, "service_date", calendar)
     periods = ["FY23 - 7", "FY23 - 8"]
-    fan = fiscal.money_report(rev, claims, "payer_class", periods)
+    rev = fiscal.within_periods(lines, "service_date", calendar, periods)
+    fan = fiscal.money_report(rev, claims, "payer_class")
     assert one(fan, resource_provider_name="Ann")["total_payment"] == 20.6
     single = fiscal.one_per_claim(claims, ["encounter_id"])
-    got = fiscal.money_report(rev, single, "payer_class", periods)
+    got = fiscal.money_report(rev, single, "payer_class")
     assert one(got, resource_provider_name="Ann")["total_payment"] == 10.3
     assert one(got, resource_provider_name="Bob")["total_payment"] == 5.0
     assert one(got, resource_provider_name=None) == {"period": "FY23 - 7", "resource_provider_name": None, "payer_class": None, "total_payment": 3.0}
     total = got.agg(F.sum("total_payment")).first()[0]
-    assert total == fiscal.in_periods(rev, periods).agg(F.sum(aggs.money("payment")).cast("double")).first()[0]
+    assert total == rev.agg(F.sum(aggs.money("payment")).cast("double")).first()[0]
 
 
 def test_collections_use_the_deposit_date(books):
     calendar, lines, claims = books
-    col = fiscal.with_period(lines, "deposit_date", calendar)
-    got = fiscal.money_report(col, fiscal.one_per_claim(claims, ["encounter_id"]), "payer_class", ["FY23 - 8"])
+    col = fiscal.within_periods(lines, "deposit_date", calendar, ["FY23 - 8"])
+    got = fiscal.money_report(col, fiscal.one_per_claim(claims, ["encounter_id"]), "payer_class")
     assert one(got, resource_provider_name="Ann")["total_payment"] == 10.3
     assert fiscal.in_report_order(got).first()["resource_provider_name"] == "Ann"
 
@@ -114,6 +114,13 @@ def test_claim_counts_and_uniqueness(books):
     assert aggs.assert_unique(claims, ["claim_no", "encounter_id"]).count() == 4
 
 
+def test_within_periods_is_both_steps(books, as_rows):
+    calendar, lines, _ = books
+    for periods in (["FY23 - 7"], ["FY23 - 7", "FY23 - 8"], ["FY99 - 1"]):
+        two = fiscal.in_periods(fiscal.with_period(lines, "service_date", calendar), periods)
+        assert as_rows(fiscal.within_periods(lines, "service_date", calendar, periods)) == as_rows(two)
+
+
 def test_key_pairs(books):
     _, lines, claims = books
     pairs = fiscal.key_pairs(lines, fiscal.one_per_claim(claims, ["encounter_id"])).collect()
@@ -123,7 +130,7 @@ def test_key_pairs(books):
 def test_all_null_payments_sum_to_zero(spark):
     lines = spark.createDataFrame([(1, "p", None)], "claim_no int, period string, payment double")
     claims = spark.createDataFrame([(1, "Ann", "X")], "claim_no int, resource_provider_name string, payer_class string")
-    assert fiscal.money_report(lines, claims, "payer_class", ["p"]).first()["total_payment"] == 0.0
+    assert fiscal.money_report(lines, claims, "payer_class").first()["total_payment"] == 0.0
 
 
 # --- scorecard ---------------------------------------------------------------
