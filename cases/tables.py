@@ -338,7 +338,8 @@ def raw_report(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
-REVIEWERS = tuple(range(10))
+# Reviewers who are providers; two of the twenty are not.
+REVIEWERS = tuple(range(18))
 
 DOCS_SQL = """
 SELECT doc_id, n_chars AS patient_id, CAST(replace(source, 'src', '') AS BIGINT) AS reviewer_id, source AS reviewer_name,
