@@ -219,13 +219,15 @@ def funnel_job(
     validator = stage(funnel.cohort_validator(since), "validator")
     billing = stage(funnel.billing_since_first(since, claim_map(claims_with), claims_without), "billing")
     members = {which: funnel.cohort(validator, which, rule) for which in ("new", "established")}
-    reasons_new = funnel.cohort_last_entries(funnel.cohort(validator, "new", "nonzero"), chosen)
+    reasons_new = stage(funnel.cohort_last_entries(funnel.cohort(validator, "new", "nonzero"), chosen), "new_entries")
+    reasons_all = stage(funnel.last_entries(chosen), "last_entries")
+    reasons = stage(funnel.reason_share(reasons_all, reasons_new), "reasons")
 
     standard = funnel.standard_invoices(invoices)
     kept = stage(funnel.invoices_until(standard, cutoff, cutoff_mode), "invoices")
     users = stage(funnel.billed_users(kept, invoice_order, show=["week"]), "billed_users")
     return {
-        "log_last": funnel.last_entries(chosen),
+        "log_last": reasons_all,
         "log_summary": funnel.log_summary(chosen),
         "invoices": kept,
         "billed_users": users,
@@ -244,7 +246,7 @@ def funnel_job(
         **{f"{which}_visits": funnel.cohort_visits(since, m) for which, m in members.items()},
         **{f"{which}_billing": funnel.cohort_billing(billing, m) for which, m in members.items()},
         "new_patient_entries": reasons_new,
-        "reasons": funnel.reasons_in_order(funnel.reason_share(funnel.last_entries(chosen), reasons_new)),
+        "reasons": funnel.reasons_in_order(reasons),
         "metrics": run_metrics(
             [
                 ("log_encounters", joined, {"rows": F.count("*"), "patients": F.countDistinct("patient_id")}),
@@ -253,6 +255,10 @@ def funnel_job(
                 ("billing", billing, {"rows": F.count("*")}),
                 ("billed", funnel.billed(kept), {"rows": F.count("*")}),
                 ("billed_users", users, {"rows": F.countDistinct("PatientEmail")}),
+                # Control totals: the join by reason loses no booking.
+                ("last_entries", reasons_all, {"booked": F.count("Reason")}),
+                ("new_entries", reasons_new, {"new_patients": F.count("*")}),
+                ("reasons", reasons, {"booked": F.sum("booked"), "new_patients": F.sum("new_patients")}),
                 ("invoices", standard, {"bad_dates": F.count_if(F.col("BookingTime").isNull())}),
             ]
         ),

@@ -72,14 +72,21 @@ class HotKeys:
         return F.xxhash64(*on).isin(list(self.hashes))
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS) -> HotKeys:
-    """Keys with more than ``hot_rows`` rows.
+def row_counts(*frames: DataFrame) -> list[int]:
+    """Rows of each frame, counted in one job."""
+    tagged = [df.select(F.lit(i).alias("frame")) for i, df in enumerate(frames)]
+    found = {r["frame"]: r["count"] for r in reduce(DataFrame.union, tagged).groupBy("frame").count().collect()}
+    return [found.get(i, 0) for i in range(len(frames))]
+
+
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> HotKeys:
+    """Keys with more than ``hot_rows`` rows; ``rows`` is the frame's size, if known.
 
     A frame of no more rows than that has none. Otherwise a sketch names every
     key that may be that frequent, and a second pass counts just those. Keys are
     told apart by hash; a collision only salts a key that did not need it.
     """
-    n = df.count()
+    n = df.count() if rows is None else rows
     if n <= hot_rows:
         return HotKeys(rows=n)
     hashed = df.select(F.xxhash64(*on).alias("h"))
@@ -151,8 +158,9 @@ def salted_join(
     if how in ("left_semi", "left_anti"):
         right, unique_right = right.select(*on).distinct(), True
 
-    hot_l = hot_keys(left, on, hot_rows)
-    hot_r = HotKeys() if unique_right else hot_keys(right, on, hot_rows)
+    sizes = row_counts(left) if unique_right else row_counts(left, right)
+    hot_l = hot_keys(left, on, hot_rows, sizes[0])
+    hot_r = HotKeys() if unique_right else hot_keys(right, on, hot_rows, sizes[1])
     if not hot_l and not hot_r:
         return left.join(right, on, how)
     if how == "left" and hot_r:

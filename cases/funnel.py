@@ -247,8 +247,8 @@ QUERIES = {
     "visits_since_first": lambda s, d: _since(s, d),
     "orders_since_first": _since_first_lines,
     "cohort_validator": _validator,
-    "cohort_new_visits": _cohort_visits("new"),
-    "cohort_established_visits": _cohort_visits("established"),
+    "cohort_visits": _cohort_visits("new"),
+    "cohort_visits_established": _cohort_visits("established"),
     "billing_since_first": lambda s, d: _billing_out(_billing(s, d)),
     "cohort_billing": _cohort_billing,
     "billing_totals": _billing_totals,
@@ -394,8 +394,8 @@ SELECT o.o_custkey AS patient_id, o.o_orderkey AS encounter_id, CAST(o.o_orderda
 FROM orders o JOIN (SELECT o_custkey, min(o_orderdate) AS first_seen FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) f
   ON f.o_custkey = o.o_custkey WHERE o.o_orderstatus = 'O' AND o.o_orderdate >= f.first_seen""",
     "cohort_validator": VALIDATOR,
-    "cohort_new_visits": _cohort_visits_sql(1),
-    "cohort_established_visits": _cohort_visits_sql(0),
+    "cohort_visits": _cohort_visits_sql(1),
+    "cohort_visits_established": _cohort_visits_sql(0),
     "billing_since_first": f"{BILLING_OUT} FROM ({BILLING})",
     "cohort_billing": f"{BILLING_OUT} FROM ({BILLING}) WHERE patient_id IN (SELECT patient_id FROM ({VALIDATOR}) WHERE validator = 1)",
     "billing_totals": f"""

@@ -162,6 +162,7 @@ def test_funnel(spark, day, tmp_path):
     assert got["new_billing"].count() == 1 and got["established_visits"].count() == 1
     metrics = {(r.stage, r.metric): r.value for r in got["metrics"].collect()}
     assert metrics[("invoices", "bad_dates")] == 1.0 and metrics[("log_encounters", "patients")] == 2.0
+    assert metrics[("last_entries", "booked")] == metrics[("reasons", "booked")] == 2.0
     assert got["sequence"].where("dob = '01/02/1990'").count() == 3
 
 
