@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caretally.operators.skew import HOT_ROWS, OrderBy, hot_keys, number_rows, sort_columns
+from caretally.operators.skew import OrderBy, hot_keys, number_rows, sort_columns
 
 
 def keep_first(df: DataFrame, keys: str | Sequence[str], order_by: OrderBy) -> DataFrame:
@@ -31,7 +31,7 @@ def keep_values_on_edges(
     *,
     on_first: Sequence[str] = (),
     on_last: Sequence[str] = (),
-    group_rows: int = HOT_ROWS,
+    group_rows: int | None = None,
 ) -> DataFrame:
     """Null some columns everywhere but on the first, others everywhere but on
     the last row of each key. No row is dropped."""

@@ -20,7 +20,8 @@ from pyspark.sql import types as T
 
 from caretally.session import stage
 
-# Rows of one key that a single task may handle.
+# Rows of one key that a single task may handle, unless the session sets
+# spark.caretally.hotRows or the caller says otherwise.
 HOT_ROWS = 1_000_000
 # Smallest share of the rows a key is looked for at. It bounds the list of hot
 # keys that comes to the driver (at most 1/HOT_SHARE entries).
@@ -39,6 +40,10 @@ def sort_columns(order_by: OrderBy) -> list[Column]:
     return [F.col(c).asc() if isinstance(c, str) else c for c in order_by]
 
 
+def _limit(df: DataFrame, rows: int | None) -> int:
+    return int(df.sparkSession.conf.get("spark.caretally.hotRows", str(HOT_ROWS))) if rows is None else rows
+
+
 # --- dimension join ----------------------------------------------------------
 
 
@@ -79,18 +84,19 @@ def row_counts(*frames: DataFrame) -> list[int]:
     return [found.get(i, 0) for i in range(len(frames))]
 
 
-def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int = HOT_ROWS, rows: int | None = None) -> HotKeys:
+def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None, rows: int | None = None) -> HotKeys:
     """Keys with more than ``hot_rows`` rows; ``rows`` is the frame's size, if known.
 
     A frame of no more rows than that has none. Otherwise a sketch names every
     key that may be that frequent, and a second pass counts just those. Keys are
     told apart by hash; a collision only salts a key that did not need it.
     """
+    hot_rows = _limit(df, hot_rows)
     n = df.count() if rows is None else rows
     if n <= hot_rows:
         return HotKeys(rows=n)
     hashed = df.select(F.xxhash64(*on).alias("h"))
-    frequent = hashed.freqItems(["h"], max(HOT_SHARE, min(1.0, hot_rows / n))).first()[0] or []
+    frequent = hashed.freqItems(["h"], max(HOT_SHARE, hot_rows / n / 2)).first()[0] or []
     if not frequent:
         return HotKeys(rows=n)
     hot = hashed.where(F.col("h").isin(list(frequent))).groupBy("h").count().where(F.col("count") > hot_rows).collect()
@@ -134,14 +140,15 @@ def salted_join(
     how: str = "left",
     *,
     unique_right: bool = False,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Equi-join of two big frames on columns of the same name and type.
 
     Rows of a hot key are spread over as many tasks as needed; the other side's
     rows of that key are copied to each. ``how``: inner, left, left_semi or
     left_anti. ``unique_right`` says the right side has one row per key, so that
-    only the left side can be hot.
+    only the left side can be hot. Rows equal in every column share a salt: leave
+    a row id in the frames.
     """
     on = [on] if isinstance(on, str) else list(on)
     for key in on:
@@ -180,7 +187,7 @@ def number_rows(
     *,
     name: str = "rn",
     running: dict[str, Column] | None = None,
-    group_rows: int = HOT_ROWS,
+    group_rows: int | None = None,
     hot: HotKeys | None = None,
 ) -> DataFrame:
     """Row number per key in the given order, and running sums next to it.
@@ -202,7 +209,7 @@ def number_rows(
             | {c: F.sum(v).over(w.rowsBetween(*up_to_here)) for c, v in running.items()}
         )
 
-    pieces = min(MAX_PIECES, max(2, ceil(hot.rows / group_rows)))
+    pieces = min(MAX_PIECES, max(2, ceil(hot.rows / _limit(df, group_rows))))
     measures = {f"_m{i}": v for i, v in enumerate(running.values())}
     cut = stage(
         df.withColumns(measures)

@@ -66,9 +66,8 @@ def key_pairs(lines: DataFrame, claims: DataFrame) -> DataFrame:
     """The encounter a line names beside the one its claim names. ``claims`` has
     one row per claim."""
     named = claims.select("claim_no", F.col("encounter_id").alias("claim_encounter_id"))
-    return salted_join(lines.select("claim_no", "encounter_id"), named, "claim_no", "left", unique_right=True).select(
-        "encounter_id", "claim_encounter_id"
-    )
+    joined = salted_join(lines, named, "claim_no", "left", unique_right=True)
+    return joined.select("encounter_id", "claim_encounter_id")
 
 
 def in_report_order(report: DataFrame) -> DataFrame:

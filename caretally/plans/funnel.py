@@ -181,8 +181,9 @@ def billing_since_first(visits: DataFrame, claim_map: DataFrame, claims: DataFra
 
 def cohort_visits(visits: DataFrame, members: DataFrame, **size) -> DataFrame:
     """One row per visit of a cohort's patient: the cohort row and the start date."""
-    starts = visits.select("patient_id", F.col("first_seen").alias("start_date"))
-    return salted_join(starts, members, "patient_id", "inner", unique_right=True, **size)
+    starts = visits.select("patient_id", F.col("first_seen").alias("start_date"), F.col("encounter_id").alias("_visit"))
+    # The visit's id keeps the rows of a patient apart, for the salt.
+    return salted_join(starts, members, "patient_id", "inner", unique_right=True, **size).drop("_visit")
 
 
 def cohort_billing(billing: DataFrame, members: DataFrame, **size) -> DataFrame:

@@ -352,7 +352,10 @@ def test_cohorts_and_billing(spark):
     assert [one(funnel.cohort(val, "new"))["patient_id"], one(funnel.cohort(val, "established"))["patient_id"]] == [1, 2]
     assert sorted(r.patient_id for r in funnel.cohort(val, "new", "nonzero").collect()) == [1, 3]
     new = funnel.cohort(val, "new")
-    assert [r.start_date for r in funnel.cohort_visits(since, new).collect()] == [d(2023, 2, 1)] * 2
+    for hot_rows in (1, 100):
+        starts = funnel.cohort_visits(since, new, hot_rows=hot_rows)
+        assert "encounter_id" not in starts.columns
+        assert [r.start_date for r in starts.collect()] == [d(2023, 2, 1)] * 2
     pairs = spark.createDataFrame([(100, 10), (101, 10), (102, 13), (102, 13), (103, 14)], "claim_no int, encounter_id int")
     charges = spark.createDataFrame([(100, d(2023, 2, 1), 1.1, 2.0), (101, d(2023, 1, 1), 50.0, 2.0), (102, d(2023, 2, 2), 2.2, 3.0), (103, d(2023, 2, 2), 4.4, 3.0)],
                                     "claim_no int, service_date date, payment double, billed_charge double")
