@@ -6,8 +6,11 @@ import __spark_entry__ as entry_point
 
 
 def test_every_query_has_an_oracle():
-    queries, oracle = entry_point.queries(), entry_point.oracle_sql()
+    from cases import registry
+
+    queries, oracle = registry.queries(), registry.oracle_sql()
     assert set(oracle) == set(queries) and len(queries) > 80
+    assert set(queries) <= set(entry_point.queries()) and set(entry_point.oracle_sql()) <= set(entry_point.queries())
 
 
 def test_names_are_distinct():
