@@ -164,3 +164,35 @@ def distinct_by_row(values: np.ndarray, owner: np.ndarray, rows: int) -> tuple[n
 
 def list_array(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(values)).cast(pa.list_(pa.int64()))
+
+
+def pieces(batch: pa.RecordBatch, column: str, separator: np.ndarray, size: int = BLOCK) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first row, bytes, offsets): as text_blocks, but a text beyond `size` comes in several pieces, cut behind separators."""
+    for i, _, data, offsets in text_blocks(batch, column, size):
+        if len(data) <= 2 * size:
+            yield i, data, offsets
+            continue
+        a = 0
+        while a < len(data):
+            b = min(a + size, len(data))
+            while b < len(data):  # goes on to the next separator
+                found = np.flatnonzero(separator[data[b - 1:b - 1 + size]])
+                if len(found):
+                    b += int(found[0])
+                    break
+                b = min(b + size, len(data))
+            yield i, data[a:b], np.array([0, b - a])
+            a = b
+
+
+class Spans:
+    """Hashes of any spans of a piece, with the values that span_hashes gives."""
+
+    def __init__(self, data: np.ndarray, fold: bool = False):
+        n = len(data)
+        self.down = powers(INVERSE, n)
+        self.sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(byte_table(fold)[data] * powers(MULTIPLIER, n)[:n], dtype=np.uint64, out=self.sums[1:])
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

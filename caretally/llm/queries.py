@@ -4,16 +4,32 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from caretally.llm import urls
+from caretally.llm import decontam, langid, neardup, quality, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+def op6_language_id(spark, sf_dir):
+    return langid.predictions(read(spark, sf_dir, "documents"))
+
+
+def op8_quality_rules(spark, sf_dir):
+    return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op9_url_filter(spark, sf_dir):
     return urls.judge_urls(read(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op9_url_filter": op9_url_filter}
-ORACLE = {"op9_url_filter": urls.ORACLE}
+def op10_near_duplicates(spark, sf_dir):
+    return neardup.classified(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_decontamination, op6_language_id, op8_quality_rules, op9_url_filter, op10_near_duplicates)}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE}
