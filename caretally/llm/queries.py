@@ -3,22 +3,35 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from caretally.llm import decontam, langid, neardup, quality, urls
+from caretally.llm import decontam, huffman, langid, neardup, packing, quality, urls, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_token_output(spark, sf_dir):
+    return huffman.round_trip(read(spark, sf_dir, "documents"))
+
+
 def op2_decontamination(spark, sf_dir):
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op4_warc(spark, sf_dir):
+    return warc.round_trip(read(spark, sf_dir, "pages"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.predictions(read(spark, sf_dir, "documents"))
 
 
+def op7_best_fit_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents")).withColumn("piece", F.col("piece").cast("int"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
@@ -31,5 +44,5 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.classified(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_decontamination, op6_language_id, op8_quality_rules, op9_url_filter, op10_near_duplicates)}
-ORACLE = {"op2_decontamination": decontam.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op4_warc, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates)}
+ORACLE = {"op2_decontamination": decontam.ORACLE, "op4_warc": warc.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE}
