@@ -96,19 +96,23 @@ class Index:
                     yield int(row), int(k), shared
 
 
+def indexes(items: DataFrame) -> Iterator[Index]:
+    """The items as indexes of bounded size, one after another."""
+    sets = table(item_sets(items))
+    total = sets.agg(F.sum(F.size("shingles"))).first()[0] or 0
+    blocks = -(-total // BLOCK_SHINGLES)
+    for b in range(blocks):
+        block = sets.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).orderBy("item_id", F.col("shingles")[0]).toArrow()  # a bounded block
+        if len(block):
+            yield Index(block)
+
+
 def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, item_id, n_shared, n_item_shingles, containment of every match."""
     spark = documents.sparkSession
-    items = table(item_sets(benchmark))
-    total = items.agg(F.sum(F.size("shingles"))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_SHINGLES))
-    texts = documents.select("doc_id", "text")
-    out = None
-    for b in range(blocks):
-        block = items.where(F.pmod(F.xxhash64("item_id", "shingles"), F.lit(blocks)) == b).orderBy("item_id", F.col("shingles")[0]).toArrow()  # a bounded block
-        if not len(block):
-            continue
-        shared = spark.sparkContext.broadcast(Index(block))
+    texts, out = documents.select("doc_id", "text"), None
+    for index in indexes(benchmark):
+        shared = spark.sparkContext.broadcast(index)
 
         def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
@@ -126,9 +130,19 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no item."""
-    found = contaminated(documents, benchmark).select("doc_id").distinct()
-    return documents.join(found, documents["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows whose text holds no item, with all their columns."""
+    for index in indexes(benchmark):
+        shared = documents.sparkSession.sparkContext.broadcast(index)
+
+        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                keep = np.ones(len(batch), bool)
+                for i, _, data, offsets in text_blocks(batch, "text"):
+                    keep[[i + row for row, _, _ in shared.value.matches(data, offsets)]] = False
+                yield batch.filter(pa.array(keep))
+
+        documents = documents.mapInArrow(work, documents.schema)
+    return documents
 
 
 ORACLE = r"""

@@ -155,10 +155,10 @@ def classified(documents: DataFrame) -> DataFrame:
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One document of each component: the one whose doc_id names it."""
-    found = classified(documents).where("kept").select("doc_id").distinct()
-    one = documents.dropDuplicates(["doc_id"])
-    return one.join(found, one["doc_id"].eqNullSafe(found["doc_id"]), "left_semi")
+    """One row of each component, the one whose doc_id names it. Rows without a doc_id stay."""
+    kept = classified(documents).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
+    one = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return one.unionByName(documents.where("doc_id IS NULL"))
 
 
 ORACLE = r"""

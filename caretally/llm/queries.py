@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretally.llm import decontam, huffman, langid, neardup, packing, quality, urls, warc
+import corpus_pipeline
+from caretally.llm import decontam, huffman, langid, neardup, packing, quality, suffix, toxicity, urls, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +21,18 @@ def op2_decontamination(spark, sf_dir):
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_array_dedup(spark, sf_dir):
+    return suffix.deduplicated(read(spark, sf_dir, "documents"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.round_trip(read(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark, sf_dir):
+    return toxicity.scored(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark, sf_dir):
     return langid.predictions(read(spark, sf_dir, "documents"))
 
@@ -44,5 +53,5 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.classified(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op4_warc, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates)}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_suffix_array_dedup, op4_warc, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op4_warc": warc.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE}
