@@ -8,9 +8,10 @@ suffix is kept at each anchor, about one per 35 bytes, and stands for the run of
    sampled splitters, which may fall inside a hot key. Each bucket sorts itself by multikey quicksort. Neighbours with equal runs:
    the first stays, the windows of the others are removed. Runs that share a gram but differ have to be compared
    window by window; so do the runs at a bucket's borders, whose neighbours stand in another bucket.
-2. Those runs fetch their bytes and are range-partitioned again. Each bucket sorts its windows by multikey quicksort; all but the first of equal
-   windows are removed.
-3. First windows of the keys at a bucket's borders are compared across buckets: the least place of each is sought over all.
+2. Those runs fetch their bytes and send their windows in segments of `SEGMENT`, range-partitioned by a hash of the bytes that a segment's windows share,
+   so that a hot gram in ever new surroundings is spread. Each bucket sorts its windows by multikey quicksort; all but the
+   first of equal windows are removed.
+3. First windows of the segments at a bucket's borders are compared across buckets: the least place of each is sought over all.
 
 Equality is that of 64-bit hashes of the bytes beside equal leading bytes and gram hashes. Results do not depend on partitions.
 
@@ -30,14 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretally.llm.blocks import BLOCK, Spans, row_of, string_buffers, text_blocks
+from caretally.llm.blocks import BLOCK, Spans, list_array, row_of, string_buffers, text_blocks
 from caretally.llm.store import table
 
 LENGTH = 100
 #: Bytes of the strings that are compared to choose anchors; a window has LENGTH - GRAM + 1 of them.
 GRAM = 32
-#: Rows a bucket sorts in memory, about.
-BUCKET_ROWS = 1_000_000
+#: Rows a bucket sorts in memory, about: suffixes, and segments of windows.
+BUCKET_ROWS, BUCKET_SEGMENTS = 1_000_000, 250_000
+#: Neighbouring windows that are sent to be compared together.
+SEGMENT = 6
 NO_ID = -(1 << 63)
 TOP = np.uint64(1 << 63)
 SMALL = 1 << 15
@@ -84,7 +87,8 @@ def overlapping(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray, n
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """row, first window, last window, key and run hash of each anchor, windows counted by their starts in `data`."""
+    """row, first window, shape, key and run hash of each anchor. Windows are counted by their starts in `data`; a shape is the
+    number of further windows, and 256 times the way from the first window to the anchor."""
     n = len(data) - LENGTH + 1
     if n <= 0:
         return (np.zeros(0, np.int64),) * 5
@@ -109,9 +113,10 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     lo, hi = lo[own], hi[own]
     at = anchor[lo]
     lead = data[at].astype(np.uint64) << np.uint64(24) | data[at + 1].astype(np.uint64) << np.uint64(16) | data[at + 2].astype(np.uint64) << np.uint64(8) | data[at + 3].astype(np.uint64)
+    packed = (hi - lo) | (at - lo) << 8
     key = (lead << np.uint64(32) | gram[at] >> np.uint64(32)) ^ TOP
     run = spans(lo, hi + LENGTH) ^ (at - lo).astype(np.uint64)
-    return row[lo], lo, hi, key.view(np.int64), run.view(np.int64)
+    return row[lo], lo, packed, key.view(np.int64), run.view(np.int64)
 
 
 def identified(documents: DataFrame) -> DataFrame:
@@ -123,17 +128,17 @@ def identified(documents: DataFrame) -> DataFrame:
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
-    """key, run, id, tie, lo (its first window) and n (how many more windows) of every anchor."""
-    names = ["key", "run", "id", "tie", "lo", "n"]
+    """key, run, id, tie, lo (its first window) and shape of every anchor."""
+    names = ["key", "run", "id", "tie", "lo", "shape"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, ties = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             for i, before, data, offsets in overlapping(batch):
-                row, lo, hi, key, run = anchors(data, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), pa.array(ids[row + i]), pa.array(ties[row + i]), pa.array((lo - offsets[row] + before).astype(np.int32)), pa.array((hi - lo).astype(np.int32))], names)
+                row, lo, shape, key, run = anchors(data, offsets)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(run), pa.array(ids[row + i]), pa.array(ties[row + i]), pa.array((lo - offsets[row] + before).astype(np.int32)), pa.array(shape.astype(np.int32))], names)
 
-    return rows.select("id", "tie", "text").mapInArrow(work, "key long, run long, id long, tie long, lo int, n int")
+    return rows.select("id", "tie", "text").mapInArrow(work, "key long, run long, id long, tie long, lo int, shape int")
 
 
 def gathered(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
@@ -151,15 +156,15 @@ def new_groups(*words: np.ndarray) -> np.ndarray:
 
 
 def sorted_runs(records: DataFrame, buckets: int) -> DataFrame:
-    """id, tie, lo, n, key and `open`: runs that stand earlier too (open false), and runs to be compared window by window (true)."""
+    """id, tie, lo, shape and `open`: runs that stand earlier too (open false), and runs to be compared window by window (true)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
         if held is None:
             return
-        key, run, id_, tie, lo, n = (held[c].to_numpy() for c in held.column_names)
+        key, run, id_, tie, lo, shape = (held[c].to_numpy() for c in held.column_names)
         order = multikey_order([key, run, id_, tie, lo])
-        key, run, id_, tie, lo, n = (x[order] for x in (key, run, id_, tie, lo, n))
+        key, run, id_, tie, lo, shape = (x[order] for x in (key, run, id_, tie, lo, shape))
         first = new_groups(key, run)
         begins = new_groups(key)
         group = np.cumsum(begins) - 1
@@ -167,78 +172,71 @@ def sorted_runs(records: DataFrame, buckets: int) -> DataFrame:
         classes[[0, -1]] = 2  # the neighbouring buckets may hold more of these keys
         again, open_ = np.flatnonzero(~first), np.flatnonzero(first & (classes[group] > 1))
         take = np.concatenate([again, open_])
-        yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (id_, tie, lo, n, key)), pa.array(np.arange(len(take)) >= len(again))], ["id", "tie", "lo", "n", "key", "open"])
+        yield pa.RecordBatch.from_arrays([*(pa.array(x[take]) for x in (id_, tie, lo, shape)), pa.array(np.arange(len(take)) >= len(again))], ["id", "tie", "lo", "shape", "open"])
 
     dealt = records.repartitionByRange(buckets, "key", "run", "id", "tie", "lo")
-    return dealt.mapInArrow(work, "id long, tie long, lo int, n int, key long, open boolean")
+    return dealt.mapInArrow(work, "id long, tie long, lo int, shape int, open boolean")
 
 
-def with_bytes(runs: DataFrame, rows: DataFrame) -> DataFrame:
-    """key, id, tie, lo and the bytes of each run."""
-    asked = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n", "key")).alias("asked"))  # at most a text's anchors
-    names = ["key", "id", "tie", "lo", "bytes"]
+def segments(runs: DataFrame, rows: DataFrame) -> DataFrame:
+    """core, id, tie, lo and window hashes of up to SEGMENT neighbouring windows of a run, cut at fixed distances from its anchor; core
+    is a hash of the bytes that all windows of such a segment share."""
+    asked = runs.groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "shape")).alias("asked"))  # at most a text's anchors
+    names = ["core", "id", "tie", "lo", "windows"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = string_buffers(batch.column(2))
             lists, flat = batch.column(3), batch.column(3).flatten()
-            number = np.diff(np.asarray(lists.offsets))
-            row = np.repeat(np.arange(len(batch)), number)
-            lo, n, key = (flat.field(k).to_numpy() for k in range(3))
-            start = offsets[row] + lo
-            for a in range(0, len(row), 20_000):
-                s = slice(a, a + 20_000)
-                cells = [data[x:y].tobytes() for x, y in zip(start[s].tolist(), (start[s] + n[s] + LENGTH).tolist(), strict=True)]
-                own = pa.array(row[s])
-                yield pa.RecordBatch.from_arrays([pa.array(key[s]), batch.column(0).take(own), batch.column(1).take(own), pa.array(lo[s]), pa.array(cells, pa.binary())], names)
-
-    return rows.select("id", "tie", "text").join(asked, ["id", "tie"]).select("id", "tie", "text", "asked").mapInArrow(work, "key long, id long, tie long, lo int, bytes binary")
-
-
-def sorted_windows(runs: DataFrame, buckets: int) -> DataFrame:
-    """id, tie, lo, n, and window: runs of windows that stand earlier too (window null), and first windows of the keys at a
-    bucket's borders, by their hash."""
+            own = np.repeat(np.arange(len(batch)), np.diff(np.asarray(lists.offsets)))
+            all_lo, shape = (flat.field(k).to_numpy().astype(np.int64) for k in range(2))
+            for a in range(0, len(own), 20_000):
+                row, lo, n, back = own[a:a + 20_000], all_lo[a:a + 20_000], shape[a:a + 20_000] & 255, shape[a:a + 20_000] >> 8
+                size = n + LENGTH
+                begin = np.cumsum(size) - size
+                spans = Spans(data[np.repeat(offsets[row] + lo - begin, size) + np.arange(size.sum())])
+                rec = np.repeat(np.arange(len(row)), n + 1)
+                step = np.arange(len(rec)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
+                window = spans(begin[rec] + step, begin[rec] + step + LENGTH).view(np.int64)
+                part = (back[rec] - step) // SEGMENT
+                first = np.flatnonzero(new_groups(rec, part))
+                start = begin[rec[first]] + back[rec[first]] - SEGMENT * part[first]
+                core = spans(start, start + LENGTH - SEGMENT + 1).view(np.int64)
+                who = pa.array(row[rec[first]])
+                yield pa.RecordBatch.from_arrays([pa.array(core), batch.column(0).take(who), batch.column(1).take(who), pa.array((lo[rec[first]] + step[first]).astype(np.int32)), list_array(window, np.append(first, len(window)))], names)
+
+    return rows.select("id", "tie", "text").join(asked, ["id", "tie"]).select("id", "tie", "text", "asked").mapInArrow(work, "core long, id long, tie long, lo int, windows array<long>")
+
+
+def sorted_windows(parts: DataFrame, buckets: int) -> DataFrame:
+    """id, tie, lo, n, and window: windows from lo on, n more, that stand earlier too (window null), and the first windows of the
+    cores at a bucket's borders, by their hash."""
+    names = ["id", "tie", "lo", "n", "window"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
         if held is None:
             return
-        key, id_, tie, lo = (held[c].to_numpy() for c in ("key", "id", "tie", "lo"))
-        order = multikey_order([key, id_, tie, lo])
-        cells = held["bytes"].chunk(0) if isinstance(held["bytes"], pa.ChunkedArray) else held["bytes"]
-        key = key[order]
-        border = (key == key[0]) | (key == key[-1])
-        cuts = np.flatnonzero(np.append(new_groups(key), True))
-        i = 0
-        while i < len(cuts) - 1:  # whole keys, some MB of bytes at a time
-            j = min(max(i + 1, int(np.searchsorted(cuts, cuts[i] + 20_000, "right")) - 1), len(cuts) - 1)
-            own = order[cuts[i]:cuts[j]]
-            part = cells.take(pa.array(own))
-            ends = np.asarray(part.offsets).astype(np.int64) if hasattr(part, "offsets") else np.frombuffer(part.buffers()[1], np.int32)[part.offset:part.offset + len(part) + 1].astype(np.int64)
-            data = np.frombuffer(part.buffers()[2], np.uint8)[ends[0]:ends[-1]]
-            ends = ends - ends[0]
-            number = np.diff(ends) - LENGTH + 1
-            rec = np.repeat(np.arange(len(own)), number)
-            step = np.arange(len(rec)) - np.repeat(np.cumsum(number) - number, number)
-            at = ends[rec] + step
-            window = Spans(data)(at, at + LENGTH).view(np.int64)
-            ids, ties, place = id_[own][rec], tie[own][rec], lo[own][rec] + step
-            by = multikey_order([window, ids, ties, place])
-            first = np.empty(len(by), bool)
-            first[by] = new_groups(window[by])
-            gone = np.flatnonzero(~first)
-            fresh = np.ones(len(gone), bool)
-            fresh[1:] = (gone[1:] != gone[:-1] + 1) | (rec[gone[1:]] != rec[gone[:-1]])
-            heads = np.flatnonzero(fresh)
-            sizes = np.diff(np.append(heads, len(gone)))
-            head = gone[heads]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[head]), pa.array(ties[head]), pa.array(place[head].astype(np.int32)), pa.array((sizes - 1).astype(np.int32)), pa.nulls(len(head), pa.int64())], names)
-            edge = np.flatnonzero(first & border[cuts[i]:cuts[j]][rec])
-            yield pa.RecordBatch.from_arrays([pa.array(ids[edge]), pa.array(ties[edge]), pa.array(place[edge].astype(np.int32)), pa.array(np.zeros(len(edge), np.int32)), pa.array(window[edge])], names)
-            i = j
-
-    names = ["id", "tie", "lo", "n", "window"]
-    return runs.repartitionByRange(buckets, "key", "id", "tie", "lo").mapInArrow(work, "id long, tie long, lo int, n int, window long")
+        core, id_, tie, lo = (held[c].to_numpy() for c in names_in[:4])
+        lists = held["windows"].chunk(0) if isinstance(held["windows"], pa.ChunkedArray) else held["windows"]
+        number = np.diff(np.asarray(lists.offsets))
+        rec = np.repeat(np.arange(len(core)), number)
+        step = np.arange(len(rec)) - np.repeat(np.cumsum(number) - number, number)
+        window = np.asarray(lists.flatten())
+        ids, ties, place = id_[rec], tie[rec], lo[rec] + step
+        order = multikey_order([window, ids, ties, place])
+        first = np.empty(len(order), bool)
+        first[order] = new_groups(window[order])
+        gone = np.flatnonzero(~first)
+        heads = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (rec[gone[1:]] != rec[gone[:-1]])])) if len(gone) else gone
+        n, head = np.diff(np.append(heads, len(gone))) - 1, gone[heads]
+        border = (core == core.min()) | (core == core.max())  # buckets are ranges of cores
+        edge = np.flatnonzero(first & border[rec])
+        for take, more, hashes in ((head, n, pa.nulls(len(head), pa.int64())), (edge, np.zeros(len(edge)), pa.array(window[edge]))):
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(ties[take]), pa.array(place[take].astype(np.int32)), pa.array(more.astype(np.int32)), hashes], names)
+
+    names_in = ["core", "id", "tie", "lo", "windows"]
+    return parts.repartitionByRange(buckets, *names_in[:4]).mapInArrow(work, "id long, tie long, lo int, n int, window long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -247,13 +245,13 @@ def repeated(rows: DataFrame) -> DataFrame:
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     runs = table(sorted_runs(suffixes(rows), max(least, int(size / 35 / BUCKET_ROWS) + 1)))
-    open_ = table(with_bytes(runs.where("open").select("id", "tie", "lo", "n", "key"), rows))
-    windows = table(sorted_windows(open_, max(least, int(open_.count() / (BUCKET_ROWS / 8)) + 1)))
+    parts = table(segments(runs.where("open").select("id", "tie", "lo", "shape"), rows))
+    windows = table(sorted_windows(parts, max(least, int(parts.count() / BUCKET_SEGMENTS) + 1)))
     edge = windows.where("window IS NOT NULL")
     earliest = edge.groupBy("window").agg(F.min(F.struct("id", "tie", "lo")).alias("e"), F.count("*").alias("c")).where("c > 1")
     across = edge.join(earliest, "window").where(F.struct("id", "tie", "lo") != F.col("e"))
     columns = ["id", "tie", "lo", "n"]
-    return runs.where("NOT open").select(*columns).unionByName(windows.where("window IS NULL").select(*columns)).unionByName(across.select(*columns))
+    return runs.where("NOT open").select("id", "tie", "lo", F.col("shape").bitwiseAND(F.lit(255)).alias("n")).unionByName(windows.where("window IS NULL").select(*columns)).unionByName(across.select(*columns))
 
 
 def reduced(documents: DataFrame, with_text: bool) -> DataFrame:
