@@ -50,12 +50,8 @@ def snapshot_job(
     insured = snapshot.claims_with_insurance(claims, primary_insurance)
     shown = window.select("patient_id", "encounter_id", *snapshot.VISIT_COLUMNS)
     users = stage(snapshot.patient_snapshot(shown, insured), "users")
-    charged = insured.select(
-        "patient_id", "claim_no", "service_date", "primary_insurance_id", "primary_insurance_class"
-    )
     return {
         "visits": window,
-        "visit_claims": snapshot.visit_claims(shown, charged),
         "users": snapshot.in_report_order(users),
         "site_users": snapshot.in_report_order(snapshot.site_report(users, sites)),
     }
@@ -111,8 +107,8 @@ def scorecard_job(
     cpt: DataFrame,
     *,
     year: str,
-    clinic_prefix: str = "00",
-    excluded: Sequence[str] = ("Dummy", "CYSTOSCOPY"),
+    clinic_prefix: str,
+    excluded: Sequence[str],
 ) -> Tables:
     star = scorecard.claims_star(
         claims, calendar_week, facility_group, primary_insurance, resource_provider, visit_type
@@ -164,12 +160,16 @@ def labs_job(
     run_time: str | datetime | None = None,
 ) -> Tables:
     when = datetime.fromisoformat(run_time) if isinstance(run_time, str) else run_time
-    sliced = labs.month_of_results(labs.typed_labs(raw), year, month)
+    typed = labs.typed_labs(raw)
+    sliced = labs.month_of_results(typed, year, month)
     frame = stage(labs.report_rows(labs.with_lags(sliced, in_house_ids, when)), "labs")
     answered, waiting = frame.where("answered"), frame.where(~F.col("answered_compat"))
     unreviewed = labs.answered_unreviewed(answered)
+    bad = F.count_if(F.col("ResultDate").isNotNull() & F.col("_parsed").isNull())
     return {
         "labs": frame,
+        "in_house_with_lag": frame.where(F.col("in_house") & F.col("result_lag").isNotNull()),
+        "answered": answered,
         "outcomes": labs.outcome_counts(frame),
         "same_day_reviewed": labs.same_day_reviewed(frame),
         "not_in_house": frame.where(~F.col("in_house")),
@@ -185,7 +185,11 @@ def labs_job(
         "encounters_answered": labs.encounter_summary(answered),
         "encounters_waiting": labs.encounter_counts(waiting),
         "metrics": run_metrics(
-            [("labs", frame, {"labs": F.count("*"), "encounters": F.countDistinct("encounter_id")})]
+            [
+                ("labs", frame, {"labs": F.count("*"), "encounters": F.countDistinct("encounter_id")}),
+                # Rows that no month can claim: their result date is no date.
+                ("extract", raw.withColumn("_parsed", labs.parse_stamp("ResultDate")), {"rows": F.count("*"), "bad_dates": bad}),
+            ]
         ),
     }
 

@@ -8,30 +8,24 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretally.operators.skew import salted_join
-
-# Longest list spliced into the plan; longer ones are joined.
-MAX_LITERALS = 10_000
-
 
 def label_in(df: DataFrame, column: str, labels: Sequence) -> DataFrame:
-    """Rows whose label is listed. Null labels drop out."""
-    if len(labels) <= MAX_LITERALS:
-        return df.where(F.col(column).isin(list(labels)))
-    return salted_join(df, _label_frame(df, column, labels), column, "left_semi")
+    """Rows whose label is listed, the labels read as the column's type. Null labels drop out.
+
+    Lists are settings of a report and go into the plan whatever their length, so
+    the scan can use them.
+    """
+    return df.where(_listed(df, column, labels))
 
 
 def label_not_in(df: DataFrame, column: str, labels: Sequence) -> DataFrame:
-    """Rows whose label is not listed. Null labels drop out as well."""
-    if len(labels) <= MAX_LITERALS:
-        return df.where(~F.col(column).isin(list(labels)))
-    known = df.where(F.col(column).isNotNull())
-    return salted_join(known, _label_frame(df, column, labels), column, "left_anti")
+    """Rows whose label is not listed. Null labels drop out as well, and nulls in the list say nothing."""
+    return df.where(F.col(column).isNotNull() & ~_listed(df, column, labels))
 
 
-def _label_frame(df: DataFrame, column: str, labels: Sequence) -> DataFrame:
+def _listed(df: DataFrame, column: str, labels: Sequence) -> Column:
     kind = df.schema[column].dataType
-    return df.sparkSession.createDataFrame([(v,) for v in labels], [column]).select(F.col(column).cast(kind))
+    return F.col(column).isin([F.lit(v).cast(kind) for v in labels if v is not None])
 
 
 def split_by(df: DataFrame, test: Column, name: str) -> DataFrame:

@@ -1,9 +1,10 @@
 """String lists per key.
 
 A list is one text cell, and one cell cannot hold a third of a big table. Lists
-are therefore paged: ``page`` 0 holds the first ``page_rows`` entries, 1 the next,
-and so on. A key with no more entries than that has the single page 0, which is
-the plain list. No entry is dropped.
+are therefore printed on pages: ``page`` 0 holds the first ``page_rows`` entries, 1
+the next, and so on; no entry is dropped. Paging is the layout of the texts alone:
+counts and shown columns are those of the whole key on every page, and whoever
+wants one row per key takes page 0, which every key has.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from caretally.operators.skew import OrderBy, number_rows
@@ -30,22 +32,24 @@ def ordered_list(
     **size,
 ) -> DataFrame:
     """One comma list per entry of ``lists``, in the given order, and the number
-    of rows behind it. Null entries are skipped; a list of nulls is null.
+    of the key's rows. Null entries are skipped; a list of nulls is null.
 
-    ``first`` names columns to show from the key's first row (on page 0 only).
+    ``first`` names columns to show from the key's first row.
     """
     keys = list(keys)
     entries = df.withColumns({f"_v_{k}": v.cast("string") for k, v in lists.items()})
     numbered = number_rows(entries, keys, order_by, name="_rn", **size)
     shown = {"_first": F.any_value(F.when(F.col("_rn") == 1, F.struct(*first)), True)} if first else {}
+    pages = W.partitionBy(*keys)
     paged = (
         numbered.withColumn("page", F.expr(f"(_rn - 1) div {int(page_rows)}"))
         .groupBy(*keys, "page")
         .agg(
-            F.count("*").alias(count),
+            F.count("*").alias("_rows"),
             *[F.expr(f"listagg(`_v_{k}`, ',') WITHIN GROUP (ORDER BY _rn)").alias(k) for k in lists],
             *[c.alias(n) for n, c in shown.items()],
         )
+        .withColumns({count: F.sum("_rows").over(pages)} | {n: F.any_value(n, True).over(pages) for n in shown})
     )
     return paged.select(*keys, "page", *[F.col("_first")[c].alias(c) for c in first], count, *lists)
 

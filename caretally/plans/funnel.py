@@ -73,13 +73,14 @@ def billed(invoices: DataFrame) -> DataFrame:
 
 
 def billed_users(invoices: DataFrame, order_by: Sequence[str], show: Sequence[str] = (), **size) -> DataFrame:
-    """One row per e-mail: columns of its first invoice and the names used."""
+    """Per e-mail: columns of its first invoice and the names used, in pages (see ``lists``)."""
     name = F.concat(F.col("PatientFirstName"), F.lit(" "), F.col("PatientLastName"))
     return ordered_list(billed(invoices), ["PatientEmail"], {"names": name}, order_by, first=show, **size)
 
 
 def users_by_week(users: DataFrame) -> DataFrame:
-    return users.groupBy("week").agg(F.count("week").alias("times"))
+    """Users per week, each counted once however many pages its names fill."""
+    return users.where(F.col("page") == 0).groupBy("week").agg(F.count("week").alias("times"))
 
 
 # --- conversions -------------------------------------------------------------
@@ -102,7 +103,7 @@ def matched(joined: DataFrame) -> DataFrame:
 
 
 def converted_users(joined: DataFrame, status: str = CHECKED_OUT, show: Sequence[str] = (), **size) -> DataFrame:
-    """One row per patient with a checked-out visit: number of them, ids listed."""
+    """Per patient with a checked-out visit: number of them, ids listed in pages."""
     rows = matched(joined).where(F.col("visit_status") == status)
     return ordered_list(rows, ["patient_id"], {"patient_ids": F.col("patient_id")}, VISIT_ORDER, first=show, **size)
 

@@ -46,9 +46,11 @@ def patient_snapshot(visits: DataFrame, claims: DataFrame, tie_break: Sequence[s
     The visit shown is the latest. ``max_*`` are the greatest insurance id and
     the greatest class among the patient's claims, each for itself; ``latest_*``
     belong to the claim last served. The claims are reduced to one row per
-    patient before the join, so visits are never multiplied.
+    patient before the join, so visits are never multiplied; claims of patients
+    without a visit are left out before they are gathered.
     """
     last_visit = keep_last(visits, "patient_id", ["appointment_date", *tie_break])
+    claims = claims.join(visits.select("patient_id").distinct(), "patient_id", "left_semi")
     shown = F.struct("primary_insurance_id", "primary_insurance_class")
     when = F.struct("service_date", "claim_no", "primary_insurance_id")
     insured = claims.groupBy("patient_id").agg(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -13,8 +14,8 @@ from pyspark.sql import types as T
 class Jdbc:
     """A relational source: a whole table, or the rows of a query.
 
-    Give ``partition_column`` with bounds for a table of any size; without it
-    the rows come through one connection.
+    Reads are split by ``partition_column`` with bounds. For a small table that
+    may come through one connection, say ``unsplit=True``.
     """
 
     url: str
@@ -26,10 +27,13 @@ class Jdbc:
     upper_bound: object = None
     num_partitions: int = 32
     fetch_size: int = 10_000
+    unsplit: bool = False
 
     def options(self) -> dict[str, str]:
         if (self.table is None) == (self.query is None):
             raise ValueError("name either a table or a query")
+        if self.unsplit != (self.partition_column is None):
+            raise ValueError("name a partition column and its bounds, or ask for an unsplit read")
         opts = {"url": self.url, "fetchsize": str(self.fetch_size), **self.properties}
         if self.partition_column is None:
             opts |= {"dbtable": self.table} if self.table else {"query": self.query}
@@ -52,19 +56,37 @@ class Jdbc:
 class Csv:
     """A CSV extract with a header. Latin-1 files: ``encoding="ISO-8859-1"``.
 
-    With a schema the columns are matched by position and the file is read once;
-    without one all columns are text.
+    Quotes inside quoted cells are doubled. With a schema the file is read once, and a
+    header with other names or another order is an error; without one all columns are text.
+
+    Cells with line breaks need ``multi_line=True``. Spark then reads each file in one
+    task, so such extracts should come as many files.
     """
 
     path: str
     schema: T.StructType | str | None = None
     encoding: str = "UTF-8"
+    multi_line: bool = False
+
+    def _reader(self, spark: SparkSession) -> DataFrameReader:
+        return spark.read.options(
+            header=True, encoding=self.encoding, quote='"', escape='"', enforceSchema=False, multiLine=self.multi_line
+        )
 
     def read(self, spark: SparkSession) -> DataFrame:
-        reader = spark.read.option("header", True).option("encoding", self.encoding)
-        # Multi-line cells would force one task per file, so they are off.
+        reader = self._reader(spark)
         return (reader.schema(self.schema) if self.schema else reader).csv(self.path)
 
+    def malformed_rows(self, spark: SparkSession) -> int:
+        """Rows with a cell that is not of the schema's type, or with too few or too many cells."""
+        if not self.schema:
+            return 0
+        kinds = T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
+        marked = T.StructType([*kinds.fields, T.StructField("_malformed", T.StringType())])
+        reader = self._reader(spark).schema(marked).option("columnNameOfCorruptRecord", "_malformed")
+        # Spark checks the cells it is asked for, so all are.
+        return reader.csv(self.path).agg(F.count("_malformed"), *[F.count(F.col(f"`{c}`")) for c in kinds.fieldNames()]).first()[0]
+
 
 @dataclass(frozen=True)
 class Parquet:

@@ -6,9 +6,6 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Largest report written as a single file.
-SINGLE_FILE_ROWS = 1_000_000
-
 
 def save_table(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Replace a table with the rows of a frame that does not read it."""
@@ -20,13 +17,15 @@ def save_table(df: DataFrame, name: str, partition_by: str | None = None) -> Dat
 
 
 def rewrite_table(df: DataFrame, name: str) -> DataFrame:
-    """Replace a table with rows computed from that same table. They are saved
-    under another name first: Spark does not overwrite what it is reading."""
+    """Replace a table with rows computed from that same table. They are written
+    once, under another name, and then the names are swapped: until the new table
+    is whole, the old one stays."""
     spark = df.sparkSession
-    new = f"{name}__{uuid.uuid4().hex[:8]}"
+    new, old = (f"{name}__{uuid.uuid4().hex[:8]}" for _ in range(2))
     save_table(df, new)
-    save_table(spark.table(new), name)
-    drop_table(spark, new)
+    spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
+    spark.sql(f"ALTER TABLE {new} RENAME TO {name}")
+    drop_table(spark, old)
     return spark.table(name)
 
 
@@ -37,10 +36,10 @@ def drop_table(spark: SparkSession, name: str) -> None:
 def write_report(df: DataFrame, path: str, kind: str = "csv", *, single_file: bool = False) -> None:
     """Write a report folder, CSV with header or Parquet.
 
-    ``single_file`` asks for one part; a report too large for one task keeps its
-    parts, which sort by name in row order.
+    Parts sort by name in row order. ``single_file`` asks for one part, whatever
+    its size, which one task writes; it is for reports of some pages.
     """
-    if single_file and df.count() <= SINGLE_FILE_ROWS:
+    if single_file:
         df = df.coalesce(1)
     writer = df.write.mode("overwrite")
     writer.option("header", True).csv(path) if kind == "csv" else writer.format(kind).save(path)

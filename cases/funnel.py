@@ -353,7 +353,7 @@ SELECT patient_id, CAST(0 AS BIGINT) AS page, count(patient_id) AS billed_times,
        string_agg(VisitStatus || '// ', ',' ORDER BY modify_date, encounter_id) AS visit_statuses
 FROM ({t.LOG_SQL}) GROUP BY 1""",
     "log_summary_paged": f"""
-SELECT patient_id, (rn - 1) // 25 AS page, count(*) AS n, string_agg(Reason, ',' ORDER BY rn) AS reasons
+SELECT patient_id, (rn - 1) // 25 AS page, sum(count(*)) OVER (PARTITION BY patient_id)::BIGINT AS n, string_agg(Reason, ',' ORDER BY rn) AS reasons
 FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY modify_date, encounter_id) AS rn FROM ({t.LOG_SQL}))
 GROUP BY 1, 2""",
     "date_standardise": """

@@ -11,14 +11,14 @@ from caretally.sources import readers, schemas, sinks
 
 
 def test_jdbc_options():
-    table = readers.Jdbc("jdbc:x", table="t", properties={"driver": "d"})
+    table = readers.Jdbc("jdbc:x", table="t", properties={"driver": "d"}, unsplit=True)
     assert table.options() == {"url": "jdbc:x", "fetchsize": "10000", "driver": "d", "dbtable": "t"}
-    query = readers.Jdbc("jdbc:x", query="SELECT 1")
+    query = readers.Jdbc("jdbc:x", query="SELECT 1", unsplit=True)
     assert query.options()["query"] == "SELECT 1" and "dbtable" not in query.options()
     split = readers.Jdbc("jdbc:x", query="SELECT 1 AS id", partition_column="id", lower_bound=0, upper_bound=9, num_partitions=4)
     opts = split.options()
     assert opts["dbtable"] == "(SELECT 1 AS id) AS extract" and opts["numPartitions"] == "4" and "query" not in opts
-    for bad in (readers.Jdbc("jdbc:x"), readers.Jdbc("jdbc:x", table="t", query="q")):
+    for bad in (readers.Jdbc("jdbc:x", unsplit=True), readers.Jdbc("jdbc:x", table="t", query="q", unsplit=True), readers.Jdbc("jdbc:x", table="t")):
         with pytest.raises(ValueError):
             bad.options()
 
@@ -84,10 +84,31 @@ def test_csv_report(spark, tmp_path, single):
         assert len(glob.glob(path + "/part-*.csv")) == 1
 
 
-def test_big_report_keeps_its_parts(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(sinks, "SINGLE_FILE_ROWS", 5)
-    sinks.write_report(spark.range(10).repartition(3), str(tmp_path / "r"), "parquet", single_file=True)
-    assert len(glob.glob(str(tmp_path / "r") + "/part-*")) == 3
+def test_single_file_is_one_file_at_any_size(spark, tmp_path):
+    sinks.write_report(spark.range(10_000).repartition(3), str(tmp_path / "r"), "parquet", single_file=True)
+    assert len(glob.glob(str(tmp_path / "r") + "/part-*")) == 1
+
+
+def csv_of(tmp_path, text, encoding="utf-8"):
+    path = tmp_path / "in.csv"
+    path.write_bytes(text.encode(encoding))
+    return str(path)
+
+
+def test_csv_cells_with_quotes_and_line_breaks(spark, tmp_path):
+    path = csv_of(tmp_path, 'a,b\n1,"say ""hi"", ok"\n2,"two\nlines"\n')
+    rows = readers.Csv(path, "a int, b string", multi_line=True).read(spark).collect()
+    assert [tuple(r) for r in rows] == [(1, 'say "hi", ok'), (2, "two\nlines")]
+
+
+def test_csv_header_has_to_fit_the_schema(spark, tmp_path):
+    with pytest.raises(Exception, match="CSV header|column name"):
+        readers.Csv(csv_of(tmp_path, "b,a\nx,1\n"), "a string, b string").read(spark).collect()
+
+
+def test_csv_latin_and_malformed_rows(spark, tmp_path):
+    source = readers.Csv(csv_of(tmp_path, "a,b\n1,é\nx,ü\n3\n4,y,z\n", "latin-1"), "a int, b string", encoding="ISO-8859-1")
+    assert source.read(spark).first()["b"] == "é" and source.malformed_rows(spark) == 3
 
 
 def test_stage_uses_the_named_folder(spark):
