@@ -42,7 +42,10 @@ CHUNK = 1 << 20
 
 def dictionary(pages: DataFrame) -> bytes:
     """A trained dictionary, or nothing where there are too few pages to train one."""
-    sample = pages.where("html IS NOT NULL").orderBy(F.xxhash64("page_id"), "page_id").select(F.substring("html", 1, DICTIONARY_CHARS).alias("html")).limit(DICTIONARY_PAGES)
+    order = [F.xxhash64("page_id"), F.col("page_id")]
+    chosen = pages.where("html IS NOT NULL AND page_id IS NOT NULL").select("page_id").orderBy(*order).limit(DICTIONARY_PAGES)
+    # Ids are chosen first: a sorted limit over the pages would have every task send as many pages to the driver.
+    sample = pages.join(F.broadcast(chosen), "page_id").select("page_id", F.substring("html", 1, DICTIONARY_CHARS).alias("html")).orderBy("page_id", "html").limit(DICTIONARY_PAGES)
     texts = [r["html"].encode() for r in sample.collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, texts).as_bytes()
