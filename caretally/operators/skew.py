@@ -1,9 +1,9 @@
 """Joins and numbering that hold when one key owns a large part of the rows.
 
 Sizes are looked up first: a row count, and for frames too big for one task a
-frequent-items sketch, which needs no shuffle. Data without hot keys takes Spark's
-plain join or window; only data with a key too big for one task takes the longer
-way. Both ways return the same rows.
+count per key hash, combined on the map side and kept in a table. Data without hot
+keys takes Spark's plain join or window; only data with a key too big for one task
+takes the longer way. Both ways return the same rows.
 """
 
 from __future__ import annotations
@@ -23,10 +23,8 @@ from caretally.session import stage
 # Rows of one key that a single task may handle, unless the session sets
 # spark.caretally.hotRows or the caller says otherwise.
 HOT_ROWS = 1_000_000
-# Smallest share of the rows a key is looked for at. It bounds the list of hot
-# keys that comes to the driver (at most 1/HOT_SHARE entries).
-HOT_SHARE = 1e-4
-# Most pieces one key (or one numbering) is cut in; beyond it pieces grow.
+# Most pieces of one numbering, which its range partitioning samples 100 rows each
+# of; beyond it pieces grow, and their sorts spill.
 MAX_PIECES = 20_000
 
 OrderBy = Sequence[str | Column]
@@ -63,18 +61,21 @@ def lookup_join(left: DataFrame, dimension: DataFrame, on: str | Sequence[str])
 
 @dataclass(frozen=True)
 class HotKeys:
-    """Hashes of the keys above the limit, pieces to cut each of them in, and the
+    """``keys``: a staged table (_h, _pieces) of the hashes of the keys above the
+    limit and the pieces to cut each in, or None if there are none. ``rows``: the
     number of rows looked at."""
 
-    hashes: tuple[int, ...] = ()
-    pieces: int = 1
+    keys: DataFrame | None = None
     rows: int = 0
 
     def __bool__(self) -> bool:
-        return bool(self.hashes)
+        return self.keys is not None
 
-    def match(self, on: Sequence[str]) -> Column:
-        return F.xxhash64(*on).isin(list(self.hashes))
+    def pieces_of(self, df: DataFrame, on: Sequence[str]) -> DataFrame:
+        """The frame with ``_pieces``, 1 for keys that are not hot. The table is not
+        forced to broadcast: a long one is sort-merged, and AQE splits the frame."""
+        named = df.withColumn("_h", F.xxhash64(*on)).join(self.keys, "_h", "left").drop("_h")
+        return named.withColumn("_pieces", F.coalesce("_pieces", F.lit(1)))
 
 
 def row_counts(*frames: DataFrame) -> list[int]:
@@ -87,48 +88,45 @@ def row_counts(*frames: DataFrame) -> list[int]:
 def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None, rows: int | None = None) -> HotKeys:
     """Keys with more than ``hot_rows`` rows; ``rows`` is the frame's size, if known.
 
-    A frame of no more rows than that has none. Otherwise a sketch names every
-    key that may be that frequent, and a second pass counts just those. Keys are
-    told apart by hash; a collision only salts a key that did not need it.
+    A frame of no more rows than that has none. Otherwise rows are counted per key
+    hash; at most rows / hot_rows of these are kept, and none comes to the driver. A
+    collision of hashes only salts a key that did not need it.
     """
     hot_rows = _limit(df, hot_rows)
     n = df.count() if rows is None else rows
     if n <= hot_rows:
         return HotKeys(rows=n)
-    hashed = df.select(F.xxhash64(*on).alias("h"))
-    frequent = hashed.freqItems(["h"], max(HOT_SHARE, hot_rows / n / 2)).first()[0] or []
-    if not frequent:
-        return HotKeys(rows=n)
-    hot = hashed.where(F.col("h").isin(list(frequent))).groupBy("h").count().where(F.col("count") > hot_rows).collect()
-    if not hot:
-        return HotKeys(rows=n)
-    pieces = ceil(max(r["count"] for r in hot) / hot_rows)
-    return HotKeys(tuple(r["h"] for r in hot), min(MAX_PIECES, max(2, pieces)), n)
+    counts = df.select(F.xxhash64(*on).alias("_h")).groupBy("_h").agg(F.count("*").alias("_n"))
+    pieces = F.ceil(F.col("_n") / F.lit(hot_rows)).cast("int").alias("_pieces")
+    found = stage(counts.where(F.col("_n") > hot_rows).select("_h", pieces), "hot_keys")
+    return HotKeys(None if found.isEmpty() else found, n)
 
 
-def _row_salt(df: DataFrame, hot: HotKeys, on: Sequence[str]) -> Column:
-    # Taken from the row's own values, so a recomputed task salts alike.
-    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    spread = F.pmod(F.xxhash64(F.lit(7), *plain), F.lit(hot.pieces))
-    return F.when(hot.match(on), spread).otherwise(F.lit(0)).cast("int")
+def _salted(df: DataFrame, hot: HotKeys, on: Sequence[str], name: str) -> DataFrame:
+    # The salt comes from the row's place in a staged table, read in the same order
+    # by a task that is run again; rows that are equal throughout are spread as well.
+    placed = hot.pieces_of(df.withColumn("_at", F.monotonically_increasing_id()), on)
+    salt = F.pmod(F.xxhash64("_at"), F.col("_pieces")).cast("int")
+    return placed.withColumn(name, salt).drop("_at", "_pieces")
 
 
-def _copies(hot: HotKeys, on: Sequence[str]) -> Column:
-    every = F.sequence(F.lit(0), F.lit(hot.pieces - 1))
-    return F.explode(F.when(hot.match(on), every).otherwise(F.array(F.lit(0))))
+def _copied(df: DataFrame, hot: HotKeys, on: Sequence[str], name: str) -> DataFrame:
+    """Each row once per piece of its own key."""
+    every = F.sequence(F.lit(0), F.col("_pieces") - 1)
+    return hot.pieces_of(df, on).withColumn(name, F.explode(every)).drop("_pieces")
 
 
 def _split(left: DataFrame, right: DataFrame, on: list[str], how: str, hot_l: HotKeys, hot_r: HotKeys) -> DataFrame:
     keys = list(on)
     if hot_l:
-        left = left.withColumn("_ls", _row_salt(left, hot_l, on))
+        left = _salted(left, hot_l, on, "_ls")
     if hot_r:
-        right = right.withColumn("_rs", _row_salt(right, hot_r, on))
+        right = _salted(right, hot_r, on, "_rs")
     if hot_l:
-        right = right.withColumn("_ls", _copies(hot_l, on))
+        right = _copied(right, hot_l, on, "_ls")
         keys.append("_ls")
     if hot_r:
-        left = left.withColumn("_rs", _copies(hot_r, on))
+        left = _copied(left, hot_r, on, "_rs")
         keys.append("_rs")
     return left.join(right, keys, how).drop("_ls", "_rs")
 
@@ -144,11 +142,10 @@ def salted_join(
 ) -> DataFrame:
     """Equi-join of two big frames on columns of the same name and type.
 
-    Rows of a hot key are spread over as many tasks as needed; the other side's
-    rows of that key are copied to each. ``how``: inner, left, left_semi or
-    left_anti. ``unique_right`` says the right side has one row per key, so that
-    only the left side can be hot. Rows equal in every column share a salt: leave
-    a row id in the frames.
+    Rows of a hot key are spread over as many tasks as it needs; the other side's
+    rows of that key are copied to each. A side with hot keys is staged first.
+    ``how``: inner, left, left_semi or left_anti. ``unique_right`` says the right
+    side has one row per key, so that only the left side can be hot.
     """
     on = [on] if isinstance(on, str) else list(on)
     for key in on:
@@ -170,6 +167,10 @@ def salted_join(
     hot_r = HotKeys() if unique_right else hot_keys(right, on, hot_rows, sizes[1])
     if not hot_l and not hot_r:
         return left.join(right, on, how)
+    if hot_l:
+        left = stage(left, "salted")
+    if hot_r:
+        right = stage(right, "salted")
     if how == "left" and hot_r:
         matched = _split(left, right, on, "inner", hot_l, hot_r)
         lonely = _split(left, right.select(*on).distinct(), on, "left_anti", hot_l, HotKeys())

@@ -73,7 +73,10 @@ def test_order_is_required(frame):
 
 def test_hot_keys(frame):
     hot = skew.hot_keys(frame, ["k"], 100)
-    assert len(hot.hashes) == 2 and hot.pieces == 5 and hot.rows == 1000
+    sizes = {r["k"]: r["n"] for r in frame.groupBy("k").agg(F.count("*").alias("n")).collect() if r["n"] > 100}
+    pieces = frame.select("k").distinct().withColumn("_h", F.xxhash64("k")).join(hot.keys, "_h").collect()
+    assert {r["k"]: r["_pieces"] for r in pieces} == {k: -(-n // 100) for k, n in sizes.items()} and set(sizes) == {7, None}
+    assert hot.rows == 1000
     assert not skew.hot_keys(frame, ["k"], 500)
     assert not skew.hot_keys(frame, ["k"], 1000)
 
@@ -95,10 +98,19 @@ def test_salted_join_unique_right(spark, frame, as_rows):
     assert as_rows(got) == as_rows(frame.join(right, "k", "left"))
 
 
-def test_salt_spreads_a_hot_key(frame):
-    hot = skew.hot_keys(frame, ["k"], 100)
-    per_salt = frame.where("k = 7").groupBy(skew._row_salt(frame, hot, ["k"]).alias("s")).count().collect()
-    assert len(per_salt) == hot.pieces and max(r["count"] for r in per_salt) < 160
+@pytest.mark.parametrize("equal_rows", [False, True])
+def test_salt_spreads_a_hot_key(frame, equal_rows):
+    rows = frame.select("k", *([] if equal_rows else ["id"]))
+    hot = skew.hot_keys(rows, ["k"], 100)
+    per_salt = skew._salted(rows, hot, ["k"], "s").where("k = 7").groupBy("s").count().collect()
+    assert len(per_salt) == 5 and max(r["count"] for r in per_salt) < 160
+
+
+def test_copies_are_those_of_the_own_key(spark):
+    big = spark.range(1000).selectExpr("CAST(IF(id < 700, 0, 1 + id % 2) AS int) AS k")
+    hot = skew.hot_keys(big, ["k"], 100)
+    small = spark.createDataFrame([(0,), (1,), (2,), (3,)], "k int")
+    assert {r["k"]: r["count"] for r in skew._copied(small, hot, ["k"], "s").groupBy("k").count().collect()} == {0: 7, 1: 2, 2: 2, 3: 1}
 
 
 def test_salted_join_wants_one_type(spark, frame):
