@@ -5,7 +5,8 @@ shorter. Pieces of equal length are alike to the packing, so it is planned on th
 as a sequence has tokens, whatever the corpus: a bin is filled greedily, the longest piece that fits first; then its
 shortest piece is replaced by two unpacked ones if they fill the widened gap more tightly. A bin's pattern is repeated as long
 as the counts allow the same choices. The plan names, for each pattern, the ranks of the pieces of each length that go there; pieces
-are ranked by counts per (length, hash bucket) and a numbering within buckets, and look their places up in the plan.
+are ranked by counts per (length, hash bucket) and a numbering within buckets, and look their places up in the plan. A length
+has as many buckets as its own pieces need, and equal rows are dealt by their place, so no bucket grows with the corpus.
 
 Rows: a null or empty text is a document of the end id alone. Rows with equal doc_id are separate documents with pieces of equal
 numbers. A null doc_id is passed through. A long text gives as many pieces as it takes. An empty table gives no rows.
@@ -24,16 +25,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from caretally.llm.blocks import mix
 from caretally.llm.store import table
 from caretally.llm.tokens import encoded, tokenizer_path
 
 LENGTH = 1024
-#: Pieces are numbered within hash buckets of about so many; so many buckets at most, which bounds the table of counts.
-BUCKET_PIECES, MAX_BUCKETS = 5_000, 65_536
+#: Pieces of one length are numbered within hash buckets of about so many.
+BUCKET_PIECES = 20_000
 
 
 def pieces_of(documents: DataFrame, path: str, length: int, with_ids: bool) -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of every piece, written to the shared folder."""
+    """doc_id, piece, start, length, ids_crc32 and, if wanted, ids of every piece, and a number to deal it by, written to the
+    shared folder."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, i, j, ids, cuts in encoded(batches, path):
@@ -47,14 +50,16 @@ def pieces_of(documents: DataFrame, path: str, length: int, with_ids: bool) -> D
             raw = ids.astype("<u4").tobytes()
             at = (cuts[row] + start) * 4
             cells = [raw[a:b] for a, b in zip(at.tolist(), (at + 4 * size).tolist(), strict=True)]
-            columns = [batch.column(0).take(pa.array(row + i)), pa.array(piece), pa.array(start), pa.array(size), pa.array([zlib.crc32(c) for c in cells], pa.int64())]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+            crc = np.array([zlib.crc32(c) for c in cells], np.int64)
+            deal = mix(mix(crc.astype(np.uint64)) + (row + i).astype(np.uint64)) >> np.uint64(1)
+            columns = [batch.column(0).take(pa.array(row + i)), pa.array(piece), pa.array(start), pa.array(size), pa.array(crc), pa.array(deal.view(np.int64))]
+            names = ["doc_id", "piece", "start", "length", "ids_crc32", "deal"]
             if with_ids:
                 columns.append(pa.array(cells, pa.binary()))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = "doc_id long, piece long, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
+    schema = "doc_id long, piece long, start long, length long, ids_crc32 long, deal long" + ", ids binary" * with_ids
     return table(documents.select("doc_id", "text").mapInArrow(work, schema))
 
 
@@ -105,19 +110,19 @@ def plan(counts: np.ndarray) -> np.ndarray:
 def packed(documents: DataFrame, path: str | None = None, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and ids), sequence_id and offset of every piece."""
     pieces = pieces_of(documents, path or tokenizer_path(), length, with_ids)
-    total = pieces.count()
-    buckets = max(1, min(-(-total // BUCKET_PIECES), MAX_BUCKETS))
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
-    counted = table(dealt.groupBy("length", "bucket").agg(F.count("*").alias("n")))
     counts = np.zeros(length + 1, np.int64)
-    for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect():  # at most one row per length
+    for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect():  # at most one row per length
         counts[r["length"]] = r["n"]
     shared = documents.sparkSession.sparkContext.broadcast(plan(counts))
+    buckets = F.array(*[F.lit(int(n)) for n in np.maximum(1, -(-counts // BUCKET_PIECES))])
+    dealt = pieces.withColumn("bucket", F.col("deal") % F.get(buckets, F.col("length").cast("int")))
+    counted = dealt.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     below = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counted.select("length", "bucket", F.coalesce(F.sum("n").over(below), F.lit(0)).alias("before"))
-    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece"))
+    within = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("deal", "doc_id", "piece"))
     ranked = dealt.withColumn("within", within).join(offsets, ["length", "bucket"]).withColumn("rank", F.col("before") + F.col("within") - 1)
-    names = [*pieces.columns, "rank"]
+    kept = [f for f in pieces.schema if f.name != "deal"]
+    names = [*(f.name for f in kept), "rank"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = shared.value[np.lexsort((shared.value[:, 1], shared.value[:, 0]))]
@@ -128,5 +133,5 @@ def packed(documents: DataFrame, path: str | None = None, length: int = LENGTH,
             turn = rank - own[:, 1]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(own[:, 3] + turn // own[:, 4]), pa.array(own[:, 5] + turn % own[:, 4] * size)], [*names[:-1], "sequence_id", "offset"])
 
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pieces.schema) + ", sequence_id long, offset long"
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept) + ", sequence_id long, offset long"
     return ranked.select(*names).mapInArrow(place, schema)

@@ -112,6 +112,15 @@ def test_two_smaller_pieces_replace_the_smallest():
     assert packing.filled(counts) == [60, 21, 19]
 
 
+def test_equal_rows_are_dealt_to_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 50)
+    frame = spark.createDataFrame([(None, "same words")] * 3_000 + [(k, "other") for k in range(200)], "doc_id long, text string")
+    assert packing.pieces_of(frame, tokens.tokenizer_path(), 8, False).select("deal").distinct().count() > 500
+    got = packing.packed(frame, length=8).collect()
+    ends = {(r["sequence_id"], r["offset"] + r["length"]) for r in got}
+    assert len(got) == 3_200 == len({(r["sequence_id"], r["offset"]) for r in got}) and all(r["offset"] == 0 or (r["sequence_id"], r["offset"]) in ends for r in got)
+
+
 def test_suffix_array(documents, rows, nothing):
     seen, want = set(), {}
     for k, text in sorted([(r[0], r[1]) for r in rows], key=lambda x: (x[0] is not None, x[0])):
