@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
 from caretally.operators.sequence import ordinal_mix
+from caretally.operators.skew import hot_keys
 from caretally.plans import documents, fiscal, funnel, labs, scorecard, snapshot
 from caretally.session import stage
 from caretally.sources import readers, schemas, sinks
@@ -211,8 +212,10 @@ def funnel_job(
     whole = stage(funnel.log_with_fields(log), "log")
     chosen = stage(funnel.site_log(whole, sites), "site_log")
     joined = stage(funnel.log_encounters(chosen, encounters), "log_encounters")
-    sequence = stage(funnel.sequence(joined), "sequence")
-    masked = stage(funnel.conversions(sequence), "conversions")
+    # A patient's rows only get fewer from here on.
+    hot = hot_keys(joined, ["patient_id"])
+    sequence = stage(funnel.sequence(joined, hot=hot), "sequence")
+    masked = stage(funnel.conversions(sequence, hot=hot), "conversions")
     first = stage(funnel.with_first_seen(funnel.one_per_patient(masked), whole), "converted")
     since = stage(
         funnel.visits_since_first(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from caretally.operators.skew import OrderBy, hot_keys, number_rows, sort_columns
+from caretally.operators.skew import HotKeys, OrderBy, hot_keys, number_rows, sort_columns
 
 
 def keep_first(df: DataFrame, keys: str | Sequence[str], order_by: OrderBy) -> DataFrame:
@@ -32,10 +32,19 @@ def keep_values_on_edges(
     on_first: Sequence[str] = (),
     on_last: Sequence[str] = (),
     group_rows: int | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Null some columns everywhere but on the first, others everywhere but on
-    the last row of each key. No row is dropped."""
-    size = {"group_rows": group_rows, "hot": hot_keys(df, keys, group_rows)}
+    the last row of each key. No row is dropped. One ordering gives both edges
+    where every key fits a task; ``hot`` as in ``number_rows``."""
+    hot = hot_keys(df, keys, group_rows) if hot is None else hot
+    if not hot:
+        w = W.partitionBy(*keys).orderBy(*sort_columns(order_by))
+        edges = {"_rn": F.row_number().over(w), "_next": F.lead(F.lit(1)).over(w)}
+        kept = {c: F.when(F.col("_rn") == 1, F.col(c)) for c in on_first}
+        kept |= {c: F.when(F.col("_next").isNull(), F.col(c)) for c in on_last}
+        return df.withColumns(edges).withColumns(kept).drop(*edges)
+    size = {"group_rows": group_rows, "hot": hot}
     for columns, order in ((on_first, list(order_by)), (on_last, [F.desc(c) for c in order_by])):
         if columns:
             df = number_rows(df, keys, order, name="_rn", **size)

@@ -1,9 +1,11 @@
 """Joins and numbering that hold when one key owns a large part of the rows.
 
-Sizes are looked up first: a row count, and for frames too big for one task a
-count per key hash, combined on the map side and kept in a table. Data without hot
-keys takes Spark's plain join or window; only data with a key too big for one task
-takes the longer way. Both ways return the same rows.
+Where the session lets AQE split skewed joins in every plan, joins are left to it, but
+for the one it cannot split: a left join with a hot right side. Otherwise sizes are
+looked up first: a row count, and for frames too big for one task a count per key
+hash, combined on the map side and kept in a table. Data without hot keys takes
+Spark's plain join or window; only data with a key too big for one task takes the
+longer way. All ways return the same rows.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from dataclasses import dataclass
 from functools import reduce
 from math import ceil
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -102,6 +104,13 @@ def hot_keys(df: DataFrame, on: Sequence[str], hot_rows: int | None = None, rows
     return HotKeys(None if found.isEmpty() else found, n)
 
 
+def aqe_splits(spark: SparkSession) -> bool:
+    """Whether AQE splits every skewed join it can. Without the force setting it gives
+    a split up where the next step is grouped by the same key."""
+    wanted = ("enabled", "skewJoin.enabled", "forceOptimizeSkewedJoin")
+    return all(spark.conf.get(f"spark.sql.adaptive.{c}") == "true" for c in wanted)
+
+
 def _salted(df: DataFrame, hot: HotKeys, on: Sequence[str], name: str) -> DataFrame:
     # The salt comes from the row's place in a staged table, read in the same order
     # by a task that is run again; rows that are equal throughout are spread as well.
@@ -145,7 +154,9 @@ def salted_join(
     Rows of a hot key are spread over as many tasks as it needs; the other side's
     rows of that key are copied to each. A side with hot keys is staged first.
     ``how``: inner, left, left_semi or left_anti. ``unique_right`` says the right
-    side has one row per key, so that only the left side can be hot.
+    side has one row per key, so that only the left side can be hot. What AQE splits
+    (see ``aqe_splits``) is a plain join without a look at the sizes, unless
+    ``hot_rows`` is given.
     """
     on = [on] if isinstance(on, str) else list(on)
     for key in on:
@@ -159,6 +170,12 @@ def salted_join(
     right = right.where(known)
     if how == "inner":
         left = left.where(known)
+    if hot_rows is None and aqe_splits(left.sparkSession):
+        if how != "left" or unique_right or not hot_keys(right, on):
+            return left.join(right, on, how)
+        left, right = stage(left, "split"), stage(right, "split")
+        lonely = left.join(right.select(*on).distinct(), on, "left_anti")
+        return left.join(right, on, "inner").unionByName(lonely, allowMissingColumns=True)
     if how in ("left_semi", "left_anti"):
         right, unique_right = right.select(*on).distinct(), True
 

@@ -20,6 +20,8 @@ def local_session(
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.showConsoleProgress", "false")
+        # Skewed joins are split even where the next step is grouped by the same key.
+        .config("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
         # Recording the call site of every column doubles the time to build a plan.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )

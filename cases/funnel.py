@@ -8,6 +8,7 @@ from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
 from caretally.operators.lists import ordered_list
 from caretally.operators.sequence import ordinal_mix
+from caretally.operators.skew import hot_keys
 from caretally.plans import funnel
 from caretally.session import stage
 from cases import tables as t
@@ -106,12 +107,18 @@ def _visits_joined(spark, d):
     return t.visits(spark, d).withColumn("matched_encounter_id", F.col("encounter_id"))
 
 
+def _hot_patients(spark, d):
+    """One look at the base table serves every numbering of its rows by patient."""
+    return hot_keys(t.table(spark, d, "events").select("user_id"), ["user_id"])
+
+
 def _sequence(spark, d):
-    return funnel.sequence(_visits_joined(spark, d), DONE)
+    return funnel.sequence(_visits_joined(spark, d), DONE, hot=_hot_patients(spark, d))
 
 
 def _masked(spark, d):
-    return funnel.conversions(_sequence(spark, d))
+    hot = _hot_patients(spark, d)
+    return funnel.conversions(funnel.sequence(_visits_joined(spark, d), DONE, hot=hot), hot=hot)
 
 
 SEQUENCE_COLUMNS = ("patient_id", "dob", "encounter_id", "visit_status", "rn", "is_converted", "converted_rn", "conversions_so_far")

@@ -92,6 +92,28 @@ def test_salted_join(spark, frame, as_rows, how, right_side):
     assert as_rows(got) == as_rows(plain)
 
 
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_joins_left_to_aqe(spark, frame, as_rows, how):
+    right = spark.createDataFrame([(k, i) for i, k in enumerate([7] * 300 + [3] * 40 + [90])] + [(None, -1)] * 120, "k int, w int")
+    plain = as_rows(frame.join(right, "k", how))
+    assert skew.aqe_splits(spark)
+    spark.conf.set("spark.caretally.hotRows", "100")
+    try:
+        assert as_rows(skew.salted_join(frame, right, "k", how)) == plain
+    finally:
+        spark.conf.unset("spark.caretally.hotRows")
+
+
+def test_building_a_split_join_starts_no_job(spark, frame):
+    spark.sparkContext.setJobGroup("building", "building")
+    right = frame.groupBy("k").agg(F.min("id").alias("first"))
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        skew.salted_join(frame, right, "k", how, unique_right=True)
+    skew.salted_join(frame, frame.select("k", "v"), "k", "inner")
+    assert spark.sparkContext.statusTracker().getJobIdsForGroup("building") == []
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_salted_join_unique_right(spark, frame, as_rows):
     right = frame.groupBy("k").agg(F.min("id").alias("first"))
     got = skew.salted_join(frame, right, "k", "left", unique_right=True, hot_rows=100)
