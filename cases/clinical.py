@@ -152,11 +152,15 @@ QUERIES = {
 ASSIGNED = f"""
 SELECT * FROM ({t.DOCS_SQL}) WHERE scan_day >= DATE '2023-11-01' AND scan_day < DATE '2023-12-01'
   AND reviewer_id IN {t.REVIEWERS} AND del_flag = 0
+QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY scan_day, patient_id) = 1
+"""
+LISTED = f"""
+SELECT * FROM ({t.REPORT_SQL}) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY reviewed_date, report_scanned_by) = 1
 """
 LAGS = f"""
 SELECT a.*, r.* EXCLUDE (doc_id), date_diff('day', a.scan_day, r.reviewed_date) AS review_days,
        CASE WHEN date_diff('day', a.scan_day, r.reviewed_date) <= 5 THEN 1 ELSE 0 END AS in_time
-FROM ({ASSIGNED}) a LEFT JOIN ({t.REPORT_SQL}) r ON r.doc_id = a.doc_id
+FROM ({ASSIGNED}) a LEFT JOIN ({LISTED}) r ON r.doc_id = a.doc_id
 """
 LABELLED = "SELECT d.doc_id, d.source, d.n_chars, l.quality, l.toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"
 TURNAROUND = """

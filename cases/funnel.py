@@ -39,7 +39,10 @@ def _json_fields(spark, d):
 
 
 def _log_sites(spark, d):
-    rows = funnel.site_log(t.log(spark, d), SITES)
+    """Notes of purchases name a date of birth."""
+    named = F.concat(F.lit("seen. DOB: "), F.date_format("modify_date", "dd/MM/yyyy"), F.lit("; "), F.col("Notes"))
+    log = t.log(spark, d).withColumn("Notes", F.when(F.col("FacilityName") == "purchase", named).otherwise(F.col("Notes")))
+    rows = funnel.site_log(log, SITES)
     return rows.select("patient_id", "encounter_id", "FacilityName", "dob")
 
 
@@ -121,6 +124,14 @@ def _masked(spark, d):
     return funnel.conversions(funnel.sequence(_visits_joined(spark, d), DONE, hot=hot), hot=hot)
 
 
+def _two_dobs(spark, d):
+    """A patient's short visits are filed under another date of birth: numbered by
+    themselves, masked together with the rest."""
+    other = F.when(F.col("visit_type") == "short", F.concat("dob", F.lit("?"))).otherwise(F.col("dob"))
+    hot = _hot_patients(spark, d)
+    return funnel.conversions(funnel.sequence(_visits_joined(spark, d).withColumn("dob", other), DONE, hot=hot), hot=hot)
+
+
 SEQUENCE_COLUMNS = ("patient_id", "dob", "encounter_id", "visit_status", "rn", "is_converted", "converted_rn", "conversions_so_far")
 MASKED_COLUMNS = ("patient_id", "encounter_id", "rn", "converted_rn", "conversions_so_far")
 
@@ -245,6 +256,7 @@ QUERIES = {
     "converted_users": lambda s, d: funnel.converted_users(_joined(s, d), show=["encounter_id", "Reason"]),
     "visit_sequence": lambda s, d: _sequence(s, d).select(*SEQUENCE_COLUMNS),
     "conversion_masked": lambda s, d: _masked(s, d).select(*MASKED_COLUMNS),
+    "conversion_two_dobs": lambda s, d: _two_dobs(s, d).select(*MASKED_COLUMNS),
     "conversion_first": lambda s, d: funnel.one_per_patient(_masked(s, d)).select(*MASKED_COLUMNS),
     "ordinal_mix": lambda s, d: ordinal_mix(_masked(s, d)),
     "unique_converted": lambda s, d: funnel.converted_encounters(_masked(s, d)),
@@ -351,7 +363,8 @@ SELECT event_id, json_extract_string(props, '$.k') AS k,
        CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS "VisitType",
        CAST(NULL AS VARCHAR) AS "Reason", CAST(NULL AS VARCHAR) AS "Notes", CAST(NULL AS VARCHAR) AS "ProviderName" FROM events""",
     "log_sites": f"""
-SELECT patient_id, encounter_id, FacilityName, CAST(NULL AS VARCHAR) AS dob FROM ({t.LOG_SQL}) WHERE FacilityName IN {SITES}""",
+SELECT patient_id, encounter_id, FacilityName,
+       CASE WHEN FacilityName = 'purchase' THEN strftime(modify_date, '%d/%m/%Y') END AS dob FROM ({t.LOG_SQL}) WHERE FacilityName IN {SITES}""",
     "log_last": LAST,
     "log_first": f"SELECT patient_id, min(appointment_date) AS first_seen FROM ({t.LOG_SQL}) GROUP BY 1",
     "log_summary": f"""
@@ -378,6 +391,13 @@ SELECT patient_id, CAST(0 AS BIGINT) AS page, arg_min(encounter_id, (appointment
        string_agg(CAST(patient_id AS VARCHAR), ',') AS patient_ids
 FROM ({JOINED}) WHERE visit_status = 'CHK : Check Out' GROUP BY 1""",
     "visit_sequence": f"SELECT {', '.join(SEQUENCE_COLUMNS)} FROM ({SEQUENCE})",
+    "conversion_two_dobs": f"""
+WITH v AS (SELECT * REPLACE (CASE WHEN visit_type = 'short' THEN dob || '?' ELSE dob END AS dob) FROM ({t.VISITS_SQL})),
+n AS (SELECT *, row_number() OVER w AS rn, count(*) FILTER (WHERE visit_status = 'purchase') OVER w AS so_far
+      FROM v WINDOW w AS (PARTITION BY patient_id, dob ORDER BY appointment_date, encounter_id))
+SELECT patient_id, encounter_id, rn, CASE WHEN row_number() OVER p = 1 THEN rn END AS converted_rn,
+       CASE WHEN row_number() OVER p = count(*) OVER (PARTITION BY patient_id) THEN so_far END AS conversions_so_far
+FROM n WHERE visit_status = 'purchase' WINDOW p AS (PARTITION BY patient_id ORDER BY appointment_date, encounter_id)""",
     "conversion_masked": f"SELECT {', '.join(MASKED_COLUMNS)} FROM ({MASKED})",
     "conversion_first": f"""
 SELECT {', '.join(MASKED_COLUMNS)} FROM (SELECT *, row_number() OVER (PARTITION BY patient_id

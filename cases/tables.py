@@ -308,12 +308,13 @@ def scan_day() -> Column:
 
 
 def raw_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Document extract, all text. Source = reviewer, English = reviewed, very
-    long = deleted; the scan day spreads over November and December."""
+    """Document extract, all text. Source = reviewer, English = reviewed and listed
+    twice, very long = deleted; the scan day spreads over November and December."""
     lang, number = F.col("lang"), F.regexp_replace("source", "src", "")
-    return table(spark, d, "documents").select(
+    listing = F.explode(F.when(lang == "en", F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0))))
+    return table(spark, d, "documents").withColumn("listing", listing).select(
         F.col("doc_id").cast("string").alias("docID"),
-        F.col("n_chars").cast("string").alias("PatientId"),
+        (F.col("n_chars") + F.col("listing")).cast("string").alias("PatientId"),
         number.alias("ReviewerId"),
         F.col("source").alias("reviewername"),
         lang.alias("ScannedBy"),
@@ -327,9 +328,11 @@ def raw_documents(spark: SparkSession, d: str) -> DataFrame:
 
 
 def raw_report(spark: SparkSession, d: str) -> DataFrame:
-    """Label = row of the external report, reviewed -1 to 9 days after the scan."""
-    reviewed = F.date_add(scan_day(), F.pmod(F.col("doc_id"), F.lit(11)).cast("int") - 1)
-    return table(spark, d, "labels").select(
+    """Label = row of the external report, reviewed -1 to 9 days after the scan; good
+    quality = listed again with a review three days later."""
+    listing = F.explode(F.when(F.col("quality") == 1, F.array(F.lit(3), F.lit(0))).otherwise(F.array(F.lit(0))))
+    reviewed = F.date_add(scan_day(), F.pmod(F.col("doc_id"), F.lit(11)).cast("int") - 1 + F.col("listing"))
+    return table(spark, d, "labels").withColumn("listing", listing).select(
         F.col("doc_id").cast("string").alias("Document ID"),
         F.date_format(reviewed, "dd/MM/yyyy").alias("Reviewed Date"),
         F.col("toxic").cast("string").alias("Scanned By"),
@@ -342,18 +345,18 @@ def raw_report(spark: SparkSession, d: str) -> DataFrame:
 REVIEWERS = tuple(range(18))
 
 DOCS_SQL = """
-SELECT doc_id, n_chars AS patient_id, CAST(replace(source, 'src', '') AS BIGINT) AS reviewer_id, source AS reviewer_name,
+SELECT doc_id, n_chars + listing AS patient_id, CAST(replace(source, 'src', '') AS BIGINT) AS reviewer_id, source AS reviewer_name,
        lang AS scanned_by, 'doc ' || CAST(doc_id AS VARCHAR) AS custom_name, 'pdf' AS file_format,
        CAST(doc_id AS VARCHAR) || '.pdf' AS file_name, CASE WHEN lang = 'en' THEN 1 ELSE 0 END AS review,
        CASE WHEN n_chars > 15000 THEN 1 ELSE 0 END AS del_flag,
        DATE '2023-11-01' + CAST(doc_id % 45 AS INTEGER) AS scan_day
-FROM documents
+FROM (SELECT *, unnest(CASE WHEN lang = 'en' THEN [1, 0] ELSE [0] END) AS listing FROM documents)
 """
 REPORT_SQL = """
-SELECT doc_id, DATE '2023-11-01' + CAST(doc_id % 45 + doc_id % 11 - 1 AS INTEGER) AS reviewed_date,
+SELECT doc_id, DATE '2023-11-01' + CAST(doc_id % 45 + doc_id % 11 - 1 + listing AS INTEGER) AS reviewed_date,
        CAST(toxic AS VARCHAR) AS report_scanned_by, CAST(quality AS VARCHAR) AS report_reviewer_name,
        CAST(doc_id AS VARCHAR) AS report_patient_id, CAST(quality AS VARCHAR) AS report_patient_name
-FROM labels
+FROM (SELECT *, unnest(CASE WHEN quality = 1 THEN [3, 0] ELSE [0] END) AS listing FROM labels)
 """
 
 
