@@ -119,12 +119,24 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     return row[lo], lo, packed, key.view(np.int64), run.view(np.int64)
 
 
-def identified(documents: DataFrame) -> DataFrame:
-    """id, tie, text and `row`, the other columns; `tie` tells rows of equal doc_id apart and is 0 where there are none."""
+def identified(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """id, tie, text and `row`, the other columns; `tie` tells rows of equal doc_id apart and is 0 where there are none. And id, tie
+    and text of each document: rows that are equal in them are one."""
     ids = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"))
     repeated = ids.groupBy("id").count().where("count > 1").limit(1).count()
     tie = F.xxhash64(F.coalesce("text", F.lit(""))) if repeated else F.lit(0).cast("long")
-    return documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), tie.alias("tie"), "text", F.struct(*[c for c in documents.columns if c != "text"]).alias("row"))
+    rows = documents.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), tie.alias("tie"), "text", F.struct(*[c for c in documents.columns if c != "text"]).alias("row"))
+    return rows, one_of_each(rows) if repeated else rows
+
+
+def one_of_each(rows: DataFrame) -> DataFrame:
+    """id, tie and text, once for each (id, tie). Only rows that have a copy are grouped, copies within a task first."""
+    copied = table(rows.groupBy("id", "tie").count().where("count > 1").select("id", "tie"))
+    own = rows.select("id", "tie", "text")
+    if not copied.limit(1).count():
+        return own
+    one = own.join(copied, ["id", "tie"], "left_semi").groupBy("id", "tie").agg(F.first("text").alias("text"))
+    return own.join(copied, ["id", "tie"], "left_anti").unionByName(one)
 
 
 def suffixes(rows: DataFrame) -> DataFrame:
@@ -240,7 +252,7 @@ def sorted_windows(parts: DataFrame, buckets: int) -> DataFrame:
 
 
 def repeated(rows: DataFrame) -> DataFrame:
-    """id, tie, lo, n: runs of n + 1 windows from lo on that also start earlier."""
+    """id, tie, lo, n: runs of n + 1 windows from lo on that also start earlier. Of rows with equal (id, tie) there has to be one."""
     spark = rows.sparkSession
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     least = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -256,8 +268,8 @@ def repeated(rows: DataFrame) -> DataFrame:
 
 def reduced(documents: DataFrame, with_text: bool) -> DataFrame:
     """row (the columns but text), n_bytes, n_removed, n_spans, kept_sha256 of every row and, if wanted, kept_text."""
-    rows = identified(documents)
-    spans = repeated(rows).groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))  # at most a text's windows
+    rows, distinct = identified(documents)
+    spans = repeated(distinct).groupBy("id", "tie").agg(F.collect_list(F.struct("lo", "n")).alias("spans"))  # at most a text's windows
     names = ["row", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept_text"] * with_text
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

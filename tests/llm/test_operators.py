@@ -146,6 +146,15 @@ def test_rows_with_equal_ids_are_ordered_by_text(spark):
     assert got.count((2, True)) == 1 and sum(x[1] for x in got) >= 2
 
 
+def test_equal_rows_are_one_document(spark):
+    text, twice, long = prose(9, 60), prose(10, 60), prose(12, 20_000)
+    frame = spark.createDataFrame([(1, text), (1, text), (None, twice), (None, twice), (None, twice), (2, "x " + text), (3, twice), (4, long), (4, long), (5, None), (5, ""), (5, None)], "doc_id long, text string").repartition(3)
+    whole = {1: text, None: twice, 4: long, 5: "", 2: "x ", 3: ""}
+    want = {k: (len((t + (text if k == 2 else twice if k == 3 else "")).encode()) - len(t.encode()), hashlib.sha256(t.encode()).hexdigest()) for k, t in whole.items()}
+    got = [(r["doc_id"], (r["n_removed"], r["kept_sha256"])) for r in suffix.deduplicated(frame).collect()]
+    assert len(got) == 12 and all(x == want[k] for k, x in got)
+
+
 def test_multikey_order():
     r = np.random.default_rng(1)
     columns = [r.integers(0, 3, 100_000), r.integers(0, 50, 100_000), r.integers(0, 1 << 40, 100_000)]
