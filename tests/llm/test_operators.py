@@ -257,6 +257,25 @@ def test_toxicity(spark, nothing):
     assert toxicity.scored(nothing, known).collect() == [] and {x["score"] for x in toxicity.scored(frame, known.limit(0)).collect()} == {0.0}
 
 
+def test_toxic_phrases_and_broken_insults(spark):
+    r, data, labels = random.Random(6), [], []
+    for k in range(600):
+        text = [r.choice(["drop", "dead", "you", "house", "garden", "table", "window", "river"]) for _ in range(30)]
+        text = [w for i, w in enumerate(text) if i == 0 or (text[i - 1], w) != ("drop", "dead")]
+        if k % 4 == 0:
+            text[10:10] = ["drop", "dead"]
+        text = re.sub("drop dead" if k % 4 else "$^", "drop house dead", " ".join(text))
+        data.append((k, text))
+        labels.append((k, int(k % 4 == 0)))
+    schema = "doc_id long, text string"
+    got = toxicity.scored(spark.createDataFrame(data, schema), spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
+    held = [(x["predicted"] == 1, x["doc_id"] % 4 == 0) for x in got if x["held_out"]]
+    assert np.mean([a == b for a, b in held]) > 0.9
+    data = [(k, prose(500 + k, 40) + (" scumbag" if k % 4 == 0 else "")) for k in range(400)] + [(1000, "a sc um bag here"), (1001, "a house here")]
+    got = {x["doc_id"]: x["score"] for x in toxicity.scored(spark.createDataFrame(data, schema), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")).collect()}
+    assert got[1000] > 0.5 > got[1001]
+
+
 def test_urls(spark):
     rules = (*urls.RULES, ("block", "example.org/*/private"), ("allow", "com/a"))
     cases = {"https://www.Example.NET/x": "net/", "http://example.net/en/1?q": "example.net/en/", "http://a.example.com/de/3#x": "example.com/de/", "http://xexample.com/de/": None, "http://example.org/fr/": "org/fr/",
