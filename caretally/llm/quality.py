@@ -1,7 +1,7 @@
 """Quality rules: plain counts of a text, and a log-likelihood ratio of hashed n-grams between trusted and raw text.
 
 Word unigrams and bigrams (A-Z folded) are hashed to `BUCKETS`. Two multinomials over the buckets are counted: over all
-documents (raw) and over a bounded sample of trusted ones (labelled quality 1). A document's score is the sum over its
+documents (raw) and over all trusted ones (labelled quality 1). A document's score is the sum over its
 n-grams of log(target share / raw share), divided by their number plus `SMOOTH`; it is kept if the score reaches `MIN_SCORE`. No draw is
 made: equal texts get equal verdicts.
 
@@ -26,8 +26,6 @@ from caretally.llm.blocks import gram_hashes, row_of, span_hashes, text_blocks,
 
 #: Hash buckets of the n-grams; both multinomials have this size at any scale.
 BUCKETS = 10_000
-#: The trusted sample has at most so many documents, those with the smallest hash of their doc_id.
-TRUSTED = 20_000
 #: Mean log ratio per n-gram below which a document is dropped.
 MIN_SCORE = -0.06
 #: So many n-grams of no evidence are added to each text, lest a few odd words condemn a short one.
@@ -95,11 +93,10 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([rows, rows[first]])
 
 
-def bucket_counts(documents: DataFrame, labels: DataFrame, trusted: int = TRUSTED) -> DataFrame:
-    """(bucket, raw, target): n-gram counts over all documents and over the trusted sample; at most BUCKETS rows."""
-    sample = (labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct()
-              .orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted).withColumn("trusted", F.lit(True)))
-    marked = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def bucket_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, raw, target): n-gram counts over all documents and over the trusted ones; at most BUCKETS rows."""
+    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
+    marked = documents.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)

@@ -225,6 +225,13 @@ def test_quality(spark, documents, rows, nothing):
     assert quality.judge(nothing, labels).collect() == [] and quality.judge(documents, labels.limit(0)).count() == len(rows)
 
 
+def test_every_trusted_document_counts(spark):
+    frame = spark.createDataFrame([(k, f"word{k} and more") for k in range(50)] + [(None, "no id")], "doc_id long, text string")
+    labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
+    got = quality.bucket_counts(frame, labels.union(labels)).collect()
+    assert (sum(r["target"] for r in got), sum(r["raw"] for r in got)) == (250, 253)
+
+
 def test_language(spark, nothing):
     en, de = "the house and the garden of a small town", "das haus und der garten einer kleinen stadt"
     frame = spark.createDataFrame([(k, en if k % 2 else de, "en" if k % 2 else "de") for k in range(200)] + [(200, None, "en"), (201, "12 !?", "de"), (202, "gardening thee", None), (None, "kleinerer stadtgarten", None)],
