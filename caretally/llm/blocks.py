@@ -10,11 +10,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 BLOCK = 1 << 20
 SHINGLE = 5
-MULTIPLIER = 0x9E3779B97F4A7C15 | 1
-INVERSE = pow(MULTIPLIER, -1, 1 << 64)
+#: Two multipliers of polynomial hashes; the second is for a check of the first.
+MULTIPLIERS = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
+MULTIPLIER = MULTIPLIERS[0]
+INVERSES = tuple(pow(m, -1, 1 << 64) for m in MULTIPLIERS)
+#: Longer spans are hashed by xxh3: polynomials modulo 2 ** 64 are weak on long regular strings.
+LONG = 64
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,21 +102,26 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return starts, np.flatnonzero(inside & (~after | cut[1:])) + 1
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool) -> np.ndarray:
-    """A 64-bit hash of each span's bytes, the same wherever the span stands."""
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span's bytes, the same wherever the span stands. `which` chooses one of two independent hashes."""
     out = np.empty(len(starts), np.uint64)
-    up, down, table = powers(MULTIPLIER, BLOCK), powers(INVERSE, BLOCK), byte_table(fold)
+    long = np.flatnonzero(ends - starts > LONG)
+    for k, s, e in zip(long.tolist(), starts[long].tolist(), ends[long].tolist(), strict=True):
+        out[k] = xxhash.xxh3_64_intdigest(np.ascontiguousarray(LOWER[data[s:e]] if fold else data[s:e]), seed=which)
+    short = np.flatnonzero(ends - starts <= LONG)
+    first, last = starts[short], ends[short]
+    size = min(BLOCK + LONG, int(last[-1] - first[0]) if len(short) else 0)
+    up, down = powers(MULTIPLIERS[which], size), powers(INVERSES[which], size)
+    table = byte_table(fold) if which == 0 else mix(byte_table(fold))
     i = 0
-    while i < len(starts):
-        base = int(starts[i])
-        j = max(i + 1, int(np.searchsorted(ends, base + BLOCK, "right")))
-        top = int(ends[j - 1]) - base
-        if top > len(up) - 1:
-            up, down = powers(MULTIPLIER, top), powers(INVERSE, top)
+    while i < len(short):
+        base = int(first[i])
+        j = int(np.searchsorted(first, base + BLOCK, "right"))
+        top = int(last[j - 1]) - base
         sums = np.zeros(top + 1, np.uint64)
         np.cumsum(table[data[base:base + top]] * up[:top], dtype=np.uint64, out=sums[1:])
-        s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
+        s, e = first[i:j] - base, last[i:j] - base
+        out[short[i:j]] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64))
         i = j
     return out
 
@@ -192,13 +204,14 @@ def pieces(batch: pa.RecordBatch, column: str, separator: np.ndarray, size: int
 
 
 class Spans:
-    """Hashes of any spans of a piece, with the values that span_hashes gives."""
+    """Hashes of any short spans of a piece, by one of two independent polynomials."""
 
-    def __init__(self, data: np.ndarray, fold: bool = False):
+    def __init__(self, data: np.ndarray, fold: bool = False, which: int = 0):
         n = len(data)
-        self.down = powers(INVERSE, n)
+        table = byte_table(fold) if which == 0 else mix(byte_table(fold))
+        self.down = powers(INVERSES[which], n)
         self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(byte_table(fold)[data] * powers(MULTIPLIER, n)[:n], dtype=np.uint64, out=self.sums[1:])
+        np.cumsum(table[data] * powers(MULTIPLIERS[which], n)[:n], dtype=np.uint64, out=self.sums[1:])
 
     def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         return mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(np.uint64))

@@ -69,7 +69,8 @@ def plain_words(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 class Encoder:
-    """Encodes blocks of texts, with a memory of chunks: a table by hash, in which a new chunk may oust another."""
+    """Encodes blocks of texts, with a memory of chunks: a table by hash, in which a new chunk may oust another. A chunk is
+    taken for a remembered one if a second, independent hash is equal too."""
 
     def __init__(self, path: str, remembered: int = REMEMBERED):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -79,9 +80,9 @@ class Encoder:
 
     def clear(self) -> None:
         self.keys, self.place = np.zeros(int(self.mask) + 1, np.uint64), np.zeros(int(self.mask) + 1, np.int32)
-        self.ids, self.ends = [np.zeros(0, np.uint32)], np.zeros(1, np.int64)
+        self.ids, self.ends, self.checks = [np.zeros(0, np.uint32)], np.zeros(1, np.int64), np.zeros(1, np.uint64)
 
-    def learn(self, data: np.ndarray, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+    def learn(self, data: np.ndarray, keys: np.ndarray, checks: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
         """One pre-token of letters goes straight to the tokenizer's model, in the byte alphabet that its pre-tokenizer makes;
         other chunks go through the whole tokenizer."""
         raw, wide, model, whole = data.tobytes(), ALPHABET[data].tobytes(), self.model.tokenize, self.tokenizer.encode
@@ -94,6 +95,7 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.ids = [np.concatenate([*self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])]
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
+        self.checks = np.concatenate([self.checks[:n], checks, [0]]).astype(np.uint64)
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and offsets per text."""
@@ -104,14 +106,18 @@ class Encoder:
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
         keys = span_hashes(data, starts, ends, False) | np.uint64(1)
+        checks = span_hashes(data, starts, ends, False, 1)
         slot = keys & self.mask
         found = self.place[slot].astype(np.int64)
-        new = np.flatnonzero(self.keys[slot] != keys)
+        new = np.flatnonzero((self.keys[slot] != keys) | (self.checks[found] != checks))
         if len(new):
             known = len(self.ends) - 1
-            k, at, back = np.unique(keys[new], return_index=True, return_inverse=True)
-            self.learn(data, k, starts[new[at]], ends[new[at]])
-            found[new] = known + back
+            order = new[np.lexsort((checks[new], keys[new]))]
+            other = np.ones(len(order), bool)
+            other[1:] = (keys[order][1:] != keys[order][:-1]) | (checks[order][1:] != checks[order][:-1])
+            at = order[other]
+            self.learn(data, keys[at], checks[at], starts[at], ends[at])
+            found[order] = known + np.cumsum(other) - 1
         first = self.ends[found]
         size = self.ends[found + 1] - first
         ends_of = np.cumsum(size)

@@ -317,3 +317,20 @@ def test_archives_with_a_dictionary(spark):
     frame = spark.createDataFrame([(k, f"http://a/{k}", f"<html><title>{prose(k, 5)}</title>{prose(k, 80)}</html>") for k in range(200)], "page_id long, url string, html string")
     assert len(warc.dictionary(frame)) > 1000
     assert {r["page_id"]: r["payload"].decode() for r in warc.read_archives(warc.write_archives(frame)).collect()} == {r["page_id"]: r["html"] for r in frame.collect()}
+
+
+def thue_morse(n=11):
+    """Two different texts of 2 ** n letters that polynomials modulo 2 ** 64 cannot tell apart."""
+    bits = [bin(k).count("1") % 2 for k in range(1 << n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_that_collide_in_weak_hashes(spark):
+    x, y = thue_morse()
+    frame = spark.createDataFrame([(1, x), (2, y), (3, f"{x}\n{y}"), (4, x)], "doc_id long, text string").coalesce(1)
+    wanted = {1: x, 2: y, 3: f"{x}\n{y}", 4: x}
+    assert {r["doc_id"]: r["ids_crc32"] for r in huffman.round_trip(frame).collect()} == {k: crc(ids_of(t)) for k, t in wanted.items()}
+    assert all(r["ids_crc32"] == crc(ids_of(wanted[r["doc_id"]])[r["start"]:r["start"] + r["length"]]) for r in packing.packed(frame).collect())
+    assert {r["doc_id"]: r["n_dup_lines"] for r in quality.judge(frame, frame.selectExpr("doc_id", "1 AS quality")).collect()} == dict.fromkeys(wanted, 0)
+    assert {r["doc_id"]: r["component_id"] for r in neardup.classified(frame).collect()} == {1: 1, 2: 2, 3: 3, 4: 1}
+    assert {r["doc_id"]: r["n_removed"] for r in suffix.deduplicated(frame).collect()}[4] == len(x)
