@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caretally.llm import decontam, huffman, langid, neardup, packing, quality, suffix, toxicity, urls, warc
+from caretally.llm import decontam, huffman, langid, neardup, packing, quality, runs, suffix, toxicity, urls, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,5 +53,9 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.classified(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_suffix_array_dedup, op4_warc, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates)} | {"pipeline": corpus_pipeline.run}
+def op13_periodic_runs(spark, sf_dir):
+    return runs.collapsed(read(spark, sf_dir, "documents"), plant=True)
+
+
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_suffix_array_dedup, op4_warc, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op4_warc": warc.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE}
