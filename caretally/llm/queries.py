@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from caretally.llm import decontam, huffman, langid, neardup, packing, quality, ranked, runs, suffix, toxicity, urls, warc
+from caretally.llm import classlm, decontam, huffman, langid, neardup, packing, quality, ranked, runs, suffix, toxicity, urls, warc
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_near_duplicates(spark, sf_dir):
     return neardup.classified(read(spark, sf_dir, "documents"))
 
 
+def op11_class_lm(spark, sf_dir):
+    return classlm.scored(read(spark, sf_dir, "documents"))
+
+
 def op12_ranked_search(spark, sf_dir):
     return ranked.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -61,5 +65,5 @@ def op13_periodic_runs(spark, sf_dir):
     return runs.collapsed(read(spark, sf_dir, "documents"), plant=True)
 
 
-QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_suffix_array_dedup, op4_warc, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates, op12_ranked_search, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
+QUERIES = {f.__name__: f for f in (op1_token_output, op2_decontamination, op3_suffix_array_dedup, op4_warc, op5_toxicity, op6_language_id, op7_best_fit_packing, op8_quality_rules, op9_url_filter, op10_near_duplicates, op11_class_lm, op12_ranked_search, op13_periodic_runs)} | {"pipeline": corpus_pipeline.run}
 ORACLE = {"op2_decontamination": decontam.ORACLE, "op4_warc": warc.ORACLE, "op9_url_filter": urls.ORACLE, "op10_near_duplicates": neardup.ORACLE, "op12_ranked_search": ranked.ORACLE}
