@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caretally.llm.blocks import SHINGLE, distinct_by_row, gram_hashes, list_array, shingle_hashes, text_blocks, word_hashes
-from caretally.llm.store import table
+from caretally.llm.store import sent, table
 
 #: Percent of an item's shingles that a document has to hold.
 THRESHOLD = 75
@@ -112,10 +112,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = documents.sparkSession
     texts, out = documents.select("doc_id", "text"), None
     for index in indexes(benchmark):
-        shared = spark.sparkContext.broadcast(index)
+        made = sent(spark, index)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
+        def work(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            index = made()
             for batch in batches:
                 for i, _, data, offsets in text_blocks(batch, "text"):
                     found = list(index.matches(data, offsets))
@@ -132,13 +132,14 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose text holds no item, with all their columns."""
     for index in indexes(benchmark):
-        shared = documents.sparkSession.sparkContext.broadcast(index)
+        made = sent(documents.sparkSession, index)
 
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def work(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:
+            index = made()
             for batch in batches:
                 keep = np.ones(len(batch), bool)
                 for i, _, data, offsets in text_blocks(batch, "text"):
-                    keep[[i + row for row, _, _ in shared.value.matches(data, offsets)]] = False
+                    keep[[i + row for row, _, _ in index.matches(data, offsets)]] = False
                 yield batch.filter(pa.array(keep))
 
         documents = documents.mapInArrow(work, documents.schema)

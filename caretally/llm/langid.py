@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caretally.llm.blocks import Spans, pieces, row_of
-from caretally.llm.store import table
+from caretally.llm.store import sent, table
 
 #: About so many documents are learnt from (all, where there are fewer), chosen by a hash of doc_id.
 TRAIN_DOCUMENTS = 20_000
@@ -217,11 +217,12 @@ def predict(documents: DataFrame, model: Model) -> DataFrame:
     """The input's columns with lang_pred and score (columns of these names in the input are replaced)."""
     columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
     frame = documents.select(*columns)
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    made = sent(documents.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = made()
         for batch in batches:
-            langs, scores = shared.value.predict(batch, "text")
+            langs, scores = model.predict(batch, "text")
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
 
     return frame.mapInArrow(work, T.StructType([*frame.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))

@@ -1,10 +1,15 @@
 """Quality rules: plain counts of a text, and a log-likelihood ratio of hashed n-grams between trusted and raw text.
 
-Word unigrams and bigrams (A-Z folded) are hashed to `BUCKETS`. Two multinomials over the buckets are counted: over all
-documents (raw) and over all trusted ones (labelled quality 1). A document's score is the sum over its
+Word unigrams and bigrams (A-Z folded) are hashed to buckets, one per `LOAD` bytes of text, so that their load does not grow with the
+corpus (`BUCKETS` at least, `MOST_BUCKETS` at most, a table that a task can hold). Two multinomials over the buckets are
+counted: over all documents (raw) and over all trusted ones (labelled quality 1). A document's score is the sum over its
 n-grams of log(target share / raw share), divided by their number plus `SMOOTH`; it is kept if the score reaches `MIN_SCORE`. No draw is
 made: equal texts get equal verdicts.
 
+Trusted rows are found without moving a text. A Bloom filter of the trusted ids (in blocks of `FILTER_IDS`, by hash) is broadcast; a pass
+counts the rows that go through and returns their ids. Ids that went through wrongly (about one in a million) are found by a join
+of ids, and their counts are taken off again by the same way, until none is left. The plan is the same at every size.
+
 Base rules: fewer than 10 words, or more than a fifth of the words in repeated five-word windows.
 
 Rows: a null or empty text has no words, fails the base rules and scores 0. Repeated rows are judged alike, each by itself.
@@ -22,10 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from caretally.llm.blocks import gram_hashes, row_of, span_hashes, text_blocks, word_hashes, word_spans
+from caretally.llm.blocks import gram_hashes, mix, row_of, span_hashes, text_blocks, word_hashes, word_spans
+from caretally.llm.store import table
 
-#: Hash buckets of the n-grams; both multinomials have this size at any scale.
-BUCKETS = 10_000
+#: Bytes of text per hash bucket of the n-grams, and the least and the greatest number of buckets.
+LOAD, BUCKETS, MOST_BUCKETS = 4_000, 10_000, 1 << 22
+#: Ids per Bloom filter, its bits per id, and its hashes.
+FILTER_IDS, FILTER_BITS, FILTER_HASHES = 4_000_000, 32, 16
 #: Mean log ratio per n-gram below which a document is dropped.
 MIN_SCORE = -0.06
 #: So many n-grams of no evidence are added to each text, lest a few odd words condemn a short one.
@@ -86,50 +94,125 @@ def base_counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
             "n_dup_lines": np.bincount(line_rows[again], minlength=n), "n_repeat_words": np.bincount(rows[covered], minlength=n)}
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of each word and each pair of neighbouring words."""
     words, rows, _, _ = word_hashes(data, offsets)
     pairs, first = gram_hashes(words, rows, 2)
-    return (np.concatenate([words, pairs]) % np.uint64(BUCKETS)).astype(np.int64), np.concatenate([rows, rows[first]])
+    return (np.concatenate([words, pairs]) % np.uint64(buckets)).astype(np.int64), np.concatenate([rows, rows[first]])
+
+
+def bucket_number(documents: DataFrame) -> int:
+    size = documents.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return min(MOST_BUCKETS, max(BUCKETS, size // LOAD))
 
 
-def bucket_counts(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, raw, target): n-gram counts over all documents and over the trusted ones; at most BUCKETS rows."""
-    good = labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct().withColumn("trusted", F.lit(True))
-    marked = documents.select("doc_id", "text").join(good, "doc_id", "left").select("text", F.coalesce("trusted", F.lit(False)).alias("trusted"))
+def filter_places(ids: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+    """The bits of each id in a Bloom filter, one per hash."""
+    a = mix(ids.astype(np.int64).view(np.uint64))
+    step = mix(a ^ np.uint64(0x5851F42D4C957F2D)) | np.uint64(1)
+    for _ in range(FILTER_HASHES):
+        yield (a % np.uint64(bits)).astype(np.int64)
+        a = a + step
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+
+def bloom_filter(ids: DataFrame, n: int) -> np.ndarray:
+    """The bits of a filter of n ids, set by the tasks and united."""
+    size = max(1024, -(-n * FILTER_BITS // 8))
+    part = 1 << 16
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = np.zeros(size * 8, bool)
         for batch in batches:
-            flags = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for i, j, data, offsets in text_blocks(batch, "text"):
-                bucket, rows = features(data, offsets)
-                raw += np.bincount(bucket, minlength=BUCKETS)
-                target += np.bincount(bucket[flags[i:j][rows]], minlength=BUCKETS)
-        used = np.flatnonzero(raw)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(raw[used]), pa.array(target[used])], ["bucket", "raw", "target"])
+            for places in filter_places(batch.column(0).to_numpy(), size * 8):
+                flags[places] = True
+        bits = np.packbits(flags, bitorder="little")
+        starts = [k for k in range(0, size, part) if bits[k:k + part].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([bits[k:k + part].tobytes() for k in starts], pa.binary())], ["start", "bits"])
+
+    bits = np.zeros(size, np.uint8)
+    for row in ids.coalesce(8).mapInArrow(work, "start long, bits binary").toLocalIterator():  # at most 8 filters of FILTER_IDS ids
+        own = np.frombuffer(row["bits"], np.uint8)
+        bits[row["start"]:row["start"] + len(own)] |= own
+    return bits
+
 
-    return marked.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+def passing(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    out = np.ones(len(ids), bool)
+    for places in filter_places(ids, 8 * len(bits)):
+        out &= (bits[places >> 3] >> (places & 7).astype(np.uint8) & 1).astype(bool)
+    return out
 
 
-def log_ratios(counts: DataFrame) -> np.ndarray:
+def counted(documents: DataFrame, buckets: int, filters: list[np.ndarray] | None) -> DataFrame:
+    """(bucket, n): n-grams of the rows whose doc_id goes through all filters (of all rows without filters); and, with a null bucket,
+    the doc_ids that went through. Written to the shared folder."""
+    shared = documents.sparkSession.sparkContext.broadcast(filters)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(buckets, np.int64)
+        for batch in batches:
+            if shared.value is not None:
+                own = ~batch.column(0).is_null().to_numpy(zero_copy_only=False)
+                ids = batch.column(0).fill_null(0).to_numpy()
+                for bits in shared.value:
+                    own[own] = passing(bits, ids[own])
+                batch = batch.filter(pa.array(own))
+                ids = batch.column(0)
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), ids], ["bucket", "n", "doc_id"])
+            for _, _, data, offsets in text_blocks(batch, "text"):
+                total += np.bincount(features(data, offsets, buckets)[0], minlength=buckets)
+        used = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.nulls(len(used), pa.int64())], ["bucket", "n", "doc_id"])
+
+    return table(documents.select("doc_id", "text").mapInArrow(work, "bucket long, n long, doc_id long"))
+
+
+def gathered(counts: DataFrame, buckets: int) -> np.ndarray:
+    out = np.zeros(buckets, np.int64)
+    found = counts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a row per bucket
+    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    return out
+
+
+def counts_of_ids(documents: DataFrame, ids: DataFrame, buckets: int) -> np.ndarray:
+    """Bucket counts over the documents with one of the ids, each of which is in the table once."""
+    total, sign, filters = np.zeros(buckets, np.int64), 1, []
+    while n := ids.count():
+        filters.append(bloom_filter(ids, n))
+        found = counted(documents, buckets, filters)
+        total += sign * gathered(found, buckets)
+        ids = table(found.where("doc_id IS NOT NULL").select("doc_id").distinct().join(ids, "doc_id", "left_anti"))
+        sign = -sign
+    return total
+
+
+def bucket_counts(documents: DataFrame, labels: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the n-grams' buckets over all documents, and over the trusted ones."""
+    trusted = table(labels.where("quality = 1 AND doc_id IS NOT NULL").select("doc_id").distinct())
+    blocks = -(-trusted.count() // FILTER_IDS)
+    target = np.zeros(buckets, np.int64)
+    for b in range(blocks):
+        target += counts_of_ids(documents, trusted.where(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)) == b), buckets)
+    return gathered(counted(documents, buckets, None), buckets), target
+
+
+def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log(target share / raw share) per bucket, each bucket counted once more than seen."""
-    raw, target = np.ones(BUCKETS), np.ones(BUCKETS)
-    for r in counts.collect():  # at most BUCKETS rows
-        raw[r["bucket"]] += r["raw"]
-        target[r["bucket"]] += r["target"]
+    raw, target = raw + 1.0, target + 1.0
     return np.log(target / target.sum()) - np.log(raw / raw.sum())
 
 
 def judge(documents: DataFrame, labels: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """doc_id, the counts, base_failed, kept and score of every document."""
-    ratios = log_ratios(bucket_counts(documents, labels))
+    buckets = bucket_number(documents)
+    shared = documents.sparkSession.sparkContext.broadcast(log_ratios(*bucket_counts(documents, labels, buckets)))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ratios = shared.value
         for batch in batches:
             for i, j, data, offsets in text_blocks(batch, "text"):
                 counts = base_counts(data, offsets)
-                bucket, rows = features(data, offsets)
+                bucket, rows = features(data, offsets, buckets)
                 number = np.bincount(rows, minlength=j - i)
                 score = np.bincount(rows, weights=ratios[bucket], minlength=j - i) / (number + SMOOTH)
                 failed = (counts["n_words"] < MIN_WORDS) | (100 * counts["n_repeat_words"] > MAX_REPEATED * counts["n_words"])

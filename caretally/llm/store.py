@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pickle
 import uuid
+from collections.abc import Callable
+from typing import TypeVar
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 from caretally.session import shared_dir
@@ -20,3 +24,13 @@ def table(frame: DataFrame) -> DataFrame:
     path = shared_folder(spark)
     frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+Kind = TypeVar("Kind")
+
+
+def sent(spark: SparkSession, thing: Kind) -> Callable[[], Kind]:
+    """Broadcasts an object together with its class, since executors need no copy of this package (a plain broadcast only names the
+    class); the function that it returns gives the object to a task."""
+    shared = spark.sparkContext.broadcast(cloudpickle.dumps(thing))
+    return lambda: pickle.loads(shared.value)

@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caretally.llm.blocks import Spans, mix, pieces, row_of, space_table
+from caretally.llm.store import sent
 from caretally.llm.langid import held_out
 
 #: The sample learnt from: so many toxic and clean documents at most, by a hash of doc_id, none longer than so many characters.
@@ -381,11 +382,12 @@ def fit(documents: DataFrame, labels: DataFrame) -> Model:
 
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
-    shared = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
+    made = sent(documents.sparkSession, fit(documents, labels))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = made()
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.score(batch, "text"))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(batch, "text"))], ["doc_id", "score"])
 
     out = documents.select("doc_id", "text").mapInArrow(work, "doc_id long, score double")
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))

@@ -228,8 +228,51 @@ def test_quality(spark, documents, rows, nothing):
 def test_every_trusted_document_counts(spark):
     frame = spark.createDataFrame([(k, f"word{k} and more") for k in range(50)] + [(None, "no id")], "doc_id long, text string")
     labels = spark.range(60_000).selectExpr("id AS doc_id", "1 AS quality")
-    got = quality.bucket_counts(frame, labels.union(labels)).collect()
-    assert (sum(r["target"] for r in got), sum(r["raw"] for r in got)) == (250, 253)
+    raw, target = quality.bucket_counts(frame, labels.union(labels), quality.BUCKETS)
+    assert (target.sum(), raw.sum()) == (250, 253)
+
+
+@pytest.mark.parametrize(("bits", "ids", "load"), [(32, 4_000_000, 4_000), (1, 40, 1)])
+def test_quality_scores(spark, documents, rows, monkeypatch, bits, ids, load):
+    """Score and verdict by the plain formula; with filters that let many wrong ids through, and in blocks."""
+    from collections import Counter
+    from math import log
+
+    monkeypatch.setattr(quality, "FILTER_BITS", bits)
+    monkeypatch.setattr(quality, "FILTER_IDS", ids)
+    monkeypatch.setattr(quality, "LOAD", load)
+    good = {*range(10, 40), *range(1_000, 1_100), 12_345}
+    labels = spark.createDataFrame([(k, 1, 0) for k in good] + [(k, 0, 0) for k in range(10)] + [(None, 1, 0), (20, 1, 0)], "doc_id long, quality int, toxic int")
+    extra = [(k, f"w{k % 7} x{k % 5} y{k % 3} common words", "en", "s", 0, 7, "v", 0.5, 1) for k in range(1_000, 1_300)]
+    frame, every = documents.unionByName(spark.createDataFrame(extra, SCHEMA)), rows + extra
+    buckets = quality.bucket_number(frame)
+    assert buckets == max(10_000, sum(len((r[1] or "").encode()) for r in every) // load)
+
+    import pyarrow as pa
+
+    def grams(text):
+        _, _, data, offsets = next(quality.text_blocks(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]), "text"))
+        return quality.features(data, offsets, buckets)[0].tolist()
+
+    bags = [(r[0], Counter(grams(r[1] or ""))) for r in every]
+    raw, target = Counter(), Counter()
+    for k, bag in bags:
+        raw += bag
+        target += bag if k in good else Counter()
+    want = []
+    for (k, bag), r in zip(bags, every, strict=True):
+        n = sum(bag.values())
+        ratio = sum(c * (log((target[b] + 1) / (target.total() + buckets)) - log((raw[b] + 1) / (raw.total() + buckets))) for b, c in bag.items())
+        w = words(r[1])
+        assert n == 2 * len(w) - (len(w) > 0)
+        want.append((k, len(w), ratio / (n + quality.SMOOTH)))
+    got = quality.judge(frame, labels).collect()
+
+    def key(x):
+        return (x[0] is not None, x[0], x[1])
+
+    for g, w in zip(sorted(got, key=key), sorted(want, key=key), strict=True):
+        assert g["score"] == pytest.approx(w[2], abs=1e-9) and g["kept"] == (not g["base_failed"] and w[2] >= quality.MIN_SCORE)
 
 
 def test_language(spark, nothing):
