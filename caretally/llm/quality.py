@@ -1,7 +1,7 @@
 """Quality rules: plain counts of a text, and a log-likelihood ratio of hashed n-grams between trusted and raw text.
 
 Word unigrams and bigrams (A-Z folded) are hashed to buckets, one per `LOAD` bytes of text, so that their load does not grow with the
-corpus (`BUCKETS` at least, `MOST_BUCKETS` at most, a table that a task can hold). Two multinomials over the buckets are
+corpus (`BUCKETS` at least, `MOST_BUCKETS` at most, as each task sends a table of that size). Two multinomials over the buckets are
 counted: over all documents (raw) and over all trusted ones (labelled quality 1). A document's score is the sum over its
 n-grams of log(target share / raw share), divided by their number plus `SMOOTH`; it is kept if the score reaches `MIN_SCORE`. No draw is
 made: equal texts get equal verdicts.
@@ -31,7 +31,9 @@ from caretally.llm.blocks import gram_hashes, mix, row_of, span_hashes, text_blo
 from caretally.llm.store import table
 
 #: Bytes of text per hash bucket of the n-grams, and the least and the greatest number of buckets.
-LOAD, BUCKETS, MOST_BUCKETS = 4_000, 10_000, 1 << 22
+LOAD, BUCKETS, MOST_BUCKETS = 4_000, 10_000, 1 << 18
+#: Buckets whose counts go together.
+STRETCH = 1 << 14
 #: Ids per Bloom filter, its bits per id, and its hashes.
 FILTER_IDS, FILTER_BITS, FILTER_HASHES = 4_000_000, 32, 16
 #: Mean log ratio per n-gram below which a document is dropped.
@@ -144,9 +146,10 @@ def passing(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
 
 
 def counted(documents: DataFrame, buckets: int, filters: list[np.ndarray] | None) -> DataFrame:
-    """(bucket, n): n-grams of the rows whose doc_id goes through all filters (of all rows without filters); and, with a null bucket,
-    the doc_ids that went through. Written to the shared folder."""
-    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    """(start, counts): n-grams of the rows whose doc_id goes through all filters (of all rows without filters), as 64-bit counts of the
+    STRETCH buckets from start on, one row per task and stretch; and, with a null start, the doc_ids that went through.
+    Written to the shared folder."""
+    shared, stretch = documents.sparkSession.sparkContext.broadcast(filters), STRETCH
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(buckets, np.int64)
@@ -158,19 +161,29 @@ def counted(documents: DataFrame, buckets: int, filters: list[np.ndarray] | None
                     own[own] = passing(bits, ids[own])
                 batch = batch.filter(pa.array(own))
                 ids = batch.column(0)
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.int64()), ids], ["bucket", "n", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(ids), pa.int64()), pa.nulls(len(ids), pa.binary()), ids], ["start", "counts", "doc_id"])
             for _, _, data, offsets in text_blocks(batch, "text"):
                 total += np.bincount(features(data, offsets, buckets)[0], minlength=buckets)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used]), pa.nulls(len(used), pa.int64())], ["bucket", "n", "doc_id"])
+        starts = [k for k in range(0, buckets, stretch) if total[k:k + stretch].any()]
+        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[k:k + stretch].tobytes() for k in starts], pa.binary()), pa.nulls(len(starts), pa.int64())], ["start", "counts", "doc_id"])
 
-    return table(documents.select("doc_id", "text").mapInArrow(work, "bucket long, n long, doc_id long"))
+    return table(documents.select("doc_id", "text").mapInArrow(work, "start long, counts binary, doc_id long"))
 
 
 def gathered(counts: DataFrame, buckets: int) -> np.ndarray:
+    """The counts of all tasks, added up stretch by stretch."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for start, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                sums[start] = sums.get(start, 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([v.tobytes() for v in sums.values()], pa.binary())], ["start", "counts"])
+
     out = np.zeros(buckets, np.int64)
-    found = counts.where("bucket IS NOT NULL").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()  # at most a row per bucket
-    out[found["bucket"].to_numpy()] = found["n"].to_numpy()
+    for row in counts.where("start IS NOT NULL").select("start", "counts").repartition("start").mapInArrow(work, "start long, counts binary").collect():  # one row per stretch
+        own = np.frombuffer(row["counts"], np.int64)
+        out[row["start"]:row["start"] + len(own)] = own
     return out
 
 
