@@ -21,8 +21,8 @@ from datetime import date, datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
+from caretally.operators.ledger import Ledger
 from caretally.operators.sequence import ordinal_mix
 from caretally.operators.skew import hot_keys
 from caretally.plans import documents, fiscal, funnel, labs, scorecard, snapshot
@@ -74,20 +74,22 @@ def fiscal_job(
     revenue = stage(kept(applied_revenue, "service_date"), "revenue")
     collections = stage(kept(applied_revenue, "deposit_date"), "collections")
     single = stage(fiscal.one_per_claim(claims_with, claim_order), "single_claims")
-    counted = stage(kept(claims_with, "service_date"), "claims_with")
+    counted = kept(claims_with, "service_date")
     counted_without = kept(claims_without, "service_date")
-    money = {
-        f"{name}_by_{short}": fiscal.money_report(lines, claims, dim)
-        for name, lines in (("revenue", revenue), ("collections", collections))
-        for short, claims, dim in (
-            ("payer", single, "payer_class"),
-            ("quality", claims_without, "quality_level"),
-            ("visit_type", claims_without, "visit_type_classification"),
-        )
-    }
+    # Dimensions of the same claims share one scan, and one join with the money.
+    by_claim, dims = ["payer_class", "quality_level"], ["quality_level", "visit_type_classification"]
+    counts_with = stage(fiscal.claim_counts_by(counted, by_claim), "claim_counts")
+    money = {}
+    for name, lines in (("revenue", revenue), ("collections", collections)):
+        reports = stage(fiscal.money_reports(lines, claims_without, dims), f"{name}_reports")
+        money |= {
+            f"{name}_by_payer": fiscal.money_report(lines, single, "payer_class"),
+            f"{name}_by_quality": fiscal.of_dimension(reports, "quality_level"),
+            f"{name}_by_visit_type": fiscal.of_dimension(reports, "visit_type_classification"),
+        }
     counts = {
-        "claims_by_payer": fiscal.claim_counts(counted, "payer_class"),
-        "claims_by_quality": fiscal.claim_counts(counted, "quality_level"),
+        "claims_by_payer": fiscal.of_dimension(counts_with, "payer_class"),
+        "claims_by_quality": fiscal.of_dimension(counts_with, "quality_level"),
         "claims_by_visit_type": fiscal.claim_counts(counted_without, "visit_type_classification"),
     }
     return {
@@ -136,19 +138,22 @@ def documents_job(
     reviewer_ids: Sequence[int],
     limit: int = 5,
 ) -> Tables:
-    typed = documents.typed_documents(raw)
+    ledger = Ledger()
+    bad = F.count_if(F.col("scanDate").isNotNull() & F.col("_parsed").isNull())
+    # Rows that no month can claim: their scan date is no date.
+    read = ledger.watch(raw.withColumn("_parsed", documents.parse_stamp("scanDate")), "documents", rows=F.count("*"), bad_dates=bad)
+    typed = documents.typed_documents(read)
     order = ["scan_date", "patient_id", "file_name"]
     assigned = stage(
         documents.assigned_documents(documents.month_of_documents(typed, year, month), reviewer_ids, order), "assigned"
     )
     listed = documents.typed_report(report)
     lags = stage(documents.review_lags(assigned, listed, ["reviewed_date", "report_scanned_by"], limit), "review_lags")
-    bad = {"rows": F.count("*"), "bad_dates": F.count_if(F.col("scanDate").isNotNull() & F.col("_parsed").isNull())}
     return {
         "review_lags": lags,
         "reviewers": documents.in_report_order(documents.reviewer_sla(lags)),
         "unreviewed": documents.unreviewed(assigned),
-        "metrics": run_metrics([("documents", raw.withColumn("_parsed", documents.parse_stamp("scanDate")), bad)]),
+        "metrics": ledger.rows(raw.sparkSession),
     }
 
 
@@ -161,37 +166,35 @@ def labs_job(
     run_time: str | datetime | None = None,
 ) -> Tables:
     when = datetime.fromisoformat(run_time) if isinstance(run_time, str) else run_time
-    typed = labs.typed_labs(raw)
-    sliced = labs.month_of_results(typed, year, month)
-    frame = stage(labs.report_rows(labs.with_lags(sliced, in_house_ids, when)), "labs")
-    answered, waiting = frame.where("answered"), frame.where(~F.col("answered_compat"))
-    unreviewed = labs.answered_unreviewed(answered)
+    ledger = Ledger()
+    # Rows that no month can claim: their result date is no date.
     bad = F.count_if(F.col("ResultDate").isNotNull() & F.col("_parsed").isNull())
+    read = ledger.watch(raw.withColumn("_parsed", labs.parse_stamp("ResultDate")), "extract", rows=F.count("*"), bad_dates=bad)
+    sliced = labs.month_of_results(labs.typed_labs(read), year, month)
+    flagged = labs.report_rows(labs.with_same_day(labs.with_lags(sliced, in_house_ids, when)))
+    # One scan makes the folders that every split is read from.
+    frame = ledger.stage(flagged, "labs", partition_by=labs.SPLIT_COLUMNS, labs=F.count("*"))
+    splits = {name: labs.split(frame, name) for name in labs.SPLITS}
+    per_encounter = ledger.stage(labs.encounter_summary(frame), "encounters", encounters=F.count("encounter_id"))
+    unreviewed = labs.answered_unreviewed(splits["answered"])
     return {
         "labs": frame,
-        "in_house_with_lag": frame.where(F.col("in_house") & F.col("result_lag").isNotNull()),
-        "answered": answered,
+        **splits,
+        "split_counts": labs.split_counts(frame),
         "outcomes": labs.outcome_counts(frame),
-        "same_day_reviewed": labs.same_day_reviewed(frame),
-        "not_in_house": frame.where(~F.col("in_house")),
-        "waiting": waiting,
-        "lag_histogram": labs.lag_histogram(answered),
-        "reviewers": labs.reviewer_summary(answered),
-        "reviewer_buckets": labs.in_report_order(labs.reviewer_buckets(answered)),
-        "reviewer_bucket_detail": labs.bucket_detail(answered),
+        "encounters": per_encounter,
+        "lag_histogram": labs.lag_histogram(splits["answered"]),
+        "reviewers": labs.reviewer_summary(splits["answered"]),
+        "reviewer_staff": labs.reviewer_staff(splits["answered"]),
+        "reviewer_buckets": labs.in_report_order(labs.reviewer_buckets(splits["answered"])),
+        "reviewer_bucket_detail": labs.bucket_detail(splits["answered"]),
         "answered_unreviewed": unreviewed,
         "unreviewed_queue": labs.pending_queue(unreviewed),
-        "waiting_queue": labs.pending_queue(waiting),
-        "encounters_not_same_day": labs.encounter_summary(labs.not_same_day_reviewed(frame)),
-        "encounters_answered": labs.encounter_summary(answered),
-        "encounters_waiting": labs.encounter_counts(waiting),
-        "metrics": run_metrics(
-            [
-                ("labs", frame, {"labs": F.count("*"), "encounters": F.countDistinct("encounter_id")}),
-                # Rows that no month can claim: their result date is no date.
-                ("extract", raw.withColumn("_parsed", labs.parse_stamp("ResultDate")), {"rows": F.count("*"), "bad_dates": bad}),
-            ]
-        ),
+        "waiting_queue": labs.pending_queue(splits["waiting"]),
+        "encounters_not_same_day": labs.encounter_summary(splits["not_same_day"]),
+        "encounters_answered": labs.encounter_summary(splits["answered"]),
+        "encounters_waiting": labs.encounter_counts(splits["waiting"]),
+        "metrics": ledger.rows(raw.sparkSession),
     }
 
 
@@ -209,42 +212,57 @@ def funnel_job(
     rule: str = "one",
     invoice_order: Sequence[str] = ("BookingTime", "AppointmentTime", "PatientFirstName", "PatientLastName"),
 ) -> Tables:
+    ledger = Ledger()
+    count = {"rows": F.count("*")}
     whole = stage(funnel.log_with_fields(log), "log")
     chosen = stage(funnel.site_log(whole, sites), "site_log")
-    joined = stage(funnel.log_encounters(chosen, encounters), "log_encounters")
+    entries = ledger.stage(funnel.log_entries(chosen), "log_entries", **count)
+    # One row per patient of the log, whom the join with the encounters keeps.
+    summary = ledger.stage(funnel.log_summary(entries), "log_summary", patients=F.count("patient_id"))
+    joined = ledger.stage(funnel.log_encounters(chosen, encounters), "log_encounters", **count)
     # A patient's rows only get fewer from here on.
     hot = hot_keys(joined, ["patient_id"])
     sequence = stage(funnel.sequence(joined, hot=hot), "sequence")
-    masked = stage(funnel.conversions(sequence, hot=hot), "conversions")
-    first = stage(funnel.with_first_seen(funnel.one_per_patient(masked), whole), "converted")
-    since = stage(
-        funnel.visits_since_first(
-            visits, first.select("patient_id", "first_seen", "Reason", "FacilityName", "VisitStatus")
-        ),
-        "visits_since_first",
-    )
-    validator = stage(funnel.cohort_validator(since), "validator")
-    billing = stage(funnel.billing_since_first(since, claim_map(claims_with), claims_without), "billing")
+    masked = ledger.stage(funnel.conversions(sequence, hot=hot), "conversions", **count)
+    first = ledger.stage(funnel.with_first_seen(funnel.one_per_patient(masked), whole), "converted", patients=F.count("patient_id"))
+    shown = first.select("patient_id", "first_seen", "Reason", "FacilityName", "VisitStatus")
+    since = ledger.stage(funnel.visits_since_first(visits, shown), "visits_since_first", **count)
+    validator = ledger.stage(funnel.cohort_validator(since), "validator", patients=F.count("patient_id"))
+    billing = ledger.stage(funnel.billing_since_first(since, claim_map(claims_with), claims_without), "billing", **count)
     members = {which: funnel.cohort(validator, which, rule) for which in ("new", "established")}
-    reasons_new = stage(funnel.cohort_last_entries(funnel.cohort(validator, "new", "nonzero"), chosen), "new_entries")
-    reasons_all = stage(funnel.last_entries(chosen), "last_entries")
-    reasons = stage(funnel.reason_share(reasons_all, reasons_new), "reasons")
+    # Control totals: the join by reason loses no booking.
+    reasons_new = ledger.stage(
+        funnel.cohort_last_entries(funnel.cohort(validator, "new", "nonzero"), chosen), "new_entries", new_patients=F.count("*")
+    )
+    reasons_all = ledger.stage(funnel.last_entries(chosen), "last_entries", booked=F.count("Reason"))
+    reasons = ledger.stage(
+        funnel.reason_share(reasons_all, reasons_new), "reasons", booked=F.sum("booked"), new_patients=F.sum("new_patients")
+    )
 
-    standard = funnel.standard_invoices(invoices)
-    kept = stage(funnel.invoices_until(standard, cutoff, cutoff_mode), "invoices")
-    users = stage(funnel.billed_users(kept, invoice_order, show=["week"]), "billed_users")
+    bad = F.count_if(F.col("BookingTime").isNull())
+    standard = ledger.watch(funnel.standard_invoices(invoices), "invoices", bad_dates=bad)
+    kept = ledger.stage(funnel.invoices_until(standard, cutoff, cutoff_mode), "billed", rows=F.count_if(funnel.is_billed()))
+    names = stage(funnel.billed_entries(kept, invoice_order, show=["week"]), "billed_entries")
+    users = ledger.stage(funnel.billed_users(names, show=["week"]), "billed_users", rows=F.count("PatientEmail"))
+    converted = stage(funnel.converted_entries(joined), "converted_entries")
+    converted_encounters = stage(funnel.converted_encounter_entries(masked), "converted_encounters")
     return {
+        "log": funnel.log_rows(chosen),
         "log_last": reasons_all,
-        "log_summary": funnel.log_summary(chosen),
-        "invoices": kept,
+        "log_entries": entries,
+        "log_summary": summary,
+        "invoices": funnel.invoice_rows(kept),
+        "billed_entries": names,
         "billed_users": users,
         "billed_by_week": funnel.users_by_week(users),
         "log_encounters": joined,
-        "converted_users": funnel.converted_users(joined),
+        "converted_entries": converted,
+        "converted_users": funnel.converted_users(converted),
         "sequence": sequence,
         "conversions": masked,
         "ordinal_mix": ordinal_mix(masked),
-        "converted_encounters": funnel.converted_encounters(masked),
+        "converted_encounter_entries": converted_encounters,
+        "converted_encounters": funnel.converted_encounters(converted_encounters),
         "converted": first,
         "visits_since_first": since,
         "validator": validator,
@@ -254,21 +272,7 @@ def funnel_job(
         **{f"{which}_billing": funnel.cohort_billing(billing, m) for which, m in members.items()},
         "new_patient_entries": reasons_new,
         "reasons": funnel.reasons_in_order(reasons),
-        "metrics": run_metrics(
-            [
-                ("log_encounters", joined, {"rows": F.count("*"), "patients": F.countDistinct("patient_id")}),
-                ("conversions", masked, {"rows": F.count("*"), "patients": F.countDistinct("patient_id")}),
-                ("visits_since_first", since, {"rows": F.count("*"), "patients": F.countDistinct("patient_id")}),
-                ("billing", billing, {"rows": F.count("*")}),
-                ("billed", funnel.billed(kept), {"rows": F.count("*")}),
-                ("billed_users", users, {"rows": F.countDistinct("PatientEmail")}),
-                # Control totals: the join by reason loses no booking.
-                ("last_entries", reasons_all, {"booked": F.count("Reason")}),
-                ("new_entries", reasons_new, {"new_patients": F.count("*")}),
-                ("reasons", reasons, {"booked": F.sum("booked"), "new_patients": F.sum("new_patients")}),
-                ("invoices", standard, {"bad_dates": F.count_if(F.col("BookingTime").isNull())}),
-            ]
-        ),
+        "metrics": ledger.rows(log.sparkSession),
     }
 
 
@@ -287,13 +291,19 @@ JOBS: dict[str, Callable[..., Tables]] = {
 }
 
 
-def open_source(spark: SparkSession, settings: Mapping) -> DataFrame:
-    """A reader from its settings; ``schema`` names one of the declared schemas."""
+def open_source(spark: SparkSession, settings: Mapping, name: str = "source", ledger: Ledger | None = None) -> DataFrame:
+    """A reader from its settings; ``schema`` names one of the declared schemas. Rows and
+    malformed rows of a CSV source with a schema are counted in the ledger as it is read."""
     kinds = {"jdbc": readers.Jdbc, "csv": readers.Csv, "parquet": readers.Parquet, "table": readers.Table}
     args = {k: v for k, v in settings.items() if k != "kind"}
     if "schema" in args:
         args["schema"] = getattr(schemas, args["schema"])
-    return kinds[settings["kind"]](**args).read(spark)
+    source = kinds[settings["kind"]](**args)
+    if ledger is None or settings["kind"] != "csv" or "schema" not in args:
+        return source.read(spark)
+    marked = source.read_marked(spark)
+    malformed = readers.count_malformed(marked)
+    return ledger.watch(marked, name, rows=F.count("*"), malformed_rows=malformed).drop(readers.MALFORMED)
 
 
 def publish(tables: Tables, output: Mapping) -> None:
@@ -306,9 +316,14 @@ def publish(tables: Tables, output: Mapping) -> None:
 
 
 def run(spark: SparkSession, settings: Mapping) -> Tables:
-    inputs = {name: open_source(spark, s) for name, s in settings["sources"].items()}
+    """Reads, computes and publishes; with CSV sources also ``source_metrics``, known once all is read."""
+    ledger = Ledger()
+    inputs = {name: open_source(spark, s, name, ledger) for name, s in settings["sources"].items()}
     tables = JOBS[settings["job"]](**inputs, **settings.get("params", {}))
     publish(tables, settings["output"])
+    if ledger:
+        tables["source_metrics"] = ledger.rows(spark)
+        publish({"source_metrics": tables["source_metrics"]}, settings["output"])
     return tables
 
 

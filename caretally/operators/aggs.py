@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretally.functions.dates import LAG_BOUNDS, lag_bucket
-from caretally.operators.lists import small_list
+from caretally.operators.lists import SET_VALUES, set_summary
 
 MONEY = "decimal(18,2)"
 
@@ -30,6 +30,17 @@ def distinct_by(df: DataFrame, keys: Sequence[str], column: str, name: str) -> D
     return df.groupBy(*keys).agg(F.countDistinct(column).alias(name))
 
 
+def money_parts(
+    lines: DataFrame, claims: DataFrame, dims: Sequence[str], amount: str = "payment"
+) -> tuple[Column, DataFrame]:
+    """The total of the lines' amounts, as an aggregate, and the frame to aggregate, by
+    period and by the dimensions of the lines' claim; see ``money_by``."""
+    per_claim = lines.groupBy("claim_no", "period").agg(F.sum(money(amount)).alias("_amount"))
+    repeats = claims.groupBy("claim_no", *dims).agg(F.count("*").cast("decimal(12,0)").alias("_times"))
+    total = F.sum(F.col("_amount") * F.coalesce(F.col("_times"), F.lit(1).cast("decimal(12,0)")))
+    return F.coalesce(total.cast("double"), F.lit(0.0)), per_claim.join(repeats, "claim_no", "left")
+
+
 def money_by(
     lines: DataFrame,
     claims: DataFrame,
@@ -46,14 +57,8 @@ def money_by(
     claims to one row per claim and dimension values with the number of repeats.
     So no claim, however often it occurs, is hot in the join.
     """
-    per_claim = lines.groupBy("claim_no", "period").agg(F.sum(money(amount)).alias("_amount"))
-    repeats = claims.groupBy("claim_no", *dims).agg(F.count("*").cast("decimal(12,0)").alias("_times"))
-    total = F.sum(F.col("_amount") * F.coalesce(F.col("_times"), F.lit(1).cast("decimal(12,0)")))
-    return (
-        per_claim.join(repeats, "claim_no", "left")
-        .groupBy("period", *dims)
-        .agg(F.coalesce(total.cast("double"), F.lit(0.0)).alias(name))
-    )
+    total, joined = money_parts(lines, claims, dims, amount)
+    return joined.groupBy("period", *dims).agg(total.alias(name))
 
 
 def mean_days(days: Column | str) -> Column:
@@ -61,50 +66,47 @@ def mean_days(days: Column | str) -> Column:
     return F.round(F.avg(days), 2)
 
 
-def _condensed(df: DataFrame, key: str, days: str, lists: dict[str, Column | str], also: dict[str, Column]) -> DataFrame:
-    """Rows, known lags and their sum per combination of key, list values and
-    ``also``. Staff and bucket combinations are few, so gathering the lists
-    afterwards costs next to nothing. Without lists the rows stay as they are."""
-    values = {n: F.col(c) if isinstance(c, str) else c for n, c in lists.items()}
-    groups = [F.col(key), *[c.alias(n) for n, c in (values | also).items()]]
-    if not lists:
-        known = F.when(F.col(days).isNotNull(), 1).otherwise(0)
-        return df.select(*groups, F.lit(1).alias("_rows"), known.alias("_known"), F.col(days).alias("_days"))
-    return df.groupBy(*groups).agg(
-        F.count("*").alias("_rows"), F.count(days).alias("_known"), F.sum(days).alias("_days")
-    )
+def _lags(days: str) -> dict:
+    """Rows, rows with a known lag, and the sum of the lags."""
+    known = F.when(F.col(days).isNotNull(), 1).otherwise(0)
+    return {"labs": (F.lit(1).cast("long"), F.sum), "_known": (known.cast("long"), F.sum), "_days": (F.col(days), F.sum)}
+
 
+def _mean() -> Column:
+    return F.round(F.col("_days") / F.nullif(F.col("_known"), F.lit(0)), 2).alias("avg_rev")
 
-def _summary(lists: dict[str, Column | str]) -> list[Column]:
-    mean = F.sum("_days") / F.nullif(F.sum("_known"), F.lit(0))
-    return [*[small_list(n).alias(n) for n in lists], F.round(mean, 2).alias("avg_rev"), F.sum("_rows").alias("labs")]
+
+def _values(lists: dict[str, Column | str]) -> dict[str, Column]:
+    return {n: F.col(c) if isinstance(c, str) else c for n, c in lists.items()}
 
 
 def lag_summary(
-    df: DataFrame, key: str, days: str, lists: dict[str, Column | str], by: dict[str, Column] | None = None
+    df: DataFrame,
+    key: str,
+    days: str,
+    lists: dict[str, Column | str],
+    by: dict[str, Column] | None = None,
+    set_values: int = SET_VALUES,
 ) -> DataFrame:
     """Per key (and ``by``): mean lag, rows, and a distinct list per entry of ``lists``."""
-    condensed = _condensed(df, key, days, lists, by or {})
-    return condensed.groupBy(key, *(by or {})).agg(*_summary(lists))
+    keys = [key, *(by or {})]
+    found = set_summary(df.withColumns(by or {}), keys, _lags(days), _values(lists), set_values=set_values)
+    return found.select(*keys, *lists, _mean(), "labs")
 
 
-def bucket_pivot(df: DataFrame, key: str, days: str, lists: dict[str, Column | str] | None = None) -> DataFrame:
+def bucket_pivot(
+    df: DataFrame, key: str, days: str, lists: dict[str, Column | str] | None = None, set_values: int = SET_VALUES
+) -> DataFrame:
     """``lag_summary`` plus a count per lag bucket and shares, in one pass.
 
     A key without rows in a bucket shows null there, and so does the null key in
     every bucket. ``share_b2`` is the second bucket's share; ``share_b1`` and
     ``share_le_5`` are those of the first and of the first two.
     """
-    lists = lists or {}
-    buckets = {f"b{b}": F.col("_bucket") == b for b in range(1, len(LAG_BOUNDS) + 2)}
-    grouped = (
-        _condensed(df, key, days, lists, {"_bucket": lag_bucket(days)})
-        .groupBy(key)
-        .agg(
-            *_summary(lists),
-            *[F.sum(F.when(test, F.col("_rows")).otherwise(0)).alias(n) for n, test in buckets.items()],
-        )
-    )
+    lists = _values(lists or {})
+    buckets = {f"b{b}": F.sum(F.when(F.col("_by") == str(b), F.col("labs")).otherwise(0)) for b in range(1, len(LAG_BOUNDS) + 2)}
+    found = set_summary(df, [key], _lags(days), lists, by=lag_bucket(days), parts=buckets, set_values=set_values)
+    grouped = found.select(key, *lists, _mean(), "labs", *buckets)
 
     def share(*parts: str) -> Column:
         part = reduce(lambda a, b: a + b, [F.col(p) for p in parts])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import timedelta
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caretally.functions.dates import in_range
 from caretally.functions.text import like_any_case
-from caretally.operators.aggs import distinct_by, money_by
+from caretally.operators.aggs import distinct_by, money_by, money_parts
 from caretally.operators.dedup import keep_first
 from caretally.operators.filters import label_in
 from caretally.operators.skew import OrderBy, lookup_join, salted_join
@@ -52,6 +52,39 @@ def claim_counts(claims: DataFrame, dim: str) -> DataFrame:
     return distinct_by(claims, [PROVIDER, "period", dim], "claim_no", "claims")
 
 
+def claim_counts_by(claims: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``claim_counts`` for each of several dimensions, with the claims read once:
+    dimension, its value as text, provider, period, claims."""
+    sets = [[PROVIDER, "period", d] for d in dims]
+    # Rows are made distinct first, so that the copies per dimension are of claims, not of their lines.
+    once = claims.select(PROVIDER, "period", "claim_no", *dims).distinct()
+    counted = once.groupingSets(sets, PROVIDER, "period", *dims).agg(F.countDistinct("claim_no").alias("claims"), *_set_columns(dims))
+    return counted.select("dimension", "value", PROVIDER, "period", "claims")
+
+
+def _set_columns(dims: Sequence[str]) -> list[Column]:
+    """Aggregates: which of the dimensions a row of grouping sets is for, and its value as text."""
+    own = [F.grouping(d) == 0 for d in dims]
+    name = F.coalesce(*[F.when(test, F.lit(d)) for d, test in zip(dims, own)])
+    value = F.coalesce(*[F.when(test, F.col(d).cast("string")) for d, test in zip(dims, own)])
+    return [name.alias("dimension"), value.alias("value")]
+
+
+def money_reports(lines: DataFrame, claims: DataFrame, dims: Sequence[str]) -> DataFrame:
+    """``money_report`` for each of several dimensions of the same claims, which meet the
+    lines once: dimension, its value as text, provider, period, total_payment."""
+    total, joined = money_parts(lines, claims, [PROVIDER, *dims])
+    sets = [[PROVIDER, "period", d] for d in dims]
+    summed = joined.groupingSets(sets, PROVIDER, "period", *dims).agg(total.alias("total_payment"), *_set_columns(dims))
+    return summed.select("dimension", "value", PROVIDER, "period", "total_payment")
+
+
+def of_dimension(reports: DataFrame, dim: str) -> DataFrame:
+    """The report of one dimension, as ``claim_counts`` or ``money_report`` would give it."""
+    own = reports.where(F.col("dimension") == dim).drop("dimension").withColumnRenamed("value", dim)
+    return own.select(PROVIDER, "period", dim, own.columns[-1])
+
+
 def one_per_claim(claims: DataFrame, order_by: OrderBy) -> DataFrame:
     return keep_first(claims, "claim_no", order_by)
 

@@ -7,12 +7,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretally.functions.dates import parse_month_first, standard_date, until, week_bucket
+from caretally.functions.dates import BAD_DATE, NO_NOTES, or_marker, parse_month_first, standard_date, until, week_bucket
 from caretally.functions.text import DOB, LOG_FIELDS, first_match, new_value, parsed_log
 from caretally.operators.aggs import money
 from caretally.operators.dedup import keep_first, keep_last
 from caretally.operators.filters import label_in
-from caretally.operators.lists import distinct_list, ordered_list, small_list
+from caretally.operators.lists import PAGE_ROWS, SET_VALUES, distinct_entries, list_entries, list_summary, set_summary
 from caretally.operators.sequence import masked_conversions, visit_sequence
 from caretally.operators.skew import salted_join
 
@@ -37,16 +37,29 @@ def site_log(log: DataFrame, sites: Sequence[str]) -> DataFrame:
     return label_in(log, "FacilityName", sites).withColumn("dob", first_match("Notes", DOB))
 
 
+def log_rows(log: DataFrame) -> DataFrame:
+    """The log as a report shows it: a marker in place of the date of birth where there are no notes."""
+    empty = F.coalesce(F.trim("Notes") == "", F.lit(True))
+    return log.withColumn("dob", F.when(empty, F.lit(NO_NOTES)).otherwise(F.col("dob")))
+
+
 def last_entries(log: DataFrame) -> DataFrame:
     """The latest entry per patient."""
     return keep_last(log, "patient_id", LOG_ORDER)
 
 
-def log_summary(log: DataFrame, **size) -> DataFrame:
-    """Per patient: number of entries and the reasons and statuses in order."""
-    ended = {"reasons": "Reason", "visit_statuses": "VisitStatus"}
-    lists = {n: F.concat(F.col(c), F.lit("// ")) for n, c in ended.items()}
-    return ordered_list(log, ["patient_id"], lists, LOG_ORDER, count="billed_times", **size)
+LOG_LISTS = {"reasons": "Reason", "visit_statuses": "VisitStatus"}
+
+
+def log_entries(log: DataFrame, **size) -> DataFrame:
+    """Reason and status of every entry, by patient and position."""
+    lists = {n: F.concat(F.col(c), F.lit("// ")) for n, c in LOG_LISTS.items()}
+    return list_entries(log, ["patient_id"], lists, LOG_ORDER, **size)
+
+
+def log_summary(entries: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Per patient: number of entries and, as text, the reasons and statuses in order."""
+    return list_summary(entries, ["patient_id"], list(LOG_LISTS), count="billed_times", page_rows=page_rows)
 
 
 # --- invoices ----------------------------------------------------------------
@@ -68,19 +81,32 @@ def invoices_until(invoices: DataFrame, cutoff: str, mode: str = "date") -> Data
     )
 
 
+def invoice_rows(invoices: DataFrame) -> DataFrame:
+    """The invoices as a report shows them: a marker in place of what is no date."""
+    return invoices.withColumns({c: or_marker(c, BAD_DATE) for c in INVOICE_DATES})
+
+
+def is_billed() -> Column:
+    return F.col("Premium") == "Yes"
+
+
 def billed(invoices: DataFrame) -> DataFrame:
-    return invoices.where(F.col("Premium") == "Yes")
+    return invoices.where(is_billed())
 
 
-def billed_users(invoices: DataFrame, order_by: Sequence[str], show: Sequence[str] = (), **size) -> DataFrame:
-    """Per e-mail: columns of its first invoice and the names used, in pages (see ``lists``)."""
+def billed_entries(invoices: DataFrame, order_by: Sequence[str], show: Sequence[str] = (), **size) -> DataFrame:
+    """The names used by each e-mail, by position, with the columns to show."""
     name = F.concat(F.col("PatientFirstName"), F.lit(" "), F.col("PatientLastName"))
-    return ordered_list(billed(invoices), ["PatientEmail"], {"names": name}, order_by, first=show, **size)
+    return list_entries(billed(invoices), ["PatientEmail"], {"names": name}, order_by, first=show, **size)
+
+
+def billed_users(entries: DataFrame, show: Sequence[str] = (), page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Per e-mail: columns of its first invoice and the names used."""
+    return list_summary(entries, ["PatientEmail"], ["names"], first=show, page_rows=page_rows)
 
 
 def users_by_week(users: DataFrame) -> DataFrame:
-    """Users per week, each counted once however many pages its names fill."""
-    return users.where(F.col("page") == 0).groupBy("week").agg(F.count("week").alias("times"))
+    return users.groupBy("week").agg(F.count("week").alias("times"))
 
 
 # --- conversions -------------------------------------------------------------
@@ -102,10 +128,15 @@ def matched(joined: DataFrame) -> DataFrame:
     return joined.where(F.col("matched_encounter_id").isNotNull())
 
 
-def converted_users(joined: DataFrame, status: str = CHECKED_OUT, show: Sequence[str] = (), **size) -> DataFrame:
-    """Per patient with a checked-out visit: number of them, ids listed in pages."""
+def converted_entries(joined: DataFrame, status: str = CHECKED_OUT, show: Sequence[str] = (), **size) -> DataFrame:
+    """Every checked-out visit, by patient and position."""
     rows = matched(joined).where(F.col("visit_status") == status)
-    return ordered_list(rows, ["patient_id"], {"patient_ids": F.col("patient_id")}, VISIT_ORDER, first=show, **size)
+    return list_entries(rows, ["patient_id"], {"patient_ids": F.col("patient_id")}, VISIT_ORDER, first=show, **size)
+
+
+def converted_users(entries: DataFrame, show: Sequence[str] = (), page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Per patient with a checked-out visit: columns of the first one, their number and the list of ids."""
+    return list_summary(entries, ["patient_id"], ["patient_ids"], first=show, page_rows=page_rows)
 
 
 def sequence(joined: DataFrame, status: str = CHECKED_OUT, **size) -> DataFrame:
@@ -122,9 +153,14 @@ def one_per_patient(masked: DataFrame) -> DataFrame:
     return keep_first(masked, "patient_id", VISIT_ORDER)
 
 
-def converted_encounters(masked: DataFrame, **size) -> DataFrame:
-    """The distinct encounters of each converted patient."""
-    return distinct_list(masked, ["patient_id"], F.col("encounter_id"), "encounter_ids", **size)
+def converted_encounter_entries(masked: DataFrame, **size) -> DataFrame:
+    """The distinct encounters of each converted patient, by position."""
+    return distinct_entries(masked, ["patient_id"], F.col("encounter_id"), "encounter_ids", **size)
+
+
+def converted_encounters(entries: DataFrame, page_rows: int = PAGE_ROWS) -> DataFrame:
+    """Per converted patient: number and list of the distinct encounters."""
+    return list_summary(entries, ["patient_id"], ["encounter_ids"], count="encounters", page_rows=page_rows)
 
 
 # --- since the first booking -------------------------------------------------
@@ -151,13 +187,10 @@ def visits_since_first(visits: DataFrame, users: DataFrame, status: str = CHECKE
     return joined.where(F.col("appointment_date") >= F.col("first_seen"))
 
 
-def cohort_validator(visits: DataFrame) -> DataFrame:
+def cohort_validator(visits: DataFrame, set_values: int = SET_VALUES) -> DataFrame:
     """Per patient: new-patient visits, first booking, visit types."""
-    return visits.groupBy("patient_id").agg(
-        F.sum("np_flag").cast("long").alias("validator"),
-        F.min("first_seen").alias("first_seen"),
-        small_list("visit_type").alias("visit_types"),
-    )
+    measures = {"validator": (F.col("np_flag").cast("long"), F.sum), "first_seen": (F.col("first_seen"), F.min)}
+    return set_summary(visits, ["patient_id"], measures, {"visit_types": F.col("visit_type")}, set_values=set_values)
 
 
 def cohort(validator: DataFrame, which: str, rule: str = "one") -> DataFrame:

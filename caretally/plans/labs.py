@@ -22,6 +22,7 @@ from caretally.functions.dates import (
 from caretally.functions.text import is_zero
 from caretally.operators.aggs import bucket_pivot, count_if, lag_summary, mean_days
 from caretally.operators.filters import both, not_both
+from caretally.operators.lists import distinct_values
 
 # Report list -> column it is made of.
 STAFF_LISTS = {"assigned_to": "assigned_to_id", "ordered_by": "orderer_id", "orderer_names": "orderer_name"}
@@ -89,6 +90,61 @@ def _same_day() -> tuple[Column, Column]:
     return F.col("result_days") == 0, F.col("reviewed")
 
 
+# --- splits ------------------------------------------------------------------
+
+# The flags that tell the splits apart. Labs are staged once, in folders by these, and each
+# split reads its own folders.
+SPLIT_COLUMNS = ("answered_compat", "answered", "in_house", "same_day")
+
+# Split -> test of the flags. An unknown item is neither in house nor not.
+SPLITS = {
+    "with_result": "answered_compat",
+    "with_result_in_house": "answered_compat AND in_house",
+    "with_result_sent_out": "answered_compat AND NOT in_house",
+    "waiting": "NOT answered_compat",
+    "waiting_in_house": "NOT answered_compat AND in_house",
+    "waiting_sent_out": "NOT answered_compat AND NOT in_house",
+    "answered": "answered",
+    "not_in_house": "NOT in_house",
+    "same_day_reviewed": "same_day",
+    "not_same_day": "NOT same_day",
+}
+
+
+def with_same_day(labs: DataFrame) -> DataFrame:
+    """Adds ``same_day``: resulted on the day of the collection, and reviewed. An unknown
+    result lag is not the same day."""
+    same, reviewed = _same_day()
+    return labs.withColumn("same_day", F.coalesce(same, F.lit(False)) & reviewed)
+
+
+def split(labs: DataFrame, name: str) -> DataFrame:
+    """One of ``SPLITS``, of labs with the flags."""
+    return labs.where(SPLITS[name])
+
+
+def split_counts(labs: DataFrame) -> DataFrame:
+    """Labs and distinct encounters of every split, in one pass, zeros included.
+
+    Encounters are serial numbers, so each cell of flags holds them as bitmaps of 32,768
+    numbers. Bitmaps of cells unite exactly, so splits that overlap share the work.
+    """
+    cells = labs.groupBy(*SPLIT_COLUMNS, F.bitmap_bucket_number("encounter_id").alias("_bucket")).agg(
+        F.count("*").alias("_labs"), F.bitmap_construct_agg(F.bitmap_bit_position("encounter_id")).alias("_bits")
+    )
+    inside = {n: F.expr(test) for n, test in SPLITS.items()}
+    united = cells.groupBy("_bucket").agg(
+        *[F.sum(F.when(test, F.col("_labs"))).alias(f"_labs_{n}") for n, test in inside.items()],
+        *[F.bitmap_or_agg(F.when(test, F.col("_bits"))).alias(f"_bits_{n}") for n, test in inside.items()],
+    )
+    totals = united.agg(
+        *[F.coalesce(F.sum(f"_labs_{n}"), F.lit(0)).alias(f"labs_{n}") for n in inside],
+        *[F.coalesce(F.sum(F.bitmap_count(f"_bits_{n}")), F.lit(0)).alias(f"encounters_{n}") for n in inside],
+    )
+    rows = F.array(*[F.struct(F.lit(n).alias("split"), F.col(f"labs_{n}").alias("labs"), F.col(f"encounters_{n}").alias("encounters")) for n in inside])
+    return totals.select(F.inline(rows))
+
+
 def same_day_reviewed(labs: DataFrame) -> DataFrame:
     return labs.where(both(*_same_day()))
 
@@ -109,20 +165,25 @@ def _staff_lists(suffix: str) -> dict[str, Column]:
     return {n: F.concat(c, F.lit(suffix)) if suffix and n in marked else c for n, c in text.items()}
 
 
-def reviewer_summary(labs: DataFrame, suffix: str = "//") -> DataFrame:
+def reviewer_summary(labs: DataFrame, suffix: str = "//", **size) -> DataFrame:
     """Per reviewer: assignees, orderers (each marked by the suffix), mean lag, labs."""
-    return lag_summary(labs, "reviewed_by", "review_days", _staff_lists(suffix))
+    return lag_summary(labs, "reviewed_by", "review_days", _staff_lists(suffix), **size)
+
+
+def reviewer_staff(labs: DataFrame, suffix: str = "//") -> DataFrame:
+    """Every entry of the lists of ``reviewer_summary``, however long they are."""
+    return distinct_values(labs, ["reviewed_by"], _staff_lists(suffix))
 
 
-def reviewer_buckets(labs: DataFrame, suffix: str = "//") -> DataFrame:
+def reviewer_buckets(labs: DataFrame, suffix: str = "//", **size) -> DataFrame:
     """``reviewer_summary`` with the five lag buckets and the late share."""
-    return bucket_pivot(labs, "reviewed_by", "review_days", _staff_lists(suffix))
+    return bucket_pivot(labs, "reviewed_by", "review_days", _staff_lists(suffix), **size)
 
 
-def bucket_detail(labs: DataFrame) -> DataFrame:
+def bucket_detail(labs: DataFrame, **size) -> DataFrame:
     """Mean lag, labs and distinct lists per reviewer and bucket, all buckets at once."""
     known = labs.where(F.col("review_days").isNotNull())
-    return lag_summary(known, "reviewed_by", "review_days", _staff_lists(""), {"bucket": lag_bucket("review_days")})
+    return lag_summary(known, "reviewed_by", "review_days", _staff_lists(""), {"bucket": lag_bucket("review_days")}, **size)
 
 
 def answered_unreviewed(labs: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,15 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
-def stage(df: DataFrame, label: str = "stage") -> DataFrame:
+def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ()) -> DataFrame:
     """Write a frame as Parquet in the shared folder and read it back.
 
     This cuts the lineage, survives lost executors and, unlike an RDD
-    checkpoint, stays columnar: later reads fetch only the columns they use.
+    checkpoint, stays columnar: later reads fetch only the columns they use. Filters on
+    the columns of ``partition_by`` (flags and the like, with few values) choose whole folders.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/caretally/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    writer.parquet(path)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

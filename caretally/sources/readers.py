@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+MALFORMED = "_malformed"
+
+
 @dataclass(frozen=True)
 class Jdbc:
     """A relational source: a whole table, or the rows of a query.
@@ -77,15 +80,23 @@ class Csv:
         reader = self._reader(spark)
         return (reader.schema(self.schema) if self.schema else reader).csv(self.path)
 
-    def malformed_rows(self, spark: SparkSession) -> int:
-        """Rows with a cell that is not of the schema's type, or with too few or too many cells."""
+    def read_marked(self, spark: SparkSession) -> DataFrame:
+        """The rows with ``_malformed``: the line, where a cell is not of the schema's type or there are too few or
+        too many cells; else null. All cells are read, whatever columns are asked for."""
         if not self.schema:
-            return 0
+            raise ValueError("only rows of a declared schema can be malformed")
         kinds = T.StructType.fromDDL(self.schema) if isinstance(self.schema, str) else self.schema
-        marked = T.StructType([*kinds.fields, T.StructField("_malformed", T.StringType())])
-        reader = self._reader(spark).schema(marked).option("columnNameOfCorruptRecord", "_malformed")
-        # Spark checks the cells it is asked for, so all are.
-        return reader.csv(self.path).agg(F.count("_malformed"), *[F.count(F.col(f"`{c}`")) for c in kinds.fieldNames()]).first()[0]
+        marked = T.StructType([*kinds.fields, T.StructField(MALFORMED, T.StringType())])
+        reader = self._reader(spark).schema(marked).option("columnNameOfCorruptRecord", MALFORMED)
+        return reader.option("columnPruning", False).csv(self.path)
+
+    def malformed_rows(self, spark: SparkSession) -> int:
+        return (marked := self.read_marked(spark)).agg(count_malformed(marked)).first()[0] if self.schema else 0
+
+
+def count_malformed(marked: DataFrame) -> Column:
+    """Aggregate over the rows of ``read_marked``. Spark refuses to read the marker alone, so another column goes with it."""
+    return F.count(F.when(F.col(MALFORMED).isNotNull(), F.struct(MALFORMED, marked.columns[0])))
 
 
 @dataclass(frozen=True)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caretally.functions.dates import calendar_days, elapsed_days, lag_text, within
@@ -9,6 +12,7 @@ from caretally.operators.aggs import bucket_pivot, lag_summary
 from caretally.operators.filters import split_by, without_nulls
 from caretally.operators.skew import salted_join
 from caretally.plans import documents, labs
+from caretally.session import stage
 from cases import tables as t
 
 # --- documents ---------------------------------------------------------------
@@ -67,6 +71,18 @@ def _waiting(spark, d):
     return _labs(spark, d).where(~F.col("answered_compat"))
 
 
+def _flagged(spark, d):
+    return labs.with_same_day(_labs(spark, d))
+
+
+def _lab_splits(spark, d):
+    """Every split as a table of its own, read from one staged frame."""
+    staged = stage(_flagged(spark, d), "labs", labs.SPLIT_COLUMNS)
+    columns = ("encounter_id", "item_id", "assigned_to_id")
+    halves = [labs.split(staged, n).select(F.lit(n).alias("split"), *columns) for n in labs.SPLITS]
+    return reduce(DataFrame.unionByName, halves)
+
+
 def _turnaround(spark, d):
     """Line with the days from order to shipment."""
     lines = t.table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", "l_linestatus", "l_shipdate")
@@ -131,6 +147,10 @@ QUERIES = {
         "encounter_id", "item_id", "reviewed_by", "result_lag", "review_lag"
     ),
     "same_day_complement": _same_day,
+    "lab_splits": _lab_splits,
+    "lab_split_counts": lambda s, d: labs.split_counts(_flagged(s, d)),
+    "reviewer_staff": lambda s, d: labs.reviewer_staff(_answered(s, d)),
+    "reviewer_summary_short": lambda s, d: labs.reviewer_summary(_answered(s, d), set_values=3),
     "reviewer_summary": lambda s, d: labs.reviewer_summary(_answered(s, d)),
     "reviewer_buckets": lambda s, d: labs.reviewer_buckets(_answered(s, d)),
     "reviewer_bucket_detail": lambda s, d: labs.bucket_detail(_answered(s, d)),
@@ -215,6 +235,12 @@ def _lag_text(interval):
 
 
 SAME_DAY = "result_days IS NOT NULL AND result_days = 0 AND reviewed"
+SPLIT_TESTS = {
+    "with_result": "answered_compat", "with_result_in_house": "answered_compat AND in_house",
+    "with_result_sent_out": "answered_compat AND NOT in_house", "waiting": "NOT answered_compat",
+    "waiting_in_house": "NOT answered_compat AND in_house", "waiting_sent_out": "NOT answered_compat AND NOT in_house",
+    "answered": "answered", "not_in_house": "NOT in_house", "same_day_reviewed": SAME_DAY, "not_same_day": f"NOT ({SAME_DAY})",
+}
 
 ORACLE = {
     "doc_review_join": f"SELECT {', '.join(LAG_COLUMNS)} FROM ({LAGS})",
@@ -264,6 +290,21 @@ FROM ({LABS})""",
     "same_day_complement": f"""
 SELECT orderer_id, count(*) AS labs, CASE WHEN {SAME_DAY} THEN 'same_day' ELSE 'other' END AS half
 FROM ({LABS}) GROUP BY 1, 3""",
+    "lab_splits": " UNION ALL ".join(
+        f"SELECT '{name}' AS split, encounter_id, item_id, assigned_to_id FROM ({LABS}) WHERE {test}" for name, test in SPLIT_TESTS.items()
+    ),
+    "lab_split_counts": " UNION ALL ".join(
+        f"SELECT '{name}' AS split, count(*) AS labs, count(DISTINCT encounter_id) AS encounters FROM ({LABS}) WHERE {test}"
+        for name, test in SPLIT_TESTS.items()
+    ),
+    "reviewer_staff": f"""
+SELECT DISTINCT reviewed_by, list, value FROM (SELECT reviewed_by, assigned_to_id AS assigned_to, orderer_id || '//' AS ordered_by,
+    orderer_name || '//' AS orderer_names FROM ({ANSWERED})) UNPIVOT (value FOR list IN (assigned_to, ordered_by, orderer_names))""",
+    "reviewer_summary_short": f"""
+SELECT reviewed_by, CASE WHEN count(DISTINCT assigned_to_id) <= 3 THEN string_agg(DISTINCT assigned_to_id, ',' ORDER BY assigned_to_id) END AS assigned_to,
+       CASE WHEN count(DISTINCT orderer_id) <= 3 THEN string_agg(DISTINCT orderer_id || '//', ',' ORDER BY orderer_id || '//') END AS ordered_by,
+       CASE WHEN count(DISTINCT orderer_name) <= 3 THEN string_agg(DISTINCT orderer_name || '//', ',' ORDER BY orderer_name || '//') END AS orderer_names,
+       round(avg(review_days), 2) AS avg_rev, count(*) AS labs FROM ({ANSWERED}) GROUP BY 1""",
     "reviewer_summary": f"""
 SELECT reviewed_by, {STAFF}, round(avg(review_days), 2) AS avg_rev, count(*) AS labs FROM ({ANSWERED}) GROUP BY 1""",
     "reviewer_buckets": _pivot(ANSWERED, "reviewed_by", "review_days", STAFF + ","),

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
-from caretally.operators.lists import ordered_list
+from caretally.operators.lists import list_pages, ordered_list
 from caretally.operators.sequence import ordinal_mix
 from caretally.operators.skew import hot_keys
 from caretally.plans import funnel
@@ -46,6 +46,15 @@ def _log_sites(spark, d):
     return rows.select("patient_id", "encounter_id", "FacilityName", "dob")
 
 
+def _log_rows(spark, d):
+    """As above; views have blank notes, and clicks none."""
+    kind = F.col("FacilityName")
+    named = F.concat(F.lit("seen. DOB: "), F.date_format("modify_date", "dd/MM/yyyy"))
+    notes = F.when(kind == "purchase", named).when(kind == "view", F.lit("  ")).when(kind != "click", F.col("Notes"))
+    rows = funnel.site_log(t.log(spark, d).withColumn("Notes", notes), (*SITES, "click"))
+    return funnel.log_rows(rows).select("patient_id", "encounter_id", "FacilityName", "dob")
+
+
 def _joined(spark, d):
     """Log with its encounters; label = encounter, good quality = checked out."""
     encounters = t.table(spark, d, "labels").select(
@@ -57,6 +66,10 @@ def _joined(spark, d):
     return funnel.log_encounters(t.log(spark, d), encounters)
 
 
+def _converted_entries(spark, d):
+    return funnel.converted_entries(_joined(spark, d), show=["encounter_id", "Reason"])
+
+
 JOINED_COLUMNS = ("patient_id", "encounter_id", "Reason", "matched_encounter_id", "visit_status", "appointment_provider_name")
 
 
@@ -99,8 +112,15 @@ def _cutoff(mode):
     return run
 
 
+BILLED_COLUMNS = ["event_id", "BookingTime", "week"]
+
+
+def _billed_entries(spark, d):
+    return funnel.billed_entries(_invoices(spark, d), ["event_id"], show=BILLED_COLUMNS)
+
+
 def _billed_users(spark, d):
-    return funnel.billed_users(_invoices(spark, d), ["event_id"], show=["event_id", "BookingTime", "week"])
+    return funnel.billed_users(_billed_entries(spark, d), show=BILLED_COLUMNS)
 
 
 # --- sequences ---------------------------------------------------------------
@@ -238,9 +258,16 @@ def _since_first_lines(spark, d):
 QUERIES = {
     "json_fields": _json_fields,
     "log_sites": _log_sites,
+    "log_rows": _log_rows,
+    "invoice_rows": lambda s, d: funnel.invoice_rows(funnel.standard_invoices(_raw_invoices(s, d))).select(
+        "event_id", *funnel.INVOICE_DATES
+    ),
     "log_last": lambda s, d: funnel.last_entries(t.log(s, d)),
     "log_first": lambda s, d: funnel.first_seen(t.log(s, d)),
-    "log_summary": lambda s, d: funnel.log_summary(t.log(s, d)),
+    "log_summary": lambda s, d: funnel.log_summary(funnel.log_entries(t.log(s, d))),
+    "log_summary_short": lambda s, d: funnel.log_summary(funnel.log_entries(t.log(s, d)), page_rows=25),
+    "log_entries": lambda s, d: funnel.log_entries(t.log(s, d)),
+    "log_pages": lambda s, d: list_pages(funnel.log_entries(t.log(s, d)), ["patient_id"], list(funnel.LOG_LISTS), page_rows=25),
     "log_summary_paged": lambda s, d: ordered_list(
         t.log(s, d), ["patient_id"], {"reasons": F.col("Reason")}, funnel.LOG_ORDER, page_rows=25
     ),
@@ -251,15 +278,18 @@ QUERIES = {
     "cutoff_text": _cutoff("text"),
     "cutoff_date": _cutoff("date"),
     "billed_users": _billed_users,
+    "billed_entries": _billed_entries,
     "billed_by_week": lambda s, d: funnel.users_by_week(_billed_users(s, d)),
     "log_encounter_join": lambda s, d: _joined(s, d).select(*JOINED_COLUMNS),
-    "converted_users": lambda s, d: funnel.converted_users(_joined(s, d), show=["encounter_id", "Reason"]),
+    "converted_users": lambda s, d: funnel.converted_users(_converted_entries(s, d), show=["encounter_id", "Reason"]),
+    "converted_entries": _converted_entries,
     "visit_sequence": lambda s, d: _sequence(s, d).select(*SEQUENCE_COLUMNS),
     "conversion_masked": lambda s, d: _masked(s, d).select(*MASKED_COLUMNS),
     "conversion_two_dobs": lambda s, d: _two_dobs(s, d).select(*MASKED_COLUMNS),
     "conversion_first": lambda s, d: funnel.one_per_patient(_masked(s, d)).select(*MASKED_COLUMNS),
     "ordinal_mix": lambda s, d: ordinal_mix(_masked(s, d)),
-    "unique_converted": lambda s, d: funnel.converted_encounters(_masked(s, d)),
+    "unique_converted": lambda s, d: funnel.converted_encounters(funnel.converted_encounter_entries(_masked(s, d))),
+    "unique_converted_entries": lambda s, d: funnel.converted_encounter_entries(_masked(s, d)),
     "first_seen": lambda s, d: funnel.with_first_seen(
         t.plain_visits(s, d).select("patient_id", "encounter_id", "visit_status"), _signups(s, d)
     ),
@@ -291,12 +321,27 @@ FROM events
 """
 WEEK = "CASE WHEN {0} <= 7 THEN 'S1' WHEN {0} <= 15 THEN 'S2' WHEN {0} <= 23 THEN 'S3' ELSE 'S4' END"
 KEPT = f"SELECT *, {WEEK.format('day(booked)')} AS week FROM ({INVOICES}) WHERE booked <= DATE '2024-01-20'"
+BILLED_ENTRIES = f"""
+SELECT PatientEmail, row_number() OVER (PARTITION BY PatientEmail ORDER BY event_id) AS position, event_id,
+       strftime(booked, '%m/%d/%Y') AS "BookingTime", week, name AS names FROM ({KEPT}) WHERE Premium = 'Yes'
+"""
 BILLED = f"""
-SELECT PatientEmail, CAST(0 AS BIGINT) AS page, arg_min(event_id, event_id) AS event_id,
+SELECT PatientEmail, arg_min(event_id, event_id) AS event_id,
        arg_min(strftime(booked, '%m/%d/%Y'), event_id) AS "BookingTime", arg_min(week, event_id) AS week,
-       count(*) AS n, string_agg(name, ',' ORDER BY event_id) AS names
+       count(*) AS n, CASE WHEN count(*) <= 10000 THEN string_agg(name, ',' ORDER BY event_id) END AS names
 FROM ({KEPT}) WHERE Premium = 'Yes' GROUP BY 1
 """
+LOG_ENTRIES = f"""
+SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY modify_date, encounter_id) AS position,
+       Reason || '// ' AS reasons, VisitStatus || '// ' AS visit_statuses FROM ({t.LOG_SQL})
+"""
+
+
+def _log_summary_sql(limit):
+    return f"""
+SELECT patient_id, count(*) AS billed_times, CASE WHEN count(*) <= {limit} THEN string_agg(reasons, ',' ORDER BY position) END AS reasons,
+       CASE WHEN count(*) <= {limit} THEN string_agg(visit_statuses, ',' ORDER BY position) END AS visit_statuses
+FROM ({LOG_ENTRIES}) GROUP BY 1"""
 
 
 def _cutoff_sql(where):
@@ -365,13 +410,20 @@ SELECT event_id, json_extract_string(props, '$.k') AS k,
     "log_sites": f"""
 SELECT patient_id, encounter_id, FacilityName,
        CASE WHEN FacilityName = 'purchase' THEN strftime(modify_date, '%d/%m/%Y') END AS dob FROM ({t.LOG_SQL}) WHERE FacilityName IN {SITES}""",
+    "log_rows": f"""
+SELECT patient_id, encounter_id, FacilityName, CASE WHEN FacilityName = 'purchase' THEN strftime(modify_date, '%d/%m/%Y')
+       WHEN FacilityName IN ('view', 'click') THEN 'SIN NOTES' END AS dob FROM ({t.LOG_SQL}) WHERE FacilityName IN ('click', 'signup', 'purchase', 'view')""",
+    "invoice_rows": """
+SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%m/%d/%Y') ELSE 'Fecha no válida' END AS "BookingTime",
+       strftime(ts, '%m/%d/%Y') AS "AppointmentTime", 'Fecha no válida' AS "PatientDateOfBirth" FROM events""",
     "log_last": LAST,
     "log_first": f"SELECT patient_id, min(appointment_date) AS first_seen FROM ({t.LOG_SQL}) GROUP BY 1",
-    "log_summary": f"""
-SELECT patient_id, CAST(0 AS BIGINT) AS page, count(patient_id) AS billed_times,
-       string_agg(Reason || '// ', ',' ORDER BY modify_date, encounter_id) AS reasons,
-       string_agg(VisitStatus || '// ', ',' ORDER BY modify_date, encounter_id) AS visit_statuses
-FROM ({t.LOG_SQL}) GROUP BY 1""",
+    "log_summary": _log_summary_sql(10_000),
+    "log_summary_short": _log_summary_sql(25),
+    "log_entries": LOG_ENTRIES,
+    "log_pages": f"""
+SELECT patient_id, (position - 1) // 25 AS page, string_agg(reasons, ',' ORDER BY position) AS reasons,
+       string_agg(visit_statuses, ',' ORDER BY position) AS visit_statuses FROM ({LOG_ENTRIES}) GROUP BY 1, 2""",
     "log_summary_paged": f"""
 SELECT patient_id, (rn - 1) // 25 AS page, sum(count(*)) OVER (PARTITION BY patient_id)::BIGINT AS n, string_agg(Reason, ',' ORDER BY rn) AS reasons
 FROM (SELECT *, row_number() OVER (PARTITION BY patient_id ORDER BY modify_date, encounter_id) AS rn FROM ({t.LOG_SQL}))
@@ -383,13 +435,17 @@ SELECT event_id, CASE WHEN event_type <> 'error' THEN strftime(ts, '%m/%d/%Y') E
     "cutoff_text": _cutoff_sql("strftime(o_orderdate, '%m/%d/%Y') <= '06/15/1998'"),
     "cutoff_date": _cutoff_sql("o_orderdate <= TIMESTAMP '1998-06-15'"),
     "billed_users": BILLED,
+    "billed_entries": BILLED_ENTRIES,
     "billed_by_week": f"SELECT week, count(week) AS times FROM ({BILLED}) GROUP BY 1",
     "log_encounter_join": f"SELECT {', '.join(JOINED_COLUMNS)} FROM ({JOINED})",
     "converted_users": f"""
-SELECT patient_id, CAST(0 AS BIGINT) AS page, arg_min(encounter_id, (appointment_date, encounter_id)) AS encounter_id,
+SELECT patient_id, arg_min(encounter_id, (appointment_date, encounter_id)) AS encounter_id,
        (array_agg(Reason ORDER BY appointment_date, encounter_id))[1] AS "Reason", count(*) AS n,
-       string_agg(CAST(patient_id AS VARCHAR), ',') AS patient_ids
+       CASE WHEN count(*) <= 10000 THEN string_agg(CAST(patient_id AS VARCHAR), ',') END AS patient_ids
 FROM ({JOINED}) WHERE visit_status = 'CHK : Check Out' GROUP BY 1""",
+    "converted_entries": f"""
+SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY appointment_date, encounter_id) AS position, encounter_id, Reason,
+       CAST(patient_id AS VARCHAR) AS patient_ids FROM ({JOINED}) WHERE visit_status = 'CHK : Check Out'""",
     "visit_sequence": f"SELECT {', '.join(SEQUENCE_COLUMNS)} FROM ({SEQUENCE})",
     "conversion_two_dobs": f"""
 WITH v AS (SELECT * REPLACE (CASE WHEN visit_type = 'short' THEN dob || '?' ELSE dob END AS dob) FROM ({t.VISITS_SQL})),
@@ -409,8 +465,11 @@ SELECT count(*) FILTER (WHERE converted_rn = 1) AS ord_1, count(*) FILTER (WHERE
        count(DISTINCT CASE WHEN converted_rn = 1 THEN patient_id END) AS first_visit_users, avg(converted_rn) AS mean_ordinal
 FROM ({MASKED})""",
     "unique_converted": f"""
-SELECT patient_id, CAST(0 AS BIGINT) AS page, string_agg(DISTINCT CAST(encounter_id AS VARCHAR), ','
-       ORDER BY CAST(encounter_id AS VARCHAR)) AS encounter_ids FROM ({MASKED}) GROUP BY 1""",
+SELECT patient_id, count(*) AS encounters, CASE WHEN count(*) <= 10000 THEN string_agg(id, ',' ORDER BY id) END AS encounter_ids
+FROM (SELECT DISTINCT patient_id, CAST(encounter_id AS VARCHAR) AS id FROM ({MASKED})) GROUP BY 1""",
+    "unique_converted_entries": f"""
+SELECT patient_id, row_number() OVER (PARTITION BY patient_id ORDER BY encounter_ids) AS position, encounter_ids
+FROM (SELECT DISTINCT patient_id, CAST(encounter_id AS VARCHAR) AS encounter_ids FROM ({MASKED}))""",
     "first_seen": f"""
 SELECT e.user_id AS patient_id, e.event_id AS encounter_id, e.event_type AS visit_status, f.first_seen
 FROM events e LEFT JOIN ({FIRSTS}) f ON f.patient_id = e.user_id""",

@@ -101,6 +101,8 @@ def _hospital(spark, d):
     return scorecard.scorecard(rows, "cpt_group", "HOSPITAL")
 
 
+MONEY_DIMENSIONS = ["quality_level", "visit_type_classification"]
+
 QUERIES = {
     "visit_window_facility": lambda s, d: _window(s, d),
     "patient_claim_fanout": _fanout,
@@ -113,6 +115,10 @@ QUERIES = {
     "claims_by_vtype": lambda s, d: fiscal.claim_counts(
         _period_claims(s, d, t.claims_without(s, d)), "visit_type_classification"
     ),
+    # Two dimensions from one scan of the claims; money of two from one join.
+    "claims_by_dimension": lambda s, d: fiscal.claim_counts_by(_with(s, d), ["payer_class", "quality_level"]),
+    "revenue_by_dimension": lambda s, d: fiscal.money_reports(_revenue(s, d), t.claims_without(s, d), MONEY_DIMENSIONS),
+    "collections_by_dimension": lambda s, d: fiscal.money_reports(_collections(s, d), t.claims_without(s, d), MONEY_DIMENSIONS),
     "claims_dedup": lambda s, d: _single(s, d).select(
         "claim_no", "encounter_id", "resource_provider_name", "payer_class", "quality_level", "service_date"
     ),
@@ -192,6 +198,13 @@ WHERE f.period IN {t.PERIODS} GROUP BY 1, 2, 3
 """
 
 
+def _each_sql(report, dims, measure):
+    """The reports of several dimensions, one under another."""
+    return " UNION ALL ".join(
+        f"SELECT '{dim}' AS dimension, {dim} AS value, resource_provider_name, period, {measure} FROM ({report(dim)})" for dim in dims
+    )
+
+
 def _score_sql(provider, visit_type, location, where):
     return f"""
 SELECT {provider} AS provider, calendar_period AS period, calendar_year AS year, calendar_week AS week,
@@ -230,6 +243,9 @@ WHERE lower(o.o_orderpriority) LIKE '%not spec%'""",
     "claims_by_payer": _counts_sql(t.CLAIMS_WITH_SQL, "payer_class"),
     "claims_by_quality": _counts_sql(t.CLAIMS_WITH_SQL, "quality_level"),
     "claims_by_vtype": _counts_sql(_WITHOUT, "visit_type_classification"),
+    "claims_by_dimension": _each_sql(lambda dim: _counts_sql(t.CLAIMS_WITH_SQL, dim), ["payer_class", "quality_level"], "claims"),
+    "revenue_by_dimension": _each_sql(lambda dim: _money_sql(REVENUE, _WITHOUT, dim), MONEY_DIMENSIONS, "total_payment"),
+    "collections_by_dimension": _each_sql(lambda dim: _money_sql(COLLECTIONS, _WITHOUT, dim), MONEY_DIMENSIONS, "total_payment"),
     "claims_dedup": "SELECT claim_no, encounter_id, resource_provider_name, payer_class, quality_level, service_date "
                     f"FROM ({SINGLE})",
     "revenue_by_payer": _money_sql(REVENUE, SINGLE, "payer_class"),

@@ -6,6 +6,7 @@ import json
 import pytest
 
 from caretally import jobs
+from caretally.plans import labs
 from caretally.sources import schemas
 
 NEVER = "Jan  1 1901 12:00AM"
@@ -44,11 +45,24 @@ def test_labs(spark, tmp_path):
                 "output": {"path": str(out), "kind": "csv"}}
     tables = jobs.run(spark, json.loads(json.dumps(settings)))
     assert {r["metric"]: r["value"] for r in read_csv(spark, out / "metrics")} == {"labs": "4.0", "encounters": "3.0", "rows": "5.0", "bad_dates": "0.0"}
+    assert {(r["stage"], r["metric"]): r["value"] for r in read_csv(spark, out / "source_metrics")} == {("raw", "rows"): "5.0", ("raw", "malformed_rows"): "0.0"}
     buckets = {r["reviewed_by"]: r for r in read_csv(spark, out / "reviewer_buckets")}
     assert (buckets["50"]["labs"], buckets["50"]["b1"], buckets["50"]["b2"], buckets["50"]["share_b2"]) == ("3", "1", "1", "0.33")
     assert read_csv(spark, out / "unreviewed_queue")[0]["labs"] == "1"
     assert [r["encounter_id"] for r in read_csv(spark, out / "encounters_waiting")] == ["3"]
-    assert len(tables) == 18 and {"in_house_with_lag", "answered"} <= set(tables)
+    assert set(tables) == {
+        "labs", "split_counts", "outcomes", "encounters", "lag_histogram", "reviewers", "reviewer_staff", "reviewer_buckets", "reviewer_bucket_detail",
+        "answered_unreviewed", "unreviewed_queue", "waiting_queue", "encounters_not_same_day", "encounters_answered", "encounters_waiting", "metrics",
+        "source_metrics", *labs.SPLITS}
+    split = {name: sorted(r["encounter_id"] + r["item_id"] for r in read_csv(spark, out / name)) for name in labs.SPLITS}
+    assert split == {
+        "with_result": ["15", "16", "26"], "with_result_in_house": ["15"], "with_result_sent_out": ["16", "26"], "waiting": ["36"], "waiting_in_house": [],
+        "waiting_sent_out": ["36"], "answered": ["15", "16", "26", "36"], "not_in_house": ["16", "26", "36"], "same_day_reviewed": ["15"],
+        "not_same_day": ["16", "26", "36"]}
+    counts = {r["split"]: (r["labs"], r["encounters"]) for r in read_csv(spark, out / "split_counts")}
+    assert counts == {name: (str(len(keys)), str(len({k[0] for k in keys}))) for name, keys in split.items()}
+    for name in labs.SPLITS:  # every split reads its own folders
+        assert "PartitionFilters: [" in (plan := plan_of(tables[name])) and "PartitionFilters: []" not in plan
     lags = {r["encounter_id"] + r["item_id"]: (r["result_lag"], r["review_lag"]) for r in read_csv(spark, out / "labs")}
     assert lags == {"15": ("0 days 02:00:00", "1 days 01:00:00"), "16": ("2 days 02:00:00", "Sin revisión"),
                     "26": ("2 days 02:00:00", "4 days 00:00:00"), "36": (None, "Sin revisión")}
@@ -74,6 +88,24 @@ def test_documents(spark, tmp_path):
     assert {r["report_patient_name"] for r in read_csv(spark, out / "review_lags")} == {"Ñu", None}
 
 
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_malformed_rows_are_reported(spark, tmp_path):
+    path = tmp_path / "docs.csv"
+    header = ",".join(schemas.DOCUMENT_COLUMNS)
+    good = {"docID": "1", "ReviewerId": "50", "reviewername": "R", "Review": "1", "delFlag": "0", "scanDate": "Nov  1 2023  9:00AM"}
+    line = ",".join(good.get(c, "") for c in schemas.DOCUMENT_COLUMNS)
+    path.write_text(f"{header}\n{line}\n{line},extra\nshort\n")
+    report = write_csv(tmp_path / "report.csv", schemas.REPORT_COLUMNS, [])
+    jobs.run(spark, {"job": "documents", "sources": {"raw": {"kind": "csv", "path": str(path), "schema": "DOCUMENTS"},
+                                                     "report": {"kind": "csv", "path": report, "schema": "DOCUMENT_REPORT"}},
+                     "params": {"year": 2023, "month": 11, "reviewer_ids": [50]}, "output": {"path": str(tmp_path / "out")}})
+    found = {(r["stage"], r["metric"]): r["value"] for r in read_csv(spark, tmp_path / "out/source_metrics")}
+    assert found == {("raw", "rows"): "3.0", ("raw", "malformed_rows"): "2.0", ("report", "rows"): "0.0", ("report", "malformed_rows"): "0.0"}
+
+
 @pytest.fixture(scope="module")
 def day():
     from datetime import date, datetime
@@ -161,8 +193,14 @@ def test_funnel(spark, day, tmp_path):
     assert [(r.PatientEmail, r.names, r.week) for r in got["billed_users"].collect()] == [("a@x", "Ann Lee", "S1")]
     assert got["new_billing"].count() == 1 and got["established_visits"].count() == 1
     metrics = {(r.stage, r.metric): r.value for r in got["metrics"].collect()}
-    assert metrics[("invoices", "bad_dates")] == 1.0 and metrics[("log_encounters", "patients")] == 2.0
-    assert metrics[("last_entries", "booked")] == metrics[("reasons", "booked")] == 2.0
+    assert metrics == {
+        ("log_entries", "rows"): 3, ("log_summary", "patients"): 2, ("log_encounters", "rows"): 3, ("conversions", "rows"): 2, ("converted", "patients"): 2,
+        ("visits_since_first", "rows"): 2, ("validator", "patients"): 2, ("billing", "rows"): 2, ("new_entries", "new_patients"): 1,
+        ("last_entries", "booked"): 2, ("reasons", "booked"): 2, ("reasons", "new_patients"): 1, ("invoices", "bad_dates"): 1, ("billed", "rows"): 1,
+        ("billed_users", "rows"): 1}
+    assert {r.encounter_id: r.dob for r in got["log"].collect()} == dict.fromkeys((10, 11, 12), "01/02/1990")
+    assert [(r.PatientDateOfBirth, r.AppointmentTime) for r in got["invoices"].collect()] == [("01/02/1990", "01/09/2023")]
+    assert {"log_entries", "billed_entries", "converted_entries", "converted_encounter_entries"} <= set(got)
     assert got["sequence"].where("dob = '01/02/1990'").count() == 3
 
 

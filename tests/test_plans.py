@@ -265,7 +265,7 @@ def test_log(spark):
     rows = funnel.site_log(funnel.log_with_fields(log), ["A", "B"])
     assert sorted((r.encounter_id, r.dob) for r in rows.collect()) == [(10, "01/02/1990"), (11, None), (12, None)]
     assert one(funnel.last_entries(rows))["encounter_id"] == 12
-    summary = one(funnel.log_summary(rows))
+    summary = one(funnel.log_summary(funnel.log_entries(rows)))
     assert (summary["billed_times"], summary["reasons"], summary["visit_statuses"]) == (3, "pain// ,check// ", "new// ,done// ,done// ")
 
 
@@ -281,7 +281,7 @@ def test_invoices(spark):
     assert sorted(r.id for r in funnel.invoices_until(invoices, "12/01/2023", "text").collect()) == [1, 2, 3, 4]
     kept = funnel.invoices_until(invoices, "12/31/2024")
     assert (one(kept, id=1)["day"], one(kept, id=1)["month"], one(kept, id=1)["week"]) == (5, 1, "S1")
-    users = funnel.billed_users(kept, ["id"], show=["id", "week"])
+    users = funnel.billed_users(funnel.billed_entries(kept, ["id"], show=["id", "week"]), show=["id", "week"])
     ann = one(users, PatientEmail="a@x")
     assert (ann["id"], ann["names"], ann["n"]) == (1, "Ann Lee,Anna Lee", 2)
     assert one(users, PatientEmail="b@x")["names"] is None
@@ -316,7 +316,7 @@ def test_sequence(journeys, group_rows):
     assert (mix["ord_1"], mix["ord_2"], mix["ord_3"], mix["later"], mix["ord_5_plus"]) == (2, 0, 1, 1, 1)
     assert (mix["first_visit_users"], mix["mean_ordinal"]) == (2, 2.5)
     assert funnel.one_per_patient(masked).count() == 4
-    assert one(funnel.converted_encounters(masked), patient_id=1)["encounter_ids"] == "1,3"
+    assert one(funnel.converted_encounters(funnel.converted_encounter_entries(masked)), patient_id=1)["encounter_ids"] == "1,3"
 
 
 def test_masked_keys_may_differ(journeys):
@@ -332,7 +332,7 @@ def test_log_encounters(spark):
                                 "encounter_id int, visit_status string, appointment_date date, appointment_provider_name string")
     joined = funnel.log_encounters(log, enc)
     assert joined.count() == 4 and funnel.matched(joined).count() == 2
-    user = one(funnel.converted_users(joined, show=["encounter_id"]))
+    user = one(funnel.converted_users(funnel.converted_entries(joined, show=["encounter_id"]), show=["encounter_id"]))
     assert (user["patient_id"], user["n"], user["patient_ids"], user["encounter_id"]) == (1, 2, "1,1", 10)
 
 
