@@ -126,6 +126,25 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     return out
 
 
+def eight_bytes(data: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as one number; zeros behind the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))[places]
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent 64-bit hashes of each span's bytes, from its first and last eight bytes where these are all of it."""
+    size = (ends - starts).astype(np.uint64)
+    head = eight_bytes(data, starts) & (np.uint64(0xFFFFFFFFFFFFFFFF) >> (np.uint64(8) * (np.uint64(8) - np.minimum(size, np.uint64(8)))))
+    tail = np.where(size > 8, eight_bytes(data, np.maximum(ends - 8, 0)), np.uint64(0))
+    key = mix(head + size * np.uint64(MULTIPLIERS[0])) + mix(tail ^ np.uint64(MULTIPLIERS[1]))
+    check = mix(tail + size * np.uint64(MULTIPLIERS[1])) ^ mix(head ^ np.uint64(MULTIPLIERS[0]))
+    for k in np.flatnonzero(size > 16).tolist():
+        whole = xxhash.xxh3_128_intdigest(np.ascontiguousarray(data[starts[k]:ends[k]]))
+        key[k], check[k] = whole >> 64, whole & 0xFFFFFFFFFFFFFFFF
+    return mix(key), mix(check)
+
+
 def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hash, row, start and end of each word; with `fold`, A-Z count as a-z."""
     starts, ends = word_spans(data, offsets)

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from tokenizers import Tokenizer
 
-from caretally.llm.blocks import BLOCK, span_hashes, text_blocks
+from caretally.llm.blocks import BLOCK, span_keys, text_blocks
 
 TOKENIZER = "byte_bpe_50k.json"
 END = 2
@@ -105,8 +105,8 @@ class Encoder:
             self.clear()
         starts = chunk_starts(data, offsets)
         ends = np.append(starts[1:], len(data))
-        keys = span_hashes(data, starts, ends, False) | np.uint64(1)
-        checks = span_hashes(data, starts, ends, False, 1)
+        keys, checks = span_keys(data, starts, ends)
+        keys |= np.uint64(1)
         slot = keys & self.mask
         found = self.place[slot].astype(np.int64)
         new = np.flatnonzero((self.keys[slot] != keys) | (self.checks[found] != checks))
