@@ -2,9 +2,12 @@
 
 Words are runs of letters, lower-cased (characters beyond ASCII count as letters but for general and Latin-1 punctuation).
 
-Fitting: word and n-gram counts per language over a bounded sample of labelled documents. The `VOCABULARY` most frequent words
-are the known ones, each with its add-one log frequency in every language; character n-grams of 4 to 1 letters, told apart at
-the start and the end of words, back them up. Words and n-grams are kept as 64-bit hashes.
+Fitting: word and n-gram counts per language over a sample of labelled documents, about `TRAIN_DOCUMENTS` of each language (all, where it
+has fewer), so that a rare language is learnt from however large the corpus is. The `VOCABULARY` most frequent words of each
+language are the known ones, each with its add-one log frequency in every language; the `GRAMS` most frequent character n-grams of
+each language and length, 4 to 1 letters, told apart at the start and the end of words, back them up. Words and n-grams are kept as
+64-bit hashes, and their counts only for the languages that they occur in, so that the model grows with what the languages
+have of their own. Every language is learnt; their names and the model go through the driver.
 
 Scoring: a known word adds its log frequencies. An unseen word adds the mean log frequencies of its known n-grams of the
 greatest length that has any; with none of any length it adds nothing. The language with the greatest sum is predicted (the first
@@ -25,14 +28,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from caretally.llm.blocks import Spans, pieces, row_of
 from caretally.llm.store import sent, table
 
-#: About so many documents are learnt from (all, where there are fewer), chosen by a hash of doc_id.
-TRAIN_DOCUMENTS = 20_000
-#: Known words, n-grams of each length, and languages at most.
-VOCABULARY, GRAMS, LANGUAGES = 60_000, 30_000, 200
+#: About so many documents of each language are learnt from, chosen by a hash of doc_id.
+TRAIN_DOCUMENTS = 5_000
+#: Known words, and n-grams of each length, that a language brings in at most.
+VOCABULARY, GRAMS = 15_000, 7_500
+#: Cells of the table of unseen words and languages that are held at a time.
+CELLS = 4_000_000
 LONGEST = 4
 UND = "und"
 #: The softmax treats a text as if it had at most so many words, so that scores stay comparable.
@@ -89,8 +95,10 @@ def grams(data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray,
 def counts_by_language(documents: DataFrame, sample: int = TRAIN_DOCUMENTS) -> DataFrame:
     """(lang, length, key, n) over the sample; length 0 stands for words, others for n-grams. The most frequent keys only."""
     usable = documents.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = usable.select("doc_id").count()
-    chosen = usable if total <= sample else usable.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / total)))
+    large = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().where(F.col("count") > sample).collect()}  # languages, not rows
+    share = F.create_map(*[F.lit(x) for lang, n in large.items() for x in (lang, int((1 << 30) * sample / n))]) if large else None
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(1 << 30)) if large else F.lit(True)
+    chosen = usable.where(drawn)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -112,41 +120,47 @@ def counts_by_language(documents: DataFrame, sample: int = TRAIN_DOCUMENTS) -> D
                                                          ["lang", "length", "key", "n"])
 
     counted = table(chosen.select("lang", "text").mapInArrow(count, "lang string, length int, key long, n long").groupBy("lang", "length", "key").agg(F.sum("n").alias("n")))
-    top = None
-    for size in range(LONGEST + 1):
-        best = (counted.where(F.col("length") == size).groupBy("key").agg(F.sum("n").alias("all")).orderBy(F.desc("all"), "key")
-                .limit(GRAMS if size else VOCABULARY).select("key", F.lit(size).alias("length")))
-        top = best if top is None else top.unionByName(best)
-    return counted.join(top, ["length", "key"])
+    rank = F.row_number().over(Window.partitionBy("lang", "length").orderBy(F.desc("n"), "key"))  # one language's share of a bounded sample
+    known = counted.withColumn("rank", rank).where(F.col("rank") <= F.when(F.col("length") > 0, GRAMS).otherwise(VOCABULARY)).select("length", "key").distinct()
+    return counted.join(known, ["length", "key"])
+
+
+class Level:
+    """Known keys of one length in ascending order; which languages each occurs in, and the log of its count plus one there; and the
+    log of each language's total, in which every known key counts once more than seen."""
+
+    def __init__(self, keys: np.ndarray, lang: np.ndarray, n: np.ndarray, languages: int):
+        order = np.lexsort((lang, keys))
+        self.keys, first = np.unique(keys[order], return_index=True)
+        self.first = np.append(first, len(keys))
+        self.lang, self.gain = lang[order], np.log(n[order] + 1.0)
+        self.total = np.log(np.bincount(lang, weights=n, minlength=languages) + max(1, len(self.keys)))
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, -1 if unknown."""
+        if not len(self.keys):
+            return np.full(len(keys), -1)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return np.where(self.keys[at] == keys, at, -1)
+
+    def sums(self, rows: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Sum of the log frequencies of known keys by row and language."""
+        width = len(self.total)
+        size = self.first[at + 1] - self.first[at]
+        cell = np.repeat(self.first[at] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        out = np.bincount(np.repeat(rows, size) * width + self.lang[cell], weights=self.gain[cell], minlength=n * width).reshape(n, width)
+        return out - np.bincount(rows, minlength=n)[:, None] * self.total
 
 
 class Model:
-    """Languages, and the log frequencies of known words and n-grams in each: hashes in ascending order beside a table."""
+    """Languages, and the log frequencies of known words (level 0) and n-grams."""
 
     def __init__(self, counts: pa.Table):
         names, codes = np.unique(counts["lang"].to_numpy().astype(str), return_inverse=True) if len(counts) else (np.zeros(0, str), np.zeros(0, int))
         lengths, keys, n = (counts[c].to_numpy() for c in ("length", "key", "n"))
-        total = np.bincount(codes[lengths == 0], weights=n[lengths == 0], minlength=len(names))
-        chosen = np.sort(np.argsort(-total, kind="stable")[:LANGUAGES])
-        self.languages = [str(x) for x in names[chosen]]
-        self.default = int(np.argmax(total[chosen])) if len(chosen) else -1
-        place = np.full(len(names), -1)
-        place[chosen] = np.arange(len(chosen))
-        self.levels = []
-        for size in range(LONGEST + 1):
-            own = (lengths == size) & (place[codes] >= 0) if len(names) else np.zeros(0, bool)
-            known, back = np.unique(keys[own].view(np.uint64), return_inverse=True)
-            counted = np.ones((len(known), len(chosen)))
-            np.add.at(counted, (back, place[codes[own]]), n[own])
-            self.levels.append((known, np.log(counted / counted.sum(0)) if len(known) else counted))
-
-    def find(self, size: int, keys: np.ndarray) -> np.ndarray:
-        """Row of each key in its table, -1 if unknown."""
-        known = self.levels[size][0]
-        if not len(known):
-            return np.full(len(keys), -1)
-        at = np.minimum(np.searchsorted(known, keys), len(known) - 1)
-        return np.where(known[at] == keys, at, -1)
+        self.languages = [str(x) for x in names]
+        self.default = int(np.argmax(np.bincount(codes[lengths == 0], weights=n[lengths == 0], minlength=len(names)))) if len(names) else -1
+        self.levels = [Level(keys[lengths == size].view(np.uint64), codes[lengths == size], n[lengths == size], len(names)) for size in range(LONGEST + 1)]
 
     def sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Log frequencies per text and language, and the number of words with evidence."""
@@ -154,33 +168,38 @@ class Model:
         starts, ends = letter_runs(data, offsets)
         rows, spans = row_of(offsets, starts), Spans(data)
         keys = spans(starts, ends)
-        at = self.find(0, keys)
-        out, used = np.zeros((n, width)), np.zeros(n, np.int64)
-
-        def add(rows: np.ndarray, values: np.ndarray) -> None:
-            for k in range(width):
-                out[:, k] += np.bincount(rows, weights=values[:, k], minlength=n)
-            used[:] += np.bincount(rows, minlength=n)
-
-        add(rows[at >= 0], self.levels[0][1][at[at >= 0]])
+        at = self.levels[0].find(keys)
+        out = self.levels[0].sums(rows[at >= 0], at[at >= 0], n)
+        used = np.bincount(rows[at >= 0], minlength=n)
         left = np.flatnonzero(at < 0)
         _, first, back = np.unique(keys[left], return_index=True, return_inverse=True)
-        unseen = left[first]
-        values, done = np.zeros((len(unseen), width)), np.zeros(len(unseen), bool)
+        order = np.argsort(back, kind="stable")
+        cuts = np.searchsorted(back[order], np.arange(len(first) + 1))
+        step = max(1, CELLS // width)
+        for a in range(0, len(first), step):
+            unseen = left[first[a:a + step]]
+            values, done = self.backed_off(data, spans, starts[unseen], ends[unseen])
+            own = order[cuts[a]:cuts[min(a + step, len(first))]]
+            own = own[done[back[own] - a]]
+            text, word = rows[left[own]], back[own] - a
+            for k in range(0, len(own), step):
+                np.add.at(out, text[k:k + step], values[word[k:k + step]])
+            used += np.bincount(text, minlength=n)
+        return out, used
+
+    def backed_off(self, data: np.ndarray, spans: Spans, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For unseen words the mean log frequencies of their known n-grams of the greatest length that has any; and whether one has."""
+        values, done = np.zeros((len(starts), len(self.languages))), np.zeros(len(starts), bool)
         for size in range(LONGEST, 0, -1):
             open_ = np.flatnonzero(~done)
-            g, owner = grams(data, spans, starts[unseen[open_]], ends[unseen[open_]], size)
-            hit = self.find(size, g)
+            g, owner = grams(data, spans, starts[open_], ends[open_], size)
+            hit = self.levels[size].find(g)
             owner, hit = owner[hit >= 0], hit[hit >= 0]
             number = np.bincount(owner, minlength=len(open_))
             some = number > 0
-            for k in range(width):
-                mean = np.bincount(owner, weights=self.levels[size][1][hit, k], minlength=len(open_))
-                values[open_[some], k] = mean[some] / number[some]
+            values[open_[some]] = (self.levels[size].sums(owner, hit, len(open_)) / np.maximum(number, 1)[:, None])[some]
             done[open_[some]] = True
-        got = done[back]
-        add(rows[left[got]], values[back[got]])
-        return out, used
+        return values, done
 
     def predict(self, batch: pa.RecordBatch, column: str) -> tuple[list[str], np.ndarray]:
         texts = lowered(batch, column)
@@ -209,23 +228,30 @@ class Model:
 
 
 def fit(documents: DataFrame, sample: int = TRAIN_DOCUMENTS) -> Model:
-    """The model, built on the driver from at most VOCABULARY + LONGEST * GRAMS keys times the languages."""
+    """The model, built on the driver from at most VOCABULARY + LONGEST * GRAMS keys of each language."""
     return Model(counts_by_language(documents, sample).toArrow())
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
-    """The input's columns with lang_pred and score (columns of these names in the input are replaced)."""
-    columns = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    frame = documents.select(*columns)
-    made = sent(documents.sparkSession, model)
+def predict(documents: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The input's columns with the predicted language and its score, under names that the input must not have."""
+    if {lang.lower(), score.lower()} & {c.lower() for c in documents.columns}:
+        raise ValueError(f"the input has a column {lang} or {score}")
+    made, names = sent(documents.sparkSession, model), [*documents.columns, lang, score]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = made()
         for batch in batches:
             langs, scores = model.predict(batch, "text")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], [*columns, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(scores)], names)
+
+    return documents.mapInArrow(work, T.StructType([*documents.schema.fields, T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())]))
+
 
-    return frame.mapInArrow(work, T.StructType([*frame.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+def free_name(documents: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as make it new."""
+    while name.lower() in {c.lower() for c in documents.columns}:
+        name = "_" + name
+    return name
 
 
 def predictions(documents: DataFrame) -> DataFrame:
@@ -235,6 +261,7 @@ def predictions(documents: DataFrame) -> DataFrame:
 
 
 def accepted(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents whose language is recognised: those without letters and those with a low score go."""
-    columns = documents.columns
-    return predict(documents, fit(documents)).where((F.col("lang_pred") != UND) & (F.col("score") >= min_score)).select(*columns)
+    """The documents whose language is recognised, with their columns: those without letters and those with a low score go."""
+    lang, score = free_name(documents, "lang_pred"), free_name(documents, "score")
+    found = predict(documents, fit(documents), lang, score)
+    return found.where((F.col(lang) != UND) & (F.col(score) >= min_score)).select(*documents.columns)
