@@ -95,7 +95,7 @@ class Encoder:
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         self.ids = [np.concatenate([*self.ids, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))])]
         self.ends = np.concatenate([self.ends, self.ends[-1] + np.cumsum(sizes)])
-        self.checks = np.concatenate([self.checks[:n], checks, [0]]).astype(np.uint64)
+        self.checks = np.concatenate([self.checks[:n], checks, np.zeros(1, np.uint64)])
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of the texts one after another, and offsets per text."""
