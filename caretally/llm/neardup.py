@@ -13,22 +13,28 @@ A document's set is its distinct five-word shingles (A-Z folded; with fewer word
    documents are merged into components.
 4. The rest: members of lists that hold more than one component meet by their whole sets, rarest values first, as far as the
    similarity allows (`remaining`); only pairs of different components are verified. Lists within one component are left
-   out, as they can add nothing. So no link that would join two components is missed, and a group of copies never
-   expands into all its pairs.
+   out, as they can add nothing. Documents meet only those whose sizes the values left to both still allow, so that pages of one
+   template that are less similar than that do not meet at all. So no link that would join two components is missed, and a group of
+   copies never expands into all its pairs.
 
 Rows: null, empty and blank texts have n_shingles 0 and are linked with nothing. Rows with equal doc_id and set are one member; a null
 doc_id follows its class, and with no other member its component is null and it is kept. Only doc_id and text are read.
-An empty table gives an empty result.
+`deduplicated` keeps one row of each kept member (any one of rows that are equal in doc_id and set), other texts under its doc_id, one row
+of a set that only rows without doc_id have, and every row without words. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caretally.llm.blocks import distinct_by_row, list_array, mix, shingle_hashes, text_blocks, word_hashes
 from caretally.llm.store import table
@@ -39,6 +45,17 @@ K = 40
 #: Percent of a sketch's values that similar documents share; also the least estimate, in percent, that is verified exactly.
 REQUIRED = 40
 STAR_ROUNDS = 2
+#: Neighbouring size classes differ by this factor.
+SIZE_STEP = 1.04
+
+
+DIGEST = ["n_shingles", "d1", "d2"]
+
+
+def digests(values: np.ndarray, cuts: np.ndarray) -> list[pa.Array]:
+    """DIGEST of each set: its size, and 128 bits of its values."""
+    totals = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(values.view(np.uint64) ^ np.uint64(seed)), dtype=np.uint64)]) for seed in (0x51ED270B, 0xA24BAED4)]
+    return [pa.array(np.diff(cuts)), *(pa.array(np.diff(total[cuts].view(np.int64))) for total in totals)]
 
 
 def measured(documents: DataFrame, whole: bool) -> DataFrame:
@@ -49,14 +66,13 @@ def measured(documents: DataFrame, whole: bool) -> DataFrame:
             for i, j, data, offsets in text_blocks(batch, "text"):
                 words, rows, _, _ = word_hashes(data, offsets)
                 values, cuts = distinct_by_row(*shingle_hashes(words, rows), j - i)
-                sizes = np.diff(cuts)
-                totals = [np.diff(np.concatenate([[0], np.cumsum(mix(values.view(np.uint64) ^ np.uint64(seed)), dtype=np.uint64)])[cuts].view(np.int64)) for seed in (0x51ED270B, 0xA24BAED4)]
+                found = digests(values, cuts)
                 if not whole:
-                    kept = np.minimum(sizes, K)
+                    kept = np.minimum(np.diff(cuts), K)
                     cuts_kept = np.concatenate([[0], np.cumsum(kept)])
                     values = values[np.repeat(cuts[:-1] - cuts_kept[:-1], kept) + np.arange(cuts_kept[-1])]
                     cuts = cuts_kept
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(sizes), *map(pa.array, totals), list_array(values, cuts)], ["doc_id", "n_shingles", "d1", "d2", "hashes"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), *found, list_array(values, cuts)], ["doc_id", *DIGEST, "hashes"])
 
     return documents.select("doc_id", "text").mapInArrow(work, "doc_id long, n_shingles long, d1 long, d2 long, hashes array<long>")
 
@@ -113,9 +129,19 @@ def remaining(rest: DataFrame, sets: DataFrame) -> DataFrame:
     first = F.greatest(F.lit(0), F.floor(F.col("n_shingles") * (100 - THRESHOLD) / 100) + 1 - alone).cast("int")
     listed = table(ranked.withColumn("alone", alone).where(first > 0).select("doc_id", "n_shingles", "component", "alone", F.posexplode(F.slice("values", F.lit(1), first)).alias("at", "v"))
                    .select(F.col("v.value").alias("value"), "doc_id", "n_shingles", "component", (F.col("n_shingles") - F.col("alone") - F.col("at")).alias("left")))
-    meets = (f"x.value = y.value AND x.component < y.component AND 100 * least(x.n_shingles, y.n_shingles) >= {THRESHOLD} * greatest(x.n_shingles, y.n_shingles) "
+    # Sizes that a partner can have: similar enough, and so small that the values left here are overlap enough.
+    n, left = F.col("n_shingles"), F.col("left")
+    least = F.ceil(n * THRESHOLD / 100)
+    most = F.least(F.floor(n * 100 / THRESHOLD), F.floor(left * (100 + THRESHOLD) / THRESHOLD) - n)
+    sized = listed.withColumns({"least": least, "most": most}).where("least <= most").withColumns({"own": size_class(n), "other": F.explode(F.sequence(size_class("least"), size_class("most")))})
+    meets = (f"x.value = y.value AND x.own = y.other AND x.other = y.own AND x.component < y.component "
+             f"AND 100 * least(x.n_shingles, y.n_shingles) >= {THRESHOLD} * greatest(x.n_shingles, y.n_shingles) "
              f"AND {100 + THRESHOLD} * least(x.left, y.left) >= {THRESHOLD} * (x.n_shingles + y.n_shingles)")
-    return listed.alias("x").join(listed.alias("y"), F.expr(meets)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+    return sized.alias("x").join(sized.alias("y"), F.expr(meets)).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"))
+
+
+def size_class(n):
+    return F.floor(F.log(n) / math.log(SIZE_STEP))
 
 
 def all_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
@@ -140,9 +166,14 @@ def all_links(lists: DataFrame, sets: DataFrame) -> DataFrame:
 
 def classified(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document."""
+    return grouped_rows(documents).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def grouped_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, DIGEST, component_id and kept of every row."""
     texts = documents.select("doc_id", "text")
     rows = table(measured(texts, whole=False))
-    key = ["n_shingles", "d1", "d2"]
+    key = DIGEST
     classes = table(rows.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("first"), F.first("hashes").alias("hashes")))
     lists = table(postings(classes.where("first IS NOT NULL").withColumnRenamed("first", "doc_id")))
     posted = lists.select("doc_id").distinct()
@@ -150,15 +181,38 @@ def classified(documents: DataFrame) -> DataFrame:
     # A doc_id may stand on rows with other texts; the set of the class is the one that counts.
     grouped = all_links(lists, sets)
     found = classes.join(grouped.withColumnRenamed("doc_id", "first"), "first", "left").select(*key, F.coalesce("component", "first").alias("component_id"))
-    out = rows.join(found, key, "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    out = rows.join(found, key, "left").select("doc_id", *DIGEST, F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()))
 
 
+def with_digests(documents: DataFrame, names: list[str]) -> DataFrame:
+    """The documents with DIGEST, and a number that is new for each row without doc_id and words and 0 for the others, by these names."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = (TaskContext.get().partitionId() << 33) + 1
+        for batch in batches:
+            missing = batch.column(batch.schema.get_field_index("doc_id")).is_null().to_numpy(zero_copy_only=False)
+            for i, j, data, offsets in text_blocks(batch, "text"):
+                words, rows, _, _ = word_hashes(data, offsets)
+                values, cuts = distinct_by_row(*shingle_hashes(words, rows), j - i)
+                alone = np.where(missing[i:j] & (np.diff(cuts) == 0), at + np.arange(j - i), 0)
+                at += j - i
+                yield pa.RecordBatch.from_arrays([*(c.slice(i, j - i) for c in batch.columns), *digests(values, cuts), pa.array(alone)], [*batch.schema.names, *names])
+
+    return documents.mapInArrow(work, T.StructType([*documents.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
 def deduplicated(documents: DataFrame) -> DataFrame:
-    """One row of each component, the one whose doc_id names it. Rows without a doc_id stay."""
-    kept = classified(documents).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    one = documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(documents.where("doc_id IS NULL"))
+    """The documents without near copies, with their columns: of each component the member whose doc_id names it."""
+    mark = uuid.uuid4().hex[:8]
+    digest, alone, key, none = [f"_{mark}_{c}" for c in DIGEST], f"_{mark}_alone", f"_{mark}_key", f"_{mark}_none"
+    known = {key: F.coalesce("doc_id", F.lit(0)), none: F.col("doc_id").isNull()}
+    rows = with_digests(documents, [*digest, alone]).withColumns(known)
+    kept = grouped_rows(documents).where("kept").withColumns(known)
+    kept = kept.select(key, none, *[F.col(c).alias(name) for c, name in zip(DIGEST, digest, strict=True)]).distinct()
+    # The join deals rows by the same keys as the last step, so that texts are shuffled once.
+    found = rows.join(kept, [key, none, *digest], "left_semi")
+    return found.dropDuplicates([key, none, *digest, alone]).select(*documents.columns)
 
 
 ORACLE = r"""

@@ -13,7 +13,8 @@ suffix is kept at each anchor, about one per 35 bytes, and stands for the run of
    first of equal windows are removed.
 3. First windows of the segments at a bucket's borders are compared across buckets: the least place of each is sought over all.
 
-Equality is that of 64-bit hashes of the bytes beside equal leading bytes and gram hashes. Results do not depend on partitions.
+Equality is that of two independent hashes: 64 bits of a run's bytes and 32 of its gram, beside four leading bytes; 64 bits of a window's
+bytes and 64 of those that its segment shares. Results do not depend on partitions.
 
 Rows: null and empty texts, and those under LENGTH bytes, lose nothing. Rows with equal doc_id and text count as one document and get
 the same result; other rows with equal doc_id are ordered by a hash of their text; null counts as the smallest doc_id. Long
@@ -94,7 +95,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
         return (np.zeros(0, np.int64),) * 5
     spans = Spans(data)
     place = np.arange(len(data) - GRAM + 1)
-    gram = spans(place, place + GRAM)
+    gram = Spans(data, which=1)(place, place + GRAM)
     least = (gram & np.uint64(0xFFFFFFFF00000000)) | place.astype(np.uint64)
     width, covered = LENGTH - GRAM + 1, 1
     while covered < width:
@@ -206,14 +207,15 @@ def segments(runs: DataFrame, rows: DataFrame) -> DataFrame:
                 row, lo, n, back = own[a:a + 20_000], all_lo[a:a + 20_000], shape[a:a + 20_000] & 255, shape[a:a + 20_000] >> 8
                 size = n + LENGTH
                 begin = np.cumsum(size) - size
-                spans = Spans(data[np.repeat(offsets[row] + lo - begin, size) + np.arange(size.sum())])
+                own_bytes = data[np.repeat(offsets[row] + lo - begin, size) + np.arange(size.sum())]
+                spans, shared = Spans(own_bytes), Spans(own_bytes, which=1)
                 rec = np.repeat(np.arange(len(row)), n + 1)
                 step = np.arange(len(rec)) - np.repeat(np.cumsum(n + 1) - (n + 1), n + 1)
                 window = spans(begin[rec] + step, begin[rec] + step + LENGTH).view(np.int64)
                 part = (back[rec] - step) // SEGMENT
                 first = np.flatnonzero(new_groups(rec, part))
                 start = begin[rec[first]] + back[rec[first]] - SEGMENT * part[first]
-                core = spans(start, start + LENGTH - SEGMENT + 1).view(np.int64)
+                core = shared(start, start + LENGTH - SEGMENT + 1).view(np.int64)
                 who = pa.array(row[rec[first]])
                 yield pa.RecordBatch.from_arrays([pa.array(core), batch.column(0).take(who), batch.column(1).take(who), pa.array((lo[rec[first]] + step[first]).astype(np.int32)), list_array(window, np.append(first, len(window)))], names)
 
@@ -221,9 +223,9 @@ def segments(runs: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def sorted_windows(parts: DataFrame, buckets: int) -> DataFrame:
-    """id, tie, lo, n, and window: windows from lo on, n more, that stand earlier too (window null), and the first windows of the
-    cores at a bucket's borders, by their hash."""
-    names = ["id", "tie", "lo", "n", "window"]
+    """id, tie, lo, n, window and core: windows from lo on, n more, that stand earlier too (window null), and the first windows of the
+    cores at a bucket's borders, by their hashes."""
+    names = ["id", "tie", "lo", "n", "window", "core"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = gathered(batches)
@@ -236,19 +238,19 @@ def sorted_windows(parts: DataFrame, buckets: int) -> DataFrame:
         step = np.arange(len(rec)) - np.repeat(np.cumsum(number) - number, number)
         window = np.asarray(lists.flatten())
         ids, ties, place = id_[rec], tie[rec], lo[rec] + step
-        order = multikey_order([window, ids, ties, place])
+        order = multikey_order([window, core[rec], ids, ties, place])
         first = np.empty(len(order), bool)
-        first[order] = new_groups(window[order])
+        first[order] = new_groups(window[order], core[rec][order])
         gone = np.flatnonzero(~first)
         heads = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | (rec[gone[1:]] != rec[gone[:-1]])])) if len(gone) else gone
         n, head = np.diff(np.append(heads, len(gone))) - 1, gone[heads]
         border = (core == core.min()) | (core == core.max())  # buckets are ranges of cores
         edge = np.flatnonzero(first & border[rec])
         for take, more, hashes in ((head, n, pa.nulls(len(head), pa.int64())), (edge, np.zeros(len(edge)), pa.array(window[edge]))):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(ties[take]), pa.array(place[take].astype(np.int32)), pa.array(more.astype(np.int32)), hashes], names)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[take]), pa.array(ties[take]), pa.array(place[take].astype(np.int32)), pa.array(more.astype(np.int32)), hashes, pa.array(core[rec[take]])], names)
 
     names_in = ["core", "id", "tie", "lo", "windows"]
-    return parts.repartitionByRange(buckets, *names_in[:4]).mapInArrow(work, "id long, tie long, lo int, n int, window long")
+    return parts.repartitionByRange(buckets, *names_in[:4]).mapInArrow(work, "id long, tie long, lo int, n int, window long, core long")
 
 
 def repeated(rows: DataFrame) -> DataFrame:
@@ -260,8 +262,8 @@ def repeated(rows: DataFrame) -> DataFrame:
     parts = table(segments(runs.where("open").select("id", "tie", "lo", "shape"), rows))
     windows = table(sorted_windows(parts, max(least, int(parts.count() / BUCKET_SEGMENTS) + 1)))
     edge = windows.where("window IS NOT NULL")
-    earliest = edge.groupBy("window").agg(F.min(F.struct("id", "tie", "lo")).alias("e"), F.count("*").alias("c")).where("c > 1")
-    across = edge.join(earliest, "window").where(F.struct("id", "tie", "lo") != F.col("e"))
+    earliest = edge.groupBy("window", "core").agg(F.min(F.struct("id", "tie", "lo")).alias("e"), F.count("*").alias("c")).where("c > 1")
+    across = edge.join(earliest, ["window", "core"]).where(F.struct("id", "tie", "lo") != F.col("e"))
     columns = ["id", "tie", "lo", "n"]
     return runs.where("NOT open").select("id", "tie", "lo", F.col("shape").bitwiseAND(F.lit(255)).alias("n")).unionByName(windows.where("window IS NULL").select(*columns)).unionByName(across.select(*columns))
 
