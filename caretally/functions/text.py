@@ -25,23 +25,29 @@ def booking_id(label: str) -> str:
 LOG_FIELDS = ("FacilityName", "VisitType", "NewPatient", "Reason", "VisitStatus", "Notes", "ProviderName")
 
 
+END_MARK = "end of the log entry"
+
+
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def parsed_log(c: Column | str, fields: Sequence[str] = LOG_FIELDS) -> Column:
-    """``{field: {OldValue, NewValue}}`` text, parsed once for all the fields.
+def parsed_log(c: Column | str) -> Column:
+    """``{field: {OldValue, NewValue}}`` text as a VARIANT, parsed once for all the fields; null for malformed text.
 
-    Keep it as a column and take ``new_value`` of that column per field: spelled
-    out per field, Spark would parse the text again for each.
+    The text is parsed as the first element of an array that ends in a mark: whatever
+    follows the object then breaks the array or stands in the mark's place, and the text is
+    refused. Keep the result as a column and take ``new_value`` of that column per field:
+    spelled out per field, Spark would parse the text again for each.
     """
-    return F.from_json(_col(c), "struct<" + ",".join(f"`{f}`:struct<NewValue:string>" for f in fields) + ">")
+    parsed = F.try_parse_json(F.concat(F.lit("["), _col(c), F.lit(f', "{END_MARK}"]')))
+    return F.when(F.try_variant_get(parsed, "$[1]", "string") == END_MARK, parsed)
 
 
 def new_value(parsed: Column | str, field: str) -> Column:
-    """NewValue of a field; null if the field is missing or no object, or the
-    text was malformed."""
-    return _col(parsed)[field]["NewValue"]
+    """NewValue of a field as text, JSON text for an object or array; null if the field is
+    missing or no object, or the text was malformed."""
+    return F.try_variant_get(_col(parsed), f"$[0]['{field}'].NewValue", "string")
 
 
 def first_match(c: Column | str, *patterns: str) -> Column:

@@ -28,7 +28,7 @@ VISIT_ORDER = ("appointment_date", "encounter_id")
 
 def log_with_fields(log: DataFrame, fields: Sequence[str] = LOG_FIELDS) -> DataFrame:
     """The log with the new value of each field as a column."""
-    parsed = log.withColumn("_parsed", parsed_log("log_details", fields))
+    parsed = log.withColumn("_parsed", parsed_log("log_details"))
     return parsed.select(*log.columns, *[new_value("_parsed", f).alias(f) for f in fields])
 
 

@@ -22,13 +22,16 @@ SITES = ("signup", "purchase", "view")
 
 def _envelope(spark, d):
     """Change log as JSON text built from each event: a text value, a number, a
-    null, a field that is no object, and for errors a text cut short."""
+    null, a field that is no object; for errors a text cut short, for clicks text behind
+    the object, and for signups a value that is an object."""
     kind, k = F.col("event_type"), F.get_json_object("props", "$.k")
     body = F.concat(
         F.lit('{"FacilityName":{"OldValue":"","NewValue":"'), kind, F.lit('"},"VisitType":{"NewValue":'), k,
         F.lit('},"Reason":{"NewValue":null},"Notes":"plain","ProviderName":{"OldValue":"x"}}'),
     )
-    cut = F.when(kind == "error", F.lit('{"FacilityName":{"NewV')).otherwise(body)
+    nested = F.concat(F.lit('{"FacilityName":{"NewValue":{"k":['), k, F.lit(']}},"VisitType":{"NewValue":true}}'))
+    cut = F.when(kind == "error", F.lit('{"FacilityName":{"NewV')).when(kind == "click", F.concat(body, F.lit(" // end")))
+    cut = cut.when(kind == "signup", nested).otherwise(body)
     return t.table(spark, d, "events").select("event_id", cut.alias("log_details"), "props")
 
 
@@ -404,8 +407,10 @@ FROM ({SINCE}) s JOIN ({VALIDATOR}) c ON c.patient_id = s.patient_id WHERE c.val
 ORACLE = {
     "json_fields": """
 SELECT event_id, json_extract_string(props, '$.k') AS k,
-       CASE WHEN event_type <> 'error' THEN event_type END AS "FacilityName",
-       CASE WHEN event_type <> 'error' THEN json_extract_string(props, '$.k') END AS "VisitType",
+       CASE WHEN event_type = 'signup' THEN '{"k":[' || json_extract_string(props, '$.k') || ']}'
+            WHEN event_type NOT IN ('error', 'click') THEN event_type END AS "FacilityName",
+       CASE WHEN event_type = 'signup' THEN 'true'
+            WHEN event_type NOT IN ('error', 'click') THEN json_extract_string(props, '$.k') END AS "VisitType",
        CAST(NULL AS VARCHAR) AS "Reason", CAST(NULL AS VARCHAR) AS "Notes", CAST(NULL AS VARCHAR) AS "ProviderName" FROM events""",
     "log_sites": f"""
 SELECT patient_id, encounter_id, FacilityName,

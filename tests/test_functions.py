@@ -100,10 +100,24 @@ def test_in_month_and_range_reach_the_scan(spark, tmp_path, capsys):
 
 def test_new_value(spark):
     texts = ['{"A":{"OldValue":"x","NewValue":"y"},"B":{"NewValue":5}}', '{"B":{"OldValue":1}}', '{"A":{"NewValue":null}}',
-             '{"A":"text","B":{"NewValue":"k"}}', '{"A":{"NewV', '{"A":{"NewValue":"k"}} junk', None]
-    parsed = column(spark, texts).withColumn("p", text.parsed_log("c", ["A", "B"]))
-    got = parsed.select(text.new_value("p", "A"), text.new_value("p", "B")).collect()
-    assert [tuple(r) for r in got] == [("y", "5"), (None, None), (None, None), (None, "k"), (None, None), ("k", None), (None, None)]
+             '{"A":"text","B":{"NewValue":"k"}}', '{"A":{"NewV', '{"A":{"NewValue":"k"}} junk', None, '', ' {"A":{"NewValue":true}} ',
+             '{"A":{"NewValue":{"k":[1,"z"]}},"B":{"NewValue":[1.5,null]}}', '{"A":{"NewValue":"k"}},{"A":{"NewValue":"l"}}', '{"A":{"NewValue":"k"}}]', '["A"]',
+             '{"a":{"NewValue":"case"}}', "{'A':{'NewValue':'quotes'}}"]
+    parsed = column(spark, texts).withColumn("p", text.parsed_log("c"))
+    got = [tuple(r) for r in parsed.select(text.new_value("p", "A"), text.new_value("p", "B")).collect()]
+    none = (None, None)
+    assert got == [("y", "5"), none, none, (None, "k"), none, none, none, none, ("true", None), ('{"k":[1,"z"]}', "[1.5,null]"), none, none, none, none, none]
+
+
+def test_logs_are_parsed_once(spark, capsys):
+    from caretally.plans import funnel
+
+    log = spark.createDataFrame([(1, '{"Reason":{"NewValue":"pain"},"Notes":{"NewValue":"n"}} junk'), (2, '{"Reason":{"NewValue":"pain"}}')], "id int, log_details string")
+    rows = funnel.log_with_fields(log)
+    assert [(r.id, r.Reason) for r in rows.orderBy("id").collect()] == [(1, None), (2, "pain")]
+    rows.explain("extended")
+    plan = capsys.readouterr().out.split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
+    assert plan.count("parse_json") <= 2
 
 
 def test_first_match(spark):
