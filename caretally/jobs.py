@@ -48,9 +48,8 @@ def snapshot_job(
     statuses: Sequence[int] | None = None,
 ) -> Tables:
     window = stage(snapshot.visits_in_window(visits, facility_group, _day(start), _day(end), statuses), "window")
-    insured = snapshot.claims_with_insurance(claims, primary_insurance)
     shown = window.select("patient_id", "encounter_id", *snapshot.VISIT_COLUMNS)
-    users = stage(snapshot.patient_snapshot(shown, insured), "users")
+    users = stage(snapshot.patient_snapshot(shown, claims, primary_insurance), "users")
     return {
         "visits": window,
         "users": snapshot.in_report_order(users),

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from caretally.functions.dates import in_range
 from caretally.functions.text import like_any_case
 from caretally.operators.aggs import distinct_by, money_by, money_parts
 from caretally.operators.dedup import keep_first
 from caretally.operators.filters import label_in
 from caretally.operators.skew import OrderBy, lookup_join, salted_join
+from caretally.session import stage
 
 PROVIDER = "resource_provider_name"
 
@@ -38,15 +37,28 @@ def in_periods(df: DataFrame, periods: Sequence[str]) -> DataFrame:
 
 def within_periods(df: DataFrame, date_column: str, calendar: DataFrame, periods: Sequence[str]) -> DataFrame:
     """``with_period`` and ``in_periods`` in one. The first and last day of the
-    periods bound the dates first, so that the scan can skip other days."""
+    periods bound the dates first, as scalar subqueries: Spark finds them when the query
+    runs and hands them to the scan, which skips folders and row groups of other days."""
     days = calendar.where(F.col("period").isin(list(periods)))
-    first, last = days.agg(F.min(F.to_date("dates")), F.max(F.to_date("dates"))).first()
-    if first is None:
-        return with_period(df, date_column, calendar).where(F.lit(False))
-    rows = df.where(in_range(date_column, first, last + timedelta(days=1)))
+    first, last = (days.agg(pick(F.to_date("dates"))).scalar() for pick in (F.min, F.max))
+    rows = df.where((F.col(date_column) >= first) & (F.col(date_column) < F.date_add(last, 1)))
     return in_periods(with_period(rows, date_column, calendar), periods)
 
 
+def by_month(df: DataFrame, date_column: str, calendar: DataFrame) -> DataFrame:
+    """A fact staged in folders by the period of a date, for reports of some periods out of
+    many: ``of_periods`` reads their folders only. Rows of days without a period are left out."""
+    known = with_period(df, date_column, calendar).where(F.col("period").isNotNull())
+    return stage(known, "periods", ["period"])
+
+
+def of_periods(staged: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Rows of ``by_month`` whose period is among those of a small frame, which a filter
+    of the calendar makes. Spark reads that frame first and then the folders it names
+    (dynamic partition pruning)."""
+    return staged.join(F.broadcast(wanted.select("period").distinct()), "period", "left_semi")
+
+
 def claim_counts(claims: DataFrame, dim: str) -> DataFrame:
     """Claims by provider, period and one dimension."""
     return distinct_by(claims, [PROVIDER, "period", dim], "claim_no", "claims")

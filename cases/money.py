@@ -6,6 +6,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
+from caretally.operators.aggs import money
 from caretally.operators.dedup import claim_map
 from caretally.plans import fiscal, scorecard, snapshot
 from cases import tables as t
@@ -24,7 +25,7 @@ def _insured(spark, d):
 
 
 def _snapshot(spark, d):
-    return snapshot.patient_snapshot(_window(spark, d), _insured(spark, d))
+    return snapshot.patient_snapshot(_window(spark, d), t.claims(spark, d), t.insurance(spark, d))
 
 
 def _fanout(spark, d):
@@ -49,6 +50,15 @@ def _revenue(spark, d):
     return fiscal.within_periods(t.applied_revenue(spark, d), "service_date", t.calendar(spark, d), t.PERIODS)
 
 
+def _revenue_of_periods(spark, d):
+    """Lines staged by period; the periods of one summer are asked for by a filter of the calendar."""
+    calendar = t.calendar(spark, d)
+    staged = fiscal.by_month(t.applied_revenue(spark, d), "service_date", calendar)
+    wanted = calendar.where((F.col("dates") >= "1996-06-01") & (F.col("dates") < "1996-09-01"))
+    kept = fiscal.of_periods(staged, wanted)
+    return kept.groupBy("period").agg(F.count("*").alias("lines"), F.sum(money("payment")).cast("double").alias("total_payment"))
+
+
 def _collections(spark, d):
     return fiscal.within_periods(t.deposited_revenue(spark, d), "deposit_date", t.calendar(spark, d), t.PERIODS)
 
@@ -119,6 +129,7 @@ QUERIES = {
     "claims_by_dimension": lambda s, d: fiscal.claim_counts_by(_with(s, d), ["payer_class", "quality_level"]),
     "revenue_by_dimension": lambda s, d: fiscal.money_reports(_revenue(s, d), t.claims_without(s, d), MONEY_DIMENSIONS),
     "collections_by_dimension": lambda s, d: fiscal.money_reports(_collections(s, d), t.claims_without(s, d), MONEY_DIMENSIONS),
+    "revenue_of_periods": _revenue_of_periods,
     "claims_dedup": lambda s, d: _single(s, d).select(
         "claim_no", "encounter_id", "resource_provider_name", "payer_class", "quality_level", "service_date"
     ),
@@ -246,6 +257,10 @@ WHERE lower(o.o_orderpriority) LIKE '%not spec%'""",
     "claims_by_dimension": _each_sql(lambda dim: _counts_sql(t.CLAIMS_WITH_SQL, dim), ["payer_class", "quality_level"], "claims"),
     "revenue_by_dimension": _each_sql(lambda dim: _money_sql(REVENUE, _WITHOUT, dim), MONEY_DIMENSIONS, "total_payment"),
     "collections_by_dimension": _each_sql(lambda dim: _money_sql(COLLECTIONS, _WITHOUT, dim), MONEY_DIMENSIONS, "total_payment"),
+    "revenue_of_periods": f"""
+SELECT f.period, count(*) AS lines, CAST(sum(CAST(l.l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total_payment
+FROM lineitem l JOIN ({t.CALENDAR_SQL}) f ON f.dates = CAST(l.l_shipdate AS DATE)
+WHERE f.period IN ('FY96 - 6', 'FY96 - 7', 'FY96 - 8') GROUP BY 1""",
     "claims_dedup": "SELECT claim_no, encounter_id, resource_provider_name, payer_class, quality_level, service_date "
                     f"FROM ({SINGLE})",
     "revenue_by_payer": _money_sql(REVENUE, SINGLE, "payer_class"),

@@ -33,11 +33,11 @@ def clinic(spark):
         [(1, 1, d(2023, 1, 1), 9), (1, 2, d(2023, 5, 1), 4), (1, 3, d(2023, 4, 1), None), (2, 4, d(2023, 1, 1), 9)],
         "patient_id int, claim_no int, service_date date, primary_insurance_id int")
     plans = spark.createDataFrame([(9, "Medicaid"), (4, "Private")], "primary_insurance_id int, primary_insurance_class string")
-    return snapshot.visits_in_window(visits, sites, d(2024, 1, 1), d(2024, 1, 10)), snapshot.claims_with_insurance(claims, plans), visits, sites
+    return snapshot.visits_in_window(visits, sites, d(2024, 1, 1), d(2024, 1, 10)), snapshot.claims_with_insurance(claims, plans), visits, sites, plans
 
 
 def test_window_keeps_all_statuses_unless_told(clinic):
-    window, _, visits, sites = clinic
+    window, _, visits, sites, _ = clinic
     assert sorted(r.encounter_id for r in window.collect()) == [100, 101, 103, 104]
     only = snapshot.visits_in_window(visits, sites, date(2024, 1, 1), date(2024, 1, 10), statuses=[5])
     assert sorted(r.encounter_id for r in only.collect()) == [100, 103]
@@ -51,8 +51,8 @@ def test_fanout_fills_insurance(clinic):
 
 
 def test_snapshot_max_is_not_latest(clinic):
-    window, claims, *_ = clinic
-    snap = snapshot.patient_snapshot(window, claims)
+    window, claims, _, _, plans = clinic
+    snap = snapshot.patient_snapshot(window, claims.drop("primary_insurance_class"), plans)
     first = one(snap, patient_id=1)
     assert (first["facility_group_name"], first["appointment_date"]) == ("B", date(2024, 1, 9))
     assert (first["max_insurance_id"], first["max_insurance_class"]) == (9, "Private")
@@ -60,6 +60,7 @@ def test_snapshot_max_is_not_latest(clinic):
     assert one(snap, patient_id=3)["max_insurance_id"] == 0 and one(snap, patient_id=3)["facility_group_name"] is None
     assert one(snap, patient_id=None)["max_insurance_class"] is None
     assert snapshot.site_report(snap, ["B", "Z"]).count() == 1
+    assert "SortAggregate" not in snap._jdf.queryExecution().executedPlan().toString()
     assert [r.facility_group_name for r in snapshot.in_report_order(snap).collect()] == [None, "A", "B"]
 
 
@@ -121,6 +122,26 @@ def test_within_periods_is_both_steps(books, as_rows):
         assert as_rows(fiscal.within_periods(lines, "service_date", calendar, periods)) == as_rows(two)
 
 
+def test_periods_are_found_when_the_query_runs(books, spark, tmp_path):
+    """No job while the plan is built; the scan gets the bounds, and staged periods are read from their folders."""
+    calendar, lines, _ = books
+    for name, df in (("lines", lines), ("calendar", calendar)):
+        df.write.parquet(str(tmp_path / name))
+    calendar, lines = (spark.read.parquet(str(tmp_path / n)) for n in ("calendar", "lines"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    kept = fiscal.within_periods(lines, "service_date", calendar, ["FY23 - 8"])
+    assert len(tracker.getJobIdsForGroup("planning")) == 0
+    spark.sparkContext.setJobGroup("other", "other")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("scalar-subquery") + plan.count("Subquery") >= 2
+    assert kept.count() == 2
+    staged = fiscal.by_month(lines, "service_date", calendar)
+    found = fiscal.of_periods(staged, calendar.where("dates >= '2023-08-01'"))
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 2 and {r.period for r in found.collect()} == {"FY23 - 8"} and staged.count() == 6
+
+
 def test_key_pairs(books):
     _, lines, claims = books
     pairs = fiscal.key_pairs(lines, fiscal.one_per_claim(claims, ["encounter_id"])).collect()

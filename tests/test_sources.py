@@ -73,6 +73,31 @@ def test_rewrite_table_reads_itself(spark):
     assert [t.name for t in spark.catalog.listTables() if t.name.startswith("self")] == ["self"]
 
 
+def test_versions_behind_a_view(spark, monkeypatch):
+    """The view shows whole versions only, also where a run stops between the steps."""
+    first = sinks.publish_version(spark.range(10), "shown")
+    assert first.count() == 10
+    sinks.publish_version(spark.table("shown").where("id < 3").withColumn("n", F.lit(1)), "shown")
+    assert spark.table("shown").columns == ["id", "n"] and spark.table("shown").count() == 3
+    run = type(spark).sql
+
+    def stops(self, query, *args, **more):
+        if query.startswith("CREATE OR REPLACE VIEW"):
+            raise RuntimeError("stopped")
+        return run(self, query, *args, **more)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(type(spark), "sql", stops)
+        with pytest.raises(RuntimeError):
+            sinks.publish_version(spark.range(99), "shown")
+    assert spark.table("shown").count() == 3
+    for n in (5, 6, 7):
+        sinks.publish_version(spark.range(n), "shown")
+    assert spark.table("shown").count() == 7 and sinks.versions(spark, "shown") == ["shown__v4", "shown__v5"]
+    spark.sql("CREATE DATABASE IF NOT EXISTS kept")
+    assert sinks.publish_version(spark.range(4), "kept.shown", None).count() == 4 and sinks.versions(spark, "kept.shown") == ["kept.shown__v1"]
+
+
 @pytest.mark.parametrize("single", [True, False])
 def test_csv_report(spark, tmp_path, single):
     path = str(tmp_path / "report")
