@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from caretally.operators.dedup import claim_map
 from caretally.operators.ledger import Ledger
 from caretally.operators.sequence import ordinal_mix
-from caretally.operators.skew import hot_keys
+from caretally.operators.skew import hot_keys, stage_by
 from caretally.plans import documents, fiscal, funnel, labs, scorecard, snapshot
 from caretally.session import stage
 from caretally.sources import readers, schemas, sinks
@@ -226,9 +226,13 @@ def funnel_job(
     first = ledger.stage(funnel.with_first_seen(funnel.one_per_patient(masked), whole), "converted", patients=F.count("patient_id"))
     shown = first.select("patient_id", "first_seen", "Reason", "FacilityName", "VisitStatus")
     since = ledger.stage(funnel.visits_since_first(visits, shown), "visits_since_first", **count)
-    validator = ledger.stage(funnel.cohort_validator(since), "validator", patients=F.count("patient_id"))
+    # Cohorts, totals and visits per patient read these as they lie, in buckets of the patient.
+    per_patient = stage_by(since, "since", ["patient_id"])
+    validator = ledger.stage(funnel.cohort_validator(per_patient), "validator", patients=F.count("patient_id"))
     billing = ledger.stage(funnel.billing_since_first(since, claim_map(claims_with), claims_without), "billing", **count)
-    members = {which: funnel.cohort(validator, which, rule) for which in ("new", "established")}
+    charges = stage_by(billing, "billing", ["patient_id"])
+    flags = stage_by(validator, "validator", ["patient_id"])
+    members = {which: funnel.cohort(flags, which, rule) for which in ("new", "established")}
     # Control totals: the join by reason loses no booking.
     reasons_new = ledger.stage(
         funnel.cohort_last_entries(funnel.cohort(validator, "new", "nonzero"), chosen), "new_entries", new_patients=F.count("*")
@@ -266,9 +270,9 @@ def funnel_job(
         "visits_since_first": since,
         "validator": validator,
         "billing": billing,
-        "billing_totals": funnel.billing_totals(billing, validator, rule),
-        **{f"{which}_visits": funnel.cohort_visits(since, m) for which, m in members.items()},
-        **{f"{which}_billing": funnel.cohort_billing(billing, m) for which, m in members.items()},
+        "billing_totals": funnel.billing_totals(charges, flags, rule),
+        **{f"{which}_visits": funnel.cohort_visits(per_patient, m) for which, m in members.items()},
+        **{f"{which}_billing": funnel.cohort_billing(charges, m) for which, m in members.items()},
         "new_patient_entries": reasons_new,
         "reasons": funnel.reasons_in_order(reasons),
         "metrics": ledger.rows(log.sparkSession),

@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caretally.session import stage
+from caretally.session import stage, stage_bucketed
 
 # Rows of one key that a single task may handle, unless the session sets
 # spark.caretally.hotRows or the caller says otherwise.
@@ -58,6 +58,14 @@ def lookup_join(left: DataFrame, dimension: DataFrame, on: str | Sequence[str])
     return left.join(dimension, on, "left")
 
 
+def stage_by(df: DataFrame, label: str, keys: Sequence[str], hot_rows: int | None = None) -> DataFrame:
+    """A staged frame that is joined and grouped by the same keys several times: written
+    once more in buckets of these keys, unless one of them is too big for one task. Such
+    frames stay as they are, and each step spreads the key its own way."""
+    keys = list(keys)
+    return df if hot_keys(df, keys, hot_rows) else stage_bucketed(df, label, keys)
+
+
 # --- salted join -------------------------------------------------------------
 
 

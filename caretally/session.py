@@ -60,3 +60,21 @@ def stage(df: DataFrame, label: str = "stage", partition_by: Sequence[str] = ())
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+def stage_bucketed(df: DataFrame, label: str, keys: Sequence[str], buckets: int | None = None) -> DataFrame:
+    """Like ``stage``, with the rows dealt to buckets by a hash of the keys, as many as there
+    are shuffle partitions. Joins and groupings on these keys then shuffle neither this
+    frame nor one staged alike: it pays where several of them follow. A key that is too big
+    for one task must not be staged so; see ``skew.hot_keys``.
+    """
+    spark = df.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    unique = uuid.uuid4().hex
+    name, path = f"caretally_{label}_{unique}", f"{shared_dir(spark)}/caretally/{label}-{unique}"
+    dealt = df.repartition(n, *keys)
+    dealt.write.format("parquet").option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name)
+    staged = spark.table(name).select(*df.columns)
+    # The frame knows its files and buckets by now; the catalogue need not keep the name.
+    spark.sql(f"DROP TABLE {name}")
+    return staged

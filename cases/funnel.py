@@ -8,7 +8,7 @@ from caretally.operators.aggs import run_metrics
 from caretally.operators.dedup import claim_map
 from caretally.operators.lists import list_pages, ordered_list
 from caretally.operators.sequence import ordinal_mix
-from caretally.operators.skew import hot_keys
+from caretally.operators.skew import hot_keys, stage_by
 from caretally.plans import funnel
 from caretally.session import stage
 from cases import tables as t
@@ -233,6 +233,13 @@ def _billing_totals(spark, d):
     return funnel.billing_totals(_billing(spark, d, since), _validator(spark, d, since))
 
 
+def _billing_totals_bucketed(spark, d):
+    """Visits and charges dealt to buckets of the patient once; totals and cohorts read them as they lie."""
+    since = stage_by(_since_staged(spark, d), "since", ["patient_id"])
+    billing = stage_by(stage(_billing(spark, d, since), "billing"), "billing", ["patient_id"])
+    return funnel.billing_totals(billing, _validator(spark, d, since))
+
+
 def _last_new(spark, d):
     return funnel.cohort_last_entries(_members(spark, d, "new", "nonzero"), t.log(spark, d))
 
@@ -304,6 +311,7 @@ QUERIES = {
     "billing_since_first": lambda s, d: _billing_out(_billing(s, d)),
     "cohort_billing": _cohort_billing,
     "billing_totals": _billing_totals,
+    "billing_totals_bucketed": _billing_totals_bucketed,
     "cohort_last_log": _last_new,
     "reason_share": lambda s, d: funnel.reason_share(funnel.last_entries(t.log(s, d)), _last_new(s, d)),
     "run_metrics": _metrics,
@@ -493,6 +501,11 @@ FROM orders o JOIN (SELECT o_custkey, min(o_orderdate) AS first_seen FROM orders
 SELECT CAST(sum(b.payment) AS DOUBLE) AS total_payment,
        CAST(sum(CASE WHEN v.validator = 1 THEN b.payment END) AS DOUBLE) AS new_payment,
        CAST(sum(CASE WHEN v.validator = 0 THEN b.payment END) AS DOUBLE) AS established_payment
+FROM ({BILLING}) b LEFT JOIN ({VALIDATOR}) v ON v.patient_id = b.patient_id""",
+    "billing_totals_bucketed": f"""
+SELECT CAST(sum(b.payment) AS DOUBLE) AS total_payment,
+       CAST(sum(CASE WHEN v.validator = 1 THEN b.payment END) AS DOUBLE) AS new_payment,
+       CAST(sum(CASE WHEN v.validator = 0 THEN b.payment END) AS DOUBLE) AS established_payment
 FROM ({BILLING}) b LEFT JOIN ({VALIDATOR}) v ON v.patient_id = b.patient_id""",
     "cohort_last_log": LAST_NEW,
     "reason_share": f"""

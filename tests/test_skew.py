@@ -195,3 +195,23 @@ def test_claim_map(spark, as_rows):
     assert as_rows(claim_map(df, "encounter")) == [(1, 10, 5), (3, 11, 6)]
     with pytest.raises(ValueError):
         claim_map(df, "other")
+
+
+def test_buckets_spare_the_shuffles(spark, frame, data):
+    """Frames staged by a key are joined and grouped by it without an exchange; a frame with a hot key is left as it is."""
+    staged = skew.stage_by(frame.where("k is not null"), "rows", ["k"], hot_rows=10_000_000)
+    other = skew.stage_by(frame.where("k is not null").groupBy("k").agg(F.count("*").alias("n")), "counts", ["k"], hot_rows=10_000_000)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = staged.join(other, "k").groupBy("k").agg(F.max("n").alias("n"), F.count("*").alias("rows"))
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "SortMergeJoin" in plan
+        want = {}
+        for r in data:
+            if r[0] is not None:
+                want[r[0]] = want.get(r[0], 0) + 1
+        assert {r["k"]: (r["n"], r["rows"]) for r in joined.collect()} == {k: (n, n) for k, n in want.items()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not any("caretally_rows" in t.name for t in spark.catalog.listTables())
+    assert skew.stage_by(frame, "rows", ["k"], hot_rows=5) is frame
