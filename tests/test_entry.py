@@ -49,3 +49,16 @@ def test_queries_match_when_every_key_is_hot(spark, name):
 @pytest.mark.parametrize("name", ["patient_max_snapshot", "scorecard_all", "doc_sla", "reviewer_buckets", "billing_totals"])
 def test_reports_match_their_sql(spark, name):
     check(spark, name)
+
+
+def test_other_queries_do_without_the_training_data_libraries(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry_point.__file__))
+    code = f"import sys; sys.path.insert(0, {root!r}); sys.modules['zstandard'] = None; import __spark_entry__ as e; print(len(e.queries()), 'op1_token_output' in e.queries())"
+    done = subprocess.run([sys.executable, "-W", "ignore", "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=120)
+    from cases import registry
+
+    assert done.stdout.split() == [str(len(registry.queries())), "False"], done.stderr
