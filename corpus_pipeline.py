@@ -1,4 +1,10 @@
-"""From raw documents to packed sequences: five stages, each written as Parquet and reread as the next one's documents."""
+"""From raw documents to packed sequences: five stages, each written as Parquet and reread as the next one's documents.
+
+Rows: null, empty and letterless texts go in the first stage. Of rows equal in doc_id and word set one stays, of other copies the one
+with the least doc_id; other texts under a repeated doc_id stay, and of copies without any doc_id one. Very long texts are read whole. Ties go to the
+smaller doc_id, null counting as the smallest. Columns of any name are passed through, but for the text and n_chars, which follow what
+is cut out. Empty documents give an empty result; without benchmark items no document goes for them.
+"""
 
 from __future__ import annotations
 
