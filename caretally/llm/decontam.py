@@ -6,8 +6,9 @@ shingle hashes, where k = floor(25 % of the partition's largest size) + 1: a doc
 shingles must hold one of them, however long it is, so the search loses nothing. A document is probed against the sketches of
 the partitions that it is large enough for; the candidates are verified by the exact containment of their whole shingle sets.
 
-Items are the stated query set. They are dealt by a hash into blocks of about `BLOCK_SHINGLES` shingles; one block at a time is
-broadcast, and every document is read once per block. Nothing is shuffled but the matches.
+Items are the stated query set. They are dealt by a hash into blocks of about `BLOCK_SHINGLES` shingles. Each is broadcast and its result
+written before the one after the next is fetched, so that the driver holds two at most; every document is read once per block.
+Nothing is shuffled.
 
 Rows: an item without words, or with null text or id, matches nothing; one of fewer than five words has its whole sequence as its one
 shingle and matches where that sequence stands. Documents with null or empty text match nothing; null doc_ids are passed
@@ -124,14 +125,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows + i)), pa.array(index.ids[items]), pa.array(n), pa.array(whole), pa.array(n / np.maximum(whole, 1))],
                                                      ["doc_id", "item_id", "n_shared", "n_item_shingles", "containment"])
 
-        found = texts.mapInArrow(work, PAIRS)
+        found = table(texts.mapInArrow(work, PAIRS))
         out = found if out is None else out.unionByName(found)
     return out if out is not None else spark.createDataFrame([], PAIRS)
 
 
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows whose text holds no item, with all their columns."""
-    for index in indexes(benchmark):
+    for block, index in enumerate(indexes(benchmark)):
+        if block:
+            documents = table(documents)
         made = sent(documents.sparkSession, index)
 
         def work(batches: Iterator[pa.RecordBatch], made=made) -> Iterator[pa.RecordBatch]:

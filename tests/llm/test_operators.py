@@ -208,6 +208,16 @@ def test_decontamination(spark, documents, rows, nothing):
     assert decontam.contaminated(nothing, benchmark).collect() == [] and decontam.contaminated(documents, benchmark.limit(0)).collect() == []
 
 
+def test_decontamination_in_blocks(spark, documents, monkeypatch):
+    items = spark.createDataFrame([(k, prose(100 + k, 40 + k)) for k in range(12)] + [(50, prose(2, 60)), (51, prose(500, 20))], "item_id long, text string")
+    want = sorted(map(tuple, decontam.contaminated(documents, items).collect()), key=str)
+    left = documents.count() - len({x[0] for x in want})
+    monkeypatch.setattr(decontam, "BLOCK_SHINGLES", 100)
+    assert len(list(decontam.indexes(items))) > 3
+    assert sorted(map(tuple, decontam.contaminated(documents, items).collect()), key=str) == want and len(want) > 10
+    assert decontam.clean(documents, items).count() == left
+
+
 def test_quality(spark, documents, rows, nothing):
     labels = spark.createDataFrame([(k, 1, 0) for k in range(20, 40)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
     got = {r["doc_id"]: r for r in quality.judge(documents, labels).collect()}
