@@ -51,15 +51,15 @@ def new_value(parsed: Column | str, field: str) -> Column:
 
 
 def first_match(c: Column | str, *patterns: str) -> Column:
-    """What the first matching pattern captures (its group, or the whole match);
-    null for null, blank or unmatched text. Texts without the fixed part of a
-    pattern are passed over before the pattern is tried."""
+    """What the first matching pattern captures (its group, or the whole match, neither of
+    which may be empty); null for null, blank or unmatched text. Each pattern runs once,
+    and not at all on texts without its fixed part."""
     text = _col(c)
 
     def found(pattern: str) -> Column:
         fixed = FIXED_PART.get(pattern)
-        test = text.rlike(pattern) if fixed is None else text.contains(fixed) & text.rlike(pattern)
-        return F.when(test, F.regexp_extract(text, pattern, 1 if _has_group(pattern) else 0))
+        hit = F.nullif(F.regexp_extract(text, pattern, 1 if _has_group(pattern) else 0), F.lit(""))
+        return hit if fixed is None else F.when(text.contains(fixed), hit)
 
     return F.coalesce(*[found(p) for p in patterns])
 
