@@ -1,5 +1,6 @@
 """Dates, text and filters on the edge rows."""
 
+import time
 from datetime import date, datetime
 
 import pytest
@@ -35,6 +36,25 @@ def test_standard_date(spark):
     assert got == ["01/05/2023"] * 4 + [None] * 6
 
 
+def test_month_first_tries_the_formats_that_fit(spark):
+    texts = ["1/5/2023 3:04 pm", "01/05/2023 23:04", "12/31/2023", "1/5/2023  3:04\tAm", "2/29/2024", "2/30/2024", "13/45/2023", "0/1/2023", "1/5/2023 24:00",
+             "1/5/2023 13:04 PM", "1/5/2023 0:04 am", "1/5/2023 3:4", "001/05/2023", "1/5/23", "1/5/2023/4", " 1/5/2023", "12/31/2023\n", "oops", "", None]
+    df = column(spark, texts)
+    # What trying every format on every text gives.
+    every = dates._parse(dates._one_blank("c"), "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy").cast("date")
+    assert values(df, dates.parse_month_first("c")) == values(df, every)
+    # Usual texts, and those no format reads, go to one format at most.
+    many = spark.range(200_000).select(F.concat(F.lit("1/"), 1 + F.col("id") % 60, F.lit("/2023")).alias("c"))
+
+    def seconds(parsed):
+        start = time.monotonic()
+        assert many.agg(F.count(parsed)).first()[0] == sum(i % 60 < 31 for i in range(200_000))
+        return time.monotonic() - start
+
+    seconds(dates.parse_month_first("c"))
+    assert seconds(dates.parse_month_first("c")) < seconds(every) / 2
+
+
 def test_or_marker(spark):
     assert values(column(spark, ["a", None]), dates.or_marker("c", dates.NO_NOTES)) == ["a", "SIN NOTES"]
 
