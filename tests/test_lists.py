@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from caretally.operators.ledger import Ledger
-from caretally.operators.lists import distinct_entries, distinct_values, list_entries, list_pages, list_summary, set_summary
-from caretally.plans import fiscal, labs
+from caretally.operators.lists import distinct_entries, distinct_values, list_entries, list_pages, list_summary, set_summary, whole_summary
+from caretally.plans import fiscal, funnel, labs
 from caretally.session import stage
 
 BIG = 25_000
@@ -32,6 +32,32 @@ def test_one_row_per_key_at_every_size(visits, group_rows):
     assert ",".join(p["reasons"] for p in pages) == ",".join(f"r{k % 13000}" for k in range(BIG - 1, -1, -1) if k % 5)
 
 
+@pytest.mark.parametrize("group_rows", [700, 10_000_000])
+def test_whole_lists_of_any_length(visits, group_rows):
+    entries = list_entries(visits, ["patient_id"], {"reasons": F.col("reason")}, ["when", "n"], first=["n"], group_rows=group_rows)
+    for page_rows in (2, 10_000):
+        got = {r["patient_id"]: tuple(r)[1:] for r in whole_summary(entries, ["patient_id"], ["reasons"], first=["n"], page_rows=page_rows).collect()}
+        assert got == {1: (BIG - 1, BIG, ",".join(f"r{k % 13000}" for k in range(BIG - 1, -1, -1) if k % 5)),
+                       2: (9_999, 10_000, ",".join(f"r{k}" for k in range(9_999, -1, -1) if k % 5)), 3: (2, 3, "r2,r1"), None: (1, 2, "r1")}
+    odd = list_entries(visits, ["patient_id"], {"none": F.lit(None).cast("string"), "blank": F.lit("")}, ["when", "n"])
+    assert {tuple(r)[2:] for r in whole_summary(odd, ["patient_id"], ["none", "blank"], page_rows=2).where("patient_id = 3").collect()} == {(None, ",,")}
+
+
+def test_reports_show_whole_lists(spark):
+    many = spark.range(10_001).select(F.lit(7).alias("patient_id"), F.col("id").alias("encounter_id"), F.col("id").alias("modify_date"), F.col("id").alias("appointment_date"),
+                                      F.lit("pain").alias("Reason"), F.lit("done").alias("VisitStatus"), F.col("id").alias("matched_encounter_id"),
+                                      F.lit(funnel.CHECKED_OUT).alias("visit_status"), F.lit("Yes").alias("Premium"), F.lit("a@x").alias("PatientEmail"),
+                                      F.lit("Ann").alias("PatientFirstName"), F.col("id").cast("string").alias("PatientLastName"))
+    log = funnel.log_summary(funnel.log_entries(many)).first()
+    assert (log["billed_times"], log["reasons"], log["visit_statuses"]) == (10_001, ",".join(["pain// "] * 10_001), ",".join(["done// "] * 10_001))
+    user = funnel.billed_users(funnel.billed_entries(many, ["encounter_id"])).first()
+    assert (user["n"], user["names"]) == (10_001, ",".join(f"Ann {k}" for k in range(10_001)))
+    converted = funnel.converted_users(funnel.converted_entries(many)).first()
+    assert (converted["n"], converted["patient_ids"]) == (10_001, ",".join(["7"] * 10_001))
+    found = funnel.converted_encounters(funnel.converted_encounter_entries(many)).first()
+    assert (found["encounters"], found["encounter_ids"]) == (10_001, ",".join(sorted(str(k) for k in range(10_001))))
+
+
 def test_distinct_entries(visits):
     entries = distinct_entries(visits, ["patient_id"], F.col("reason"), "reasons")
     got = {r["patient_id"]: (r["n"], r["reasons"]) for r in list_summary(entries, ["patient_id"], ["reasons"], page_rows=2).collect()}
