@@ -43,7 +43,7 @@ def test_month_first_tries_the_formats_that_fit(spark):
     # What trying every format on every text gives.
     every = dates._parse(dates._one_blank("c"), "M/d/yyyy h:mm a", "M/d/yyyy H:mm", "M/d/yyyy").cast("date")
     assert values(df, dates.parse_month_first("c")) == values(df, every)
-    # Usual texts, and those no format reads, go to one format at most.
+    # Usual texts, and those no format reads, are tried by no format.
     many = spark.range(200_000).select(F.concat(F.lit("1/"), 1 + F.col("id") % 60, F.lit("/2023")).alias("c"))
 
     def seconds(parsed):
